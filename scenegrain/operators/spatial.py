@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenegrain.functions import polygons, wkb
 from scenegrain.operators.joins import salted_join
@@ -25,7 +26,7 @@ from scenegrain.operators.joins import salted_join
 EARTH_M, MERCATOR_M = 6371008.8, 6378137.0
 
 
-@F.pandas_udf("struct<x double, y double>")
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def wkb_xy(col):
     import pandas as pd
 

@@ -20,9 +20,11 @@ import functools
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenegrain.session import settled
+
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 _SEP = "\x01"
@@ -201,6 +203,7 @@ def normalise(items: DataFrame, feeds: DataFrame, text: str = "datetime", feed:
 
 def with_estimates(normal: DataFrame, feed: str = "feed", received: str = "received_at") -> DataFrame:
     """Adds ``estimated_us`` to rows of ``normalise`` whose zone is unknown, by the offset history of their feed."""
+    normal = settled(normal.sparkSession, normal, "normal")  # read twice: for the histogram and for the rows
     unknown = (F.col("status") == "unknown zone") & F.col("p_.name").isNull() & F.col("p_.abbr").isNull()
     est = estimate_zones(normal, feed, received, F.col("utc_us"), unknown)
     est = est.select(F.col(feed).alias("feed_"), F.col("month_").alias("of_"), "offset_us_")
