@@ -16,10 +16,10 @@ Defined cases (``status``)
 
 from __future__ import annotations
 
-import functools
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,27 +48,30 @@ _DATE = (
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-@functools.cache
-def _zone_rows() -> tuple[tuple[str, list[tuple[str, int]]], ...]:
-    """Zones with their letter abbreviations and offsets in seconds as used since 1970, the latest use of each abbreviation."""
-    out = []
-    for name in sorted(zoneinfo.available_timezones() - {"localtime", "Factory", "posixrules"}):
-        z, abbr = zoneinfo.ZoneInfo(name), {}
-        t = datetime(1970, 1, 15, tzinfo=timezone.utc)
-        while t.year < 2038:
-            local = t.astimezone(z)
-            if (local.tzname() or "").isalpha():
-                abbr[local.tzname()] = int(local.utcoffset().total_seconds())
-            t += timedelta(days=61)
-        out.append((name, sorted(abbr.items())))
-    return tuple(out)
+def _abbreviations(name: str) -> dict[str, int]:
+    """Letter abbreviations of a zone and their offsets in seconds as used since 1970, by the latest use of each."""
+    z, out = zoneinfo.ZoneInfo(name), {}
+    t = datetime(1970, 1, 15, tzinfo=timezone.utc)
+    while t.year < 2038:
+        local = t.astimezone(z)
+        if (local.tzname() or "").isalpha():
+            out[local.tzname()] = int(local.utcoffset().total_seconds())
+        t += timedelta(days=61)
+    return out
 
 
 def zones(spark: SparkSession) -> DataFrame:
     """One row per IANA zone that the JVM knows too: lower-cased name, name, map of abbreviations to offset seconds. About 600 rows, fixed."""
     known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
-    rows = [(n.lower(), n, dict(a)) for n, a in _zone_rows() if n in known]
-    return spark.createDataFrame(rows, "zone_key string, zone_name string, abbreviations map<string,int>")
+    names = sorted(zoneinfo.available_timezones() & known)
+
+    def run(batches):
+        for b in batches:
+            own = b.column(0).to_pylist()
+            maps = [sorted(_abbreviations(n).items()) for n in own]
+            yield pa.RecordBatch.from_arrays([pa.array([n.lower() for n in own]), b.column(0), pa.array(maps, pa.map_(pa.string(), pa.int32()))], names=["zone_key", "zone_name", "abbreviations"])
+
+    return spark.createDataFrame([(n,) for n in names], "zone_name string").mapInArrow(run, "zone_key string, zone_name string, abbreviations map<string,int>")
 
 
 def _parts(text: Column, pattern: str, groups: int) -> Column:
