@@ -35,10 +35,24 @@ def _x_at(e: np.ndarray, y) -> np.ndarray:
     return e[:, 0] + (y - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
 
 
+def _crossings(e: np.ndarray, y0: float, y1: float) -> np.ndarray:
+    """Heights at which edges cross inside a slab; regions whose rings cross each other have such."""
+    s = e[(e[:, 1] <= y0) & (e[:, 3] >= y1)]
+    a, b = _x_at(s, y0), _x_at(s, y1)
+    at = np.lexsort((b, a))
+    a, b = a[at], b[at]
+    if (np.diff(b) >= -1e-12).all():
+        return np.empty(0)
+    d0, d1 = a[:, None] - a[None, :], b[:, None] - b[None, :]
+    i, j = np.nonzero((d0 < 0) & (d1 > 1e-12))
+    y = y0 + (y1 - y0) * d0[i, j] / (d0[i, j] - d1[i, j])
+    return y[(y > y0) & (y < y1)]
+
+
 def slabs(polygons: list[list[np.ndarray]], cell: float):
     """Trapezoidal decomposition, cut along a grid: yields (cx, cy, packed slabs) for each cell the region may contain points of.
 
-    All vertex heights, and the grid's lines, part the region into slabs in which its edges don't cross
+    All vertex heights, crossings of edges, and the grid's lines part the region into slabs in which its edges don't cross
     and are stored in order of x. Of each slab a cell gets the edges that reach the cell, and the number
     of those wholly to its left; so a region of any size is spread over its cells.
     """
@@ -56,6 +70,7 @@ def slabs(polygons: list[list[np.ndarray]], cell: float):
             continue
         be, b0, b1 = e[band], x0[band], x1[band]
         ys = np.unique(np.clip(np.concatenate([be[:, 1], be[:, 3], [lo, hi]]), lo, hi))
+        ys = np.unique(np.concatenate([ys, *(_crossings(be, y0, y1) for y0, y1 in zip(ys[:-1], ys[1:]))]))
         rows = []
         for y0, y1 in zip(ys[:-1], ys[1:]):
             own = (be[:, 1] <= y0) & (be[:, 3] >= y1)

@@ -161,7 +161,7 @@ def estimate_zones(parsed: DataFrame, feed: str, received: str, known_us: Column
     and month are compared, a table bounded by the spread of delays and not by the rows.
     """
     arrive = F.unix_micros(F.col(received).cast("timestamp"))
-    step = step_minutes * 60 * SECOND
+    step = F.lit(step_minutes * 60 * SECOND).cast("long")
     delays = parsed.filter(known_us.isNotNull()).groupBy(feed).agg(F.percentile_approx(arrive - known_us, F.array(F.lit(0.01), F.lit(0.99)), 1000).alias("q_"))
     gap = F.floor((arrive - F.col("p_.local_us")) / step)
     bins = parsed.filter(unknown & F.col(received).isNotNull()).select(feed, F.date_trunc("month", received).alias("month_"), gap.alias("bin_")).groupBy(feed, "month_", "bin_").agg(F.count("*").alias("n_"))
@@ -172,11 +172,18 @@ def estimate_zones(parsed: DataFrame, feed: str, received: str, known_us: Column
     return scored.groupBy(feed, "month_").agg(F.min(F.struct("bad_", F.abs("k_").alias("far_"), "k_")).alias("best_")).select(feed, "month_", (F.col("best_.k_") * step).alias("offset_us_"))
 
 
+#: Columns of the result; columns of the input with these names give way to them.
+RESULTS = ("p_", "status", "utc_us", "zone_source")
+
+
 def normalise(items: DataFrame, feeds: DataFrame, text: str = "datetime", feed: str = "feed", received: str = "received_at") -> DataFrame:
-    """The items with ``utc_us``, ``status``, ``zone_source`` (epoch, text, feed) and, for unknown zones, ``estimated_us``."""
+    """The items with ``utc_us``, ``status``, ``zone_source`` (epoch, text, feed) and ``p_``, what was read from the text."""
     spark = items.sparkSession
+    # The input travels as one struct, so that none of its names can clash with those used on the way.
+    own = [c for c in items.columns if c not in RESULTS]
+    slim = items.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), F.col(text).alias("text_"), F.col(feed).alias("item_feed_"))
     f = feeds.select(F.col(feed).alias("feed_"), F.lower("zone").alias("feed_zone_"), F.col("date_order").alias("order_")).dropDuplicates(["feed_"])
-    df = parse(items.join(f, F.col(feed) == F.col("feed_"), "left"), text, F.col("order_"))
+    df = parse(slim.join(f, F.col("item_feed_") == F.col("feed_"), "left"), "text_", F.col("order_"))
     p = F.col("p_")
     named = F.coalesce(p["name"], F.col("feed_zone_"))
     # The list of zones is fixed (about 600 rows), so its broadcast has a proven bound.
@@ -198,7 +205,7 @@ def normalise(items: DataFrame, feeds: DataFrame, text: str = "datetime", feed:
     us = F.coalesce(p["epoch_us"], F.when(fixed, F.col("l_") - offset.cast("long") * SECOND).otherwise(r["us"]))
     source = F.when(p["epoch_us"].isNotNull(), "epoch").when(fixed | p["name"].isNotNull(), "text").otherwise("feed")
     df = df.withColumn("status", status).withColumn("utc_us", F.when(F.col("status") == "ok", us)).withColumn("zone_source", F.when(F.col("status") == "ok", source))
-    return df.drop("feed_", "feed_zone_", "order_", "zone_key", "zone_name", "abbreviations", "r_", "l_", "first_")
+    return df.select("row_.*", *RESULTS)
 
 
 def with_estimates(normal: DataFrame, feed: str = "feed", received: str = "received_at") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -43,9 +44,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder; ``sweep`` removes it, at the latest when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def sweep() -> None:
+    """Remove the tables this process has written to the shared folder; DataFrames that read them are void after it."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: S112  the session has ended before
+            continue
+
+
+atexit.register(sweep)
 
 
 def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
