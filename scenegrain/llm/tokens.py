@@ -8,7 +8,7 @@ the distinct pairs, whose verdicts are kept; only words with an incompatible pai
 Defined cases
   * An empty text has no ids, and so has a null text: an empty list. Strings of special tokens are ordinary text.
   * Texts of any length are encoded whole; exact merging takes n log n steps.
-  * Rows come out as they came in, repeated rows too.
+  * Rows come out as they came in, repeated rows too; a column of the result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -160,9 +160,9 @@ def encode(docs: DataFrame, text: str = "text", vocabulary_file: str | None = No
 
     with open(vocabulary_file or vocabulary_path(), "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, column)]
     kind = LongType() if only_count else ArrayType(IntegerType())
-    schema = StructType([f for f in docs.schema if f.name != text] + [StructField(column, kind)])
+    schema = StructType([docs.schema[c] for c in rest] + [StructField(column, kind)])
 
     def run(batches):
         v = vocabulary(shipped.value)
