@@ -151,7 +151,7 @@ class Profiles:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = 400, size: int = 3000, rounds: int = 2) -> Profiles:
+def fit(docs: DataFrame, per_language: int = 200, size: int = 3000, rounds: int = 2) -> Profiles:
     """Profiles from a bounded sample of labelled documents; languages without a labelled document have none."""
     d = docs.select("doc_id", "text", label_meaning(F.col("lang")).alias("label")).filter("label IS NOT NULL AND text IS NOT NULL AND length(text) >= 40")
     w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
