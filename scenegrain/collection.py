@@ -192,7 +192,7 @@ class Collection:
         return self.rows().agg(
             F.count("*").alias("records"), F.min("datetime").alias("first"), F.max("datetime").alias("last"),
             F.min(b.xmin).alias("xmin"), F.min(b.ymin).alias("ymin"), F.max(b.xmax).alias("xmax"), F.max(b.ymax).alias("ymax"),
-            F.count_distinct(P.name("proj:epsg")).alias("crs_count"),
+            (F.count_distinct(P.name("proj:epsg")) if "proj:epsg" in self.df.columns else F.lit(None).cast("long")).alias("crs_count"),
         )
 
     def missing_bands(self, catalog_bands: Sequence[str]) -> list[str]:
