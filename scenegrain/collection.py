@@ -198,6 +198,26 @@ class Collection:
     def missing_bands(self, catalog_bands: Sequence[str]) -> list[str]:
         return sorted(set(catalog_bands) - set(self.bands))
 
+    # ---- pixels -----------------------------------------------------------------------------------
+
+    def sample_points(self, points: DataFrame, bands: Sequence[str], **kw) -> DataFrame:
+        """See ``read.sample_points``."""
+        from scenegrain import read
+
+        return read.sample_points(self, points, bands, **kw)
+
+    def area_frame(self, aois: DataFrame, bands: Sequence[str], **kw) -> DataFrame:
+        """See ``read.area_frame``."""
+        from scenegrain import read
+
+        return read.area_frame(self, aois, bands, **kw)
+
+    def get_numpy(self, aois: DataFrame, bands: Sequence[str], **kw):
+        """See ``read.get_numpy``."""
+        from scenegrain import read
+
+        return read.get_numpy(self, aois, bands, **kw)
+
     # ---- write ------------------------------------------------------------------------------------
 
     def export(self, path: str, partition_by: Sequence[str] = ("year", "month"), geoparquet: bool = True) -> None:

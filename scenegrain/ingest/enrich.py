@@ -74,8 +74,23 @@ def with_headers(records: DataFrame, headers: DataFrame, bands: Sequence[str], i
 
 
 def enrich(records: DataFrame, bands: Sequence[str], id_col: str = "id", partitions: int = 64) -> DataFrame:
-    """Parse the headers of all addresses, distinct, in parallel, and join them on; files that fail have null metadata."""
+    """Parse the headers of all addresses, distinct, in parallel, and join them on.
+
+    Files that fail have null metadata; that all fail is an error. ``proj:epsg`` and ``crs`` are filled from the
+    headers where they are missing; bands of one record in different systems are an error.
+    """
+    from scenegrain.functions.crs import crs_code_column
+    from scenegrain.session import settled
     from scenegrain.tiff.header import parse_headers
 
     urls = url_index(records, id_col, bands).select("href").distinct().repartition(partitions, "href")
-    return with_headers(records, parse_headers(urls), bands, id_col)
+    heads = settled(records.sparkSession, parse_headers(urls), "headers")
+    n = heads.agg(F.count("*").alias("n"), F.count("header").alias("ok"), F.min("error").alias("e")).first()
+    if n.n and not n.ok:
+        raise RuntimeError(f"no header could be parsed, e.g. {n.e}")
+    out = with_headers(records, heads, bands, id_col)
+    codes = F.array_distinct(F.array_compact(F.array(*[F.col(f"`{b}_metadata`.epsg") for b in bands])))
+    one = F.when(F.size(codes) > 1, F.raise_error(F.lit("bands of one record have different systems")).cast("int")).otherwise(F.get(codes, F.lit(0)))
+    old = name("proj:epsg") if "proj:epsg" in out.columns else F.lit(None).cast("int")
+    out = out.withColumn("proj:epsg", F.coalesce(old, one))
+    return out.withColumn("crs", F.coalesce(name("crs") if "crs" in out.columns else F.lit(None).cast("string"), crs_code_column(name("proj:epsg"))))

@@ -76,6 +76,13 @@ def wkb_bbox(col: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"], dtype="float64")
 
 
+@F.pandas_udf(T.BinaryType())
+def box_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """A box as a polygon; null where a side is."""
+    ok = ~(x0.isna() | y0.isna() | x1.isna() | y1.isna())
+    return pd.Series([wkb.polygon([(a, b), (c, b), (c, d), (a, d), (a, b)]) if k else None for a, b, c, d, k in zip(x0, y0, x1, y1, ok)])
+
+
 def geometry_bbox(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Adds ``bbox`` from the footprints; unreadable ones give null."""
     df = df.withColumn("bbox", wkb_bbox(name(geometry)))

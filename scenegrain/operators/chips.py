@@ -29,3 +29,12 @@ def grid_chips(spark, roi: Sequence[float], size: float, step: float) -> DataFra
     i, j = F.col("id") % max(nx, 1), F.floor(F.col("id") / max(nx, 1))
     xmin, ymin = i * step + x0, j * step + y0
     return spark.range(nx * ny).select(F.col("id").alias("chip"), xmin.alias("xmin"), ymin.alias("ymin"), (xmin + size).alias("xmax"), (ymin + size).alias("ymax"))
+
+
+def label_value(v):
+    """A label as a model takes it: whole numbers as int, others as float, NaN as None."""
+    import math
+
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return None
+    return int(v) if isinstance(v, (bool, int)) or (hasattr(v, "dtype") and v.dtype.kind in "iub") else float(v)

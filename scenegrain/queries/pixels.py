@@ -396,6 +396,69 @@ def sk09_stitch(spark, d):
     return last.join(area.mean_of_overlaps(p), ["gx", "gy"]).select("gx", "gy", "last", F.round("value", 6).alias("mean"))
 
 
+def _archive(spark, d):
+    """The rasters as real files: tiled GeoTIFFs in the shared folder, and a collection that names them."""
+    import os
+    from urllib.parse import urlparse
+
+    import numpy as np
+    import pyarrow as pa
+
+    from scenegrain.collection import Collection
+    from scenegrain.ingest.normalize import ASSETS
+    from scenegrain.session import scratch_path
+    from scenegrain.tiff.write import write
+
+    at = scratch_path(spark, "archive")
+    folder = urlparse(at).path if at.startswith("file:") else at
+    rows = _tiles(spark, d).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("tile_row", "tile_col", "pixels"))).alias("tiles"))
+    grid = rows.join(_records(spark, d).select("record", "tx", "ty"), "record")
+
+    def save(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            names = []
+            for q in b.to_pylist():
+                a = np.empty((16, 16), "int16")
+                for t in q["tiles"]:
+                    a[t["tile_row"] * 8 : t["tile_row"] * 8 + 8, t["tile_col"] * 8 : t["tile_col"] * 8 + 8] = np.reshape(t["pixels"], (8, 8))
+                names.append(f"{folder}/{q['record']}.tif")
+                write(names[-1], a, transform=(1.0, q["tx"], -1.0, q["ty"]), tile=8, compression=8, predictor=2, nodata=-9999)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string())], names=["record", "href"])
+
+    from scenegrain.session import settled
+
+    files = settled(spark, grid.mapInArrow(save, "record long, href string"), "files")
+    r = _records(spark, d).join(files, "record")
+    a = F.create_map(F.lit("B1"), F.struct("href", F.lit(0).alias("band_index"))).cast(ASSETS)
+    return Collection(r.select(F.col("record").cast("string").alias("id"), "datetime", F.lit(None).cast("binary").alias("geometry"), a.alias("assets"), "bbox"), "archive")
+
+
+@query(f"WITH {BASE} SELECT point_index, CAST(rec AS VARCHAR) AS record_id, value, c_mktsegment {_VALUE} JOIN customer ON c_custkey = point_index")
+def pt01_sample_files(spark, d):
+    """From files: headers, byte ranges, tiles and all."""
+    s = _archive(spark, d).sample_points(_points(spark, d), ["B1"], index="point_index", cell=8.0)
+    return s.select("point_index", "record_id", "value", "c_mktsegment")
+
+
+@query(f"WITH {BASE} SELECT point_index, rec AS record, value {_VALUE} WHERE value <> -9999")
+def pt04_valid_values(spark, d):
+    s = pts.sample(_points(spark, d), _records(spark, d), _tiles(spark, d), cell=8.0)
+    return s.filter(~tiles.is_nodata(F.col("value"), F.col("nodata"))).select("point_index", "record", "value")
+
+
+@query(f"WITH {_AREA} SELECT CAST(rec AS VARCHAR) AS record, geometry_id, count(*) FILTER (inside AND value <> -9999) AS n, sum(value) FILTER (inside AND value <> -9999) AS total FROM ap GROUP BY ALL HAVING count(*) FILTER (inside AND value <> -9999) > 0")
+def px10_read_files(spark, d):
+    """Areas from files, as a table of pixels."""
+    from scenegrain import read
+    from scenegrain.ingest.normalize import box_wkb
+
+    b = F.col("aoi")
+    aois = _aois(spark).select("geometry_id", box_wkb(b.xmin, b.ymin, b.xmax, b.ymax).alias("geometry"))
+    p = read.long_pixels(_archive(spark, d).area_frame(aois, ["B1"], partitions=8, cell=8.0))
+    return p.groupBy("record", "geometry_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 # ---- vectors ----------------------------------------------------------------------------------------------
 
 LONG = "lng AS (SELECT vec_id, label, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(i))"

@@ -676,6 +676,59 @@ def gf22_patch_box(spark, d):
     return _records(spark, d).filter("bbox IS NOT NULL").select("fid", (snap(b.xmin, b.xmax) - 0.125).alias("xmin"), (snap(b.ymin, b.ymax) + 0.125).alias("ymax"))
 
 
+def _with_box_wkb(df: DataFrame) -> DataFrame:
+    """Footprints drawn from the boxes, for checks that SQL can follow."""
+    b = F.col("bbox")
+    return df.filter("bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax").withColumn("geometry", normalize.box_wkb(b.xmin, b.ymin, b.xmax, b.ymax))
+
+
+@query("SELECT fid, bbox.xmin AS xmin, bbox.ymin AS ymin, bbox.xmax AS xmax, bbox.ymax AS ymax FROM records WHERE bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax")
+def gf02_geometry_bounds(spark, d):
+    r = _with_box_wkb(_records(spark, d).select("fid", "bbox")).drop("bbox")
+    return normalize.geometry_bbox(r).select("fid", "bbox.*")
+
+
+@query("SELECT fid, CASE WHEN fid % 3 > 0 THEN bbox.xmin END AS xmin FROM records WHERE bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax")
+def nm05_bbox_or_null(spark, d):
+    r = _with_box_wkb(_records(spark, d).select("fid", "bbox")).drop("bbox")
+    r = r.withColumn("geometry", F.when(F.col("fid") % 3 > 0, F.col("geometry")).otherwise(F.expr("X'0103'")))
+    return normalize.geometry_bbox(r).select("fid", "bbox.xmin")
+
+
+@query(f"SELECT DISTINCT point_index, fid FROM ({_PTS}) p JOIN records r ON lon >= r.bbox.xmin AND lon < r.bbox.xmax AND lat >= r.bbox.ymin AND lat < r.bbox.ymax WHERE bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax")
+def gf21_contains(spark, d):
+    from scenegrain.operators import spatial
+
+    r = _with_box_wkb(_records(spark, d).select("fid", "bbox"))
+    prints = spatial.footprints(r, "fid")
+    hits = spatial.locate_points(_lonlat(spark, d), spatial.slab_table(spatial.regions(prints)))
+    return hits.join(prints.select("region", "id").distinct(), "region").select(F.col("point").alias("point_index"), F.col("id").alias("fid")).distinct()
+
+
+@query("SELECT fid, CASE fid % 4 WHEN 0 THEN 'h' WHEN 1 THEN 's' WHEN 2 THEN 'c' ELSE 'l' END || fid AS href FROM records")
+def nm13_asset_href(spark, d):
+    from scenegrain.ingest.enrich import asset_href
+
+    k, n = F.col("fid") % 4, F.col("fid").cast("string")
+    a = F.when(k == 0, F.concat(F.lit('{"href": "h'), n, F.lit('", "alternate": {"s3": {"href": "x"}}}'))).when(k == 1, F.concat(F.lit('{"alternate": {"https": {"href": "x"}, "s3": {"href": "s'), n, F.lit('"}}}')))
+    a = a.when(k == 2, F.concat(F.lit('{"alternate": {"cloudfront": {"href": "c'), n, F.lit('"}}}'))).otherwise(F.concat(F.lit('{"links": [{"href": "l'), n, F.lit('"}]}')))
+    return _records(spark, d).select("fid", asset_href(a).alias("href"))
+
+
+@query("SELECT fid, assets.B04.href AS b04, assets.B08.href AS b08 FROM (SELECT fid, any_value(assets) AS assets FROM records WHERE assets IS NOT NULL GROUP BY fid)")
+def nm16_band_columns(spark, d):
+    from scenegrain.ingest.enrich import url_index, with_headers
+
+    r = normalize.assets_map(_records(spark, d).select("fid", "assets").filter("assets IS NOT NULL")).dropDuplicates(["fid"])
+    heads = url_index(r, "fid").select("href").distinct().select("href", F.struct(F.col("href").alias("file")).alias("header"))
+    return with_headers(r, heads, ["B04", "B08"], "fid").select("fid", F.col("B04_metadata.file").alias("b04"), F.col("B08_metadata.file").alias("b08"))
+
+
+@query(f"SELECT id, collection FROM ({_ITEMS}) ORDER BY datetime, id LIMIT 40")
+def sc15_limited_items(spark, d):
+    return stac.search(stac.items(_stac_json(spark, d), "item"), max_items=40).select("id", "collection")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -79,3 +79,16 @@ class Retrying:
             if k + 1 < self.attempts:
                 time.sleep(self.wait * 2**k)
         raise error
+
+
+class Prefixed:
+    """Another source that is asked by path: a prefix of the address is taken off first."""
+
+    def __init__(self, inner: ByteSource, prefix: str):
+        self.inner, self.prefix = inner, prefix
+
+    def get_range(self, url: str, offset: int, size: int) -> bytes:
+        return self.inner.get_range(url.removeprefix(self.prefix), offset, size)
+
+    def get_ranges(self, url: str, ranges: Sequence[tuple[int, int]]) -> list[bytes]:
+        return self.inner.get_ranges(url.removeprefix(self.prefix), ranges)
