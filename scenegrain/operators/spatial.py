@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from scenegrain.functions import polygons, wkb
 from scenegrain.operators.joins import salted_join
+from scenegrain.session import settled
 
 #: Mean radius of the Earth in metres; radius of the sphere of web Mercator.
 EARTH_M, MERCATOR_M = 6371008.8, 6378137.0
@@ -152,7 +153,7 @@ def points_in_records(points: DataFrame, records: DataFrame, id_col: str = "fid"
     Records written over the same ground share one region, so each point is located once a region and
     not once a record.
     """
-    prints = footprints(records, id_col)
+    prints = settled(records.sparkSession, footprints(records, id_col), "footprints")  # parsed once, read twice
     hits = locate_points(placed_points(points), slab_table(regions(prints), cell), cell)
     return salted_join(prints.select("region", "id").distinct(), hits, ["region"]).select("point", "id")
 
