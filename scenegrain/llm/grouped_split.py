@@ -121,8 +121,8 @@ def shared_ground(regs: DataFrame, thinnest: float = 1e-6, fine: float = 1 / 64,
 
 def record_groups(records: DataFrame, id_col: str = "fid") -> DataFrame:
     """Rows (id, group) of the records that have a readable footprint. A record with several footprints ties their groups together."""
-    prints = footprints(records, id_col)
-    member = settled(records.sparkSession, prints.select("id", "region").distinct(), "members")
+    prints = settled(records.sparkSession, footprints(records, id_col), "footprints")  # parsed once, read twice
+    member = prints.select("id", "region").distinct()
     grouped = shared_ground(regions(prints))
     rows = member.join(grouped, "region").select("id", "group").distinct()
     several = rows.groupBy("id").agg(F.count("*").alias("n"), F.min("group").alias("g")).filter("n > 1").select("id")
