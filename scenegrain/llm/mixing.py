@@ -42,12 +42,12 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     w = F.col("weight").cast("double")
     t = targets.filter("source IS NOT NULL").select("source", _name(F.col("source")).alias("key"), F.when((w > 0) & ~F.isnan(w), w).otherwise(0.0).alias("weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     t = t.groupBy("key").agg(F.min("source").alias("source"), F.sum("weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
-    have = sizes.groupBy("key").agg(F.sum("tokens").alias("tokens"))
-    total = have.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    weights = t.agg(F.sum("weight").alias("all"))
-    # One-row tables on the right: a broadcast of one row each.
-    j = t.join(have, "key", "left").join(F.broadcast(total)).join(F.broadcast(weights))
-    j = j.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("wanted", F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(0.0)).withColumn("cap", F.col("max_repeats") * F.col("tokens"))
+    # One row a source, read for the sums and for the join; the texts are encoded once.
+    have = settled(sizes.sparkSession, sizes.groupBy("key").agg(F.sum("tokens").alias("tokens")), "tokens")
+    total = have.agg(F.sum("tokens")).first()[0] or 0
+    weights = t.agg(F.sum("weight")).first()[0] or 0.0
+    j = t.join(have, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long"))).withColumn("total", F.lit(total).cast("long"))
+    j = j.withColumn("wanted", F.col("weight") / weights if weights > 0 else F.lit(0.0)).withColumn("cap", F.col("max_repeats") * F.col("tokens"))
     return j.select("source", "key", "wanted", "max_repeats", "tokens", "cap", "total", (F.col("wanted") * F.col("total") > F.col("cap")).alias("out_of_reach"))
 
 
