@@ -19,6 +19,10 @@ SIDECAR = "_collection.json"
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
+def _local(path: str) -> str:
+    return re.sub(r"^file:(//)?", "", path)
+
+
 def _is_box(t: T.DataType) -> bool:
     return isinstance(t, T.StructType) and {"xmin", "ymin", "xmax", "ymax"} <= {f.name for f in t.fields}
 
@@ -56,7 +60,7 @@ class Collection:
         if validate:
             check_contract(df)
         meta = {}
-        side = os.path.join(path.removeprefix("file://"), SIDECAR)
+        side = os.path.join(_local(path), SIDECAR)
         if os.path.exists(side):
             with open(side) as f:
                 meta = json.load(f)
@@ -230,7 +234,7 @@ class Collection:
         # one shuffle by partition, so that a partition isn't scattered over as many files as there are tasks
         df = df.repartition(*parts) if parts else df
         df.write.mode("overwrite").partitionBy(*parts).option("compression", "zstd").option("maxRecordsPerFile", 50_000 * 20).parquet(path)
-        local = path.removeprefix("file://")
+        local = _local(path)
         if os.path.isdir(local):
             meta = {"name": self.name, "description": self.description, "data_source": self.data_source, "start_date": self.start_date, "end_date": self.end_date}
             with open(os.path.join(local, SIDECAR), "w") as f:

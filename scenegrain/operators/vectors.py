@@ -73,8 +73,8 @@ def pivot_wide(long: DataFrame, key: str, band: str, value: str, bands: Sequence
 
 def threshold(df: DataFrame, score: str, percent: float) -> DataFrame:
     """Adds ``predicted``: the score reaches the given percentile (linear between ranks) of all scores."""
-    cut = df.agg(F.percentile(score, percent / 100).alias("cut"))
-    return df.join(F.broadcast(cut)).withColumn("predicted", F.col(score) >= F.col("cut"))  # one row
+    cut = df.agg(F.percentile(score, percent / 100)).first()[0]
+    return df.withColumn("predicted", F.col(score) >= F.lit(cut))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -517,8 +517,8 @@ _SIM = "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE
 
 def _sims(spark, d):
     e = _t(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))  # one row
+    q = F.array(*map(F.lit, e.filter("vec_id = 0").first().embedding))
+    return e.select("vec_id", F.round(vectors.cosine(F.col("embedding"), q), 6).alias("similarity"))
 
 
 @query(_SIM)
