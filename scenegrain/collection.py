@@ -140,10 +140,9 @@ class Collection:
 
     def rows(self, columns: Sequence[str] | None = None) -> DataFrame:
         """The plan: the wide table, semi-joined with the ids (and data shards) that the index still holds."""
-        df = self.df
-        if self.index is not None:
-            keys = ["id", *(["source_part"] if "source_part" in self.index.columns and "source_part" in df.columns else [])]
-            df = df.join(self.index.select(*keys).distinct(), keys, "left_semi")
+        from scenegrain.plans.two_surface import restrict
+
+        df = restrict(self.df, self.index)
         return df.select(*[P.name(c) for c in columns]) if columns else df
 
     # ---- look -----------------------------------------------------------------------------------
@@ -161,11 +160,18 @@ class Collection:
         return self.rows(columns).toLocalIterator(prefetchPartitions=True)
 
     def to_arrow(self, columns: Sequence[str] | None = None):
-        """An Arrow table; its capsule methods serve ``__arrow_c_stream__`` consumers."""
-        return self.rows(columns).toArrow()
+        """An Arrow table; the geometry column says that it is WKB in lon/lat."""
+        t = self.rows(columns).toArrow()
+        if "geometry" in t.column_names:
+            i = t.column_names.index("geometry")
+            meta = {"ARROW:extension:name": "geoarrow.wkb", "ARROW:extension:metadata": json.dumps({"crs": "OGC:CRS84"})}
+            t = t.cast(t.schema.set(i, t.schema.field(i).with_metadata(meta)))
+        return t
 
     def __arrow_c_stream__(self, requested_schema=None):
-        return self.to_arrow().__arrow_c_stream__(requested_schema)
+        if requested_schema is not None:
+            raise NotImplementedError("select columns before exporting; other schemas are not negotiated")
+        return self.to_arrow().__arrow_c_stream__()
 
     @property
     def bands(self) -> list[str]:

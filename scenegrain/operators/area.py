@@ -68,6 +68,13 @@ def combine_first(pixels: DataFrame, order: list[str]) -> DataFrame:
     return pixels.groupBy("gx", "gy").agg(F.min_by("value", F.when(F.col("valid"), F.struct(*order))).alias("value"))
 
 
+def merge_strict(pixels: DataFrame) -> DataFrame:
+    """The one valid value at each place; records that disagree are an error."""
+    v = F.when(F.col("valid"), F.col("value"))
+    g = pixels.groupBy("gx", "gy").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return g.select("gx", "gy", F.when(F.col("lo") < F.col("hi"), F.raise_error(F.lit("records disagree")).cast("double")).otherwise(F.col("lo")).alias("value"))
+
+
 def last_wins(pixels: DataFrame, order: list[str]) -> DataFrame:
     """Later records overwrite earlier ones, nodata too."""
     return pixels.groupBy("gx", "gy").agg(F.max_by("value", F.struct(*order)).alias("value"))

@@ -285,12 +285,14 @@ def px02_mask(spark, d):
     return p.groupBy("record", "geometry_id").agg(F.count_if("inside").alias("inside"), F.count("*").alias("pixels"))
 
 
-@query(f"WITH {GRID}, q AS (SELECT x AS gx, y AS gy FROM range(-4, 30) a(x), range(-4, 24) b(y)) SELECT gx, gy, coalesce(value, -1.0) AS value FROM q LEFT JOIN (SELECT * FROM gp WHERE rec = 0) USING (gx, gy)")
+@query(f"WITH {RECS}, {PIX} SELECT recs.rec AS record, i AS row, j AS col, coalesce(value, -1.0) AS value FROM recs CROSS JOIN range(-4, 20) a(i) CROSS JOIN range(-4, 20) b(j) LEFT JOIN pix ON pix.rec = recs.rec AND row = i AND col = j")
 def px03_boundless(spark, d):
-    r = _records(spark, d).filter("record = 0")
-    p = area.map_pixels(r, _tiles(spark, d)).select("gx", "gy", "value")
-    q = spark.range(34 * 28).select((F.col("id") % 34 - 4).alias("gx"), (F.floor(F.col("id") / 34) - 4).cast("long").alias("gy"))
-    return q.join(p, ["gx", "gy"], "left").select("gx", "gy", F.coalesce("value", F.lit(-1.0)).alias("value"))
+    """A window four pixels larger than each raster: what lies outside is filled."""
+    r = _records(spark, d)
+    p = tiles.pixels_of_tiles(_tiles(spark, d).join(r, "record")).select("record", "row", "col", "value")
+    span = F.sequence(F.lit(-4), F.lit(19))
+    q = r.select("record", F.explode(span).alias("row")).select("record", "row", F.explode(span).alias("col"))
+    return q.join(p, ["record", "row", "col"], "left").select("record", "row", "col", F.coalesce("value", F.lit(-1.0)).alias("value"))
 
 
 @query(f"WITH {_AREA} SELECT rec AS record, geometry_id, CAST(max(row) - min(row) + 1 AS INT) AS height, CAST(max(col) - min(col) + 1 AS INT) AS width, string_agg(CAST(CAST(CASE WHEN inside THEN value ELSE -9999 END AS INT) AS VARCHAR), ',' ORDER BY row, col) AS data FROM ap GROUP BY ALL")

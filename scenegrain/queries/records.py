@@ -227,13 +227,14 @@ def fl11_build_pushdown(spark, d):
     return _records(spark, d).filter(P.bbox_overlaps(BOX) & P.date_between("2022-01-01", None)).select("id", "year")
 
 
-@query("SELECT r.id FROM records r, (SELECT greatest(min(point_x), -60.0) AS x0, least(max(point_x), 60.0) AS x1, greatest(min(point_y), 0.0) AS y0, least(max(point_y), 80.0) AS y1 FROM points WHERE point_crs = 4326 AND abs(point_x) <= 180 AND abs(point_y) <= 90 AND point_index % 50 = 7) q WHERE bbox.xmax >= x0 AND bbox.xmin <= x1 AND bbox.ymax >= y0 AND bbox.ymin <= y1")
+@query("SELECT r.id FROM records r, (SELECT greatest(min(point_x), -60.0) AS x0, least(max(point_x), 60.0) AS x1, greatest(min(point_y), 0.0) AS y0, least(max(point_y), 80.0) AS y1 FROM points WHERE point_crs = 4326 AND abs(point_x) <= 180 AND abs(point_y) <= 90) q WHERE bbox.xmax >= x0 AND bbox.xmin <= x1 AND bbox.ymax >= y0 AND bbox.ymin <= y1")
 def fl12_derived_bbox(spark, d):
-    p = _t(spark, d, "points").filter("point_crs = 4326 AND abs(point_x) <= 180 AND abs(point_y) <= 90 AND point_index % 50 = 7")
-    q = p.agg(F.greatest(F.min("point_x"), F.lit(-60.0)), F.least(F.max("point_x"), F.lit(60.0)), F.greatest(F.min("point_y"), F.lit(0.0)), F.least(F.max("point_y"), F.lit(80.0))).first()
-    if q[0] is None or q[0] > q[1] or q[2] > q[3]:  # disjoint: no scan at all
-        return _records(spark, d).filter(F.lit(False)).select("id")
-    return _collection(spark, d).subset(bbox=(q[0], q[2], q[1], q[3])).rows(["id"])
+    from scenegrain.plans.two_surface import narrow
+
+    p = _t(spark, d, "points").filter("point_crs = 4326 AND abs(point_x) <= 180 AND abs(point_y) <= 90")
+    x, y = F.col("point_x"), F.col("point_y")
+    boxes = p.select(F.struct(x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax")).alias("bbox"))
+    return narrow(_records(spark, d), boxes, (-60.0, 0.0, 60.0, 80.0)).select("id")
 
 
 @query("SELECT id, datetime, collection FROM (SELECT DISTINCT id, datetime, collection FROM records WHERE id IS NOT NULL) ORDER BY datetime NULLS FIRST, id, collection NULLS FIRST LIMIT 30")
@@ -287,10 +288,10 @@ def jn03_aois(spark, d):
     return overlap_join(_records(spark, d).select("id", "bbox"), _aois(spark), "bbox", "aoi_bbox", 2.0).select("aoi", "id")
 
 
-@query("SELECT point_index, sensor_id, plot_id, tag FROM points LEFT JOIN (SELECT DISTINCT plot_id, 'p' || length(plot_id) AS tag FROM points WHERE plot_id < 'plot-00-005') USING (plot_id)")
+@query("SELECT point_index, sensor_id, plot_id, tag FROM points LEFT JOIN (SELECT plot_id, 'p' || count(*) AS tag FROM points WHERE plot_id IS NOT NULL GROUP BY plot_id HAVING count(*) > 2) USING (plot_id)")
 def jn04_left_metadata(spark, d):
     p = _t(spark, d, "points")
-    meta = p.filter("plot_id < 'plot-00-005'").select("plot_id").distinct().withColumn("tag", F.concat(F.lit("p"), F.length("plot_id").cast("string")))
+    meta = p.filter("plot_id IS NOT NULL").groupBy("plot_id").count().filter("count > 2").select("plot_id", F.concat(F.lit("p"), F.col("count").cast("string")).alias("tag"))
     return p.join(meta, "plot_id", "left").select("point_index", "sensor_id", "plot_id", "tag")
 
 

@@ -259,3 +259,27 @@ def test_incremental_ingest(spark, three, tmp_path):
     ingest_stream(spark, inn, out, ck, src.schema).awaitTermination()
     rows = spark.read.parquet(current(out)).collect()
     assert len(rows) == 3 and {r.id: r["eo:cloud_cover"] for r in rows}["scene-1"] == 77.0
+
+
+def test_two_surface_planning(spark, three, tmp_path):
+    from scenegrain.plans import two_surface as T
+
+    for k, part in enumerate(("part-00000.parquet", "part-00001.parquet")):
+        three.df.filter(f"id = 'scene-{k + 1}'").selectExpr("id", f"'{part}' as source_part").toPandas().to_parquet(tmp_path / part)
+    index = spark.createDataFrame([("scene-1", 2024, "part-00000.parquet"), ("scene-2", 2023, "part-00001.parquet")], "id string, year int, source_part string")
+    only = T.open_shards(spark, str(tmp_path), index.filter("year = 2024"))
+    assert [r.id for r in only.collect()] == ["scene-1"] and [os.path.basename(f) for f in only.inputFiles()] == ["part-00000.parquet"]
+    assert T.open_shards(spark, str(tmp_path), index.filter("year = 1999")).count() == 0
+    assert T.intersect((0, 0, 2, 2), (1, 1, 3, 3)) == (1, 1, 2, 2) and T.intersect(None, None) is None and T.intersect(None, (1, 2, 3, 4)) == (1, 2, 3, 4)
+    aoi = spark.createDataFrame([((9.0, 9.0, 10.5, 10.5),)], "bbox struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    assert [r.id for r in T.narrow(three.df, aoi).collect()] == ["scene-2"]
+    gone = T.narrow(three.df, aoi, (50, 50, 60, 60))
+    assert gone.count() == 0 and "Scan" not in plan(gone).replace("LocalTableScan", "")
+
+
+def test_arrow_export_names_the_geometry(three):
+    import pyarrow as pa
+
+    t = three.to_arrow(["id", "geometry"])
+    assert t.schema.field("geometry").metadata[b"ARROW:extension:name"] == b"geoarrow.wkb"
+    assert pa.RecordBatchReader.from_stream(three).read_all().num_rows == 3

@@ -61,6 +61,9 @@ def test_mosaic(spark):
     r, t = raster(spark, [(first, 0), (second, 0)], transform=(1.0, 0.0, -1.0, 4.0), nodata=0.0, tile=4)
     m = {(x.gx, x.gy): x.value for x in area.first_valid(area.map_pixels(r, t), ["record"]).collect()}
     assert [[m[c, row] for c in range(4)] for row in range(4)] == [[1, 1, 2, 2]] * 4
+    with pytest.raises(Exception, match="records disagree"):
+        area.merge_strict(area.map_pixels(r, t)).collect()
+    assert {x.value for x in area.merge_strict(area.map_pixels(r.filter("record = 1"), t)).collect()} == {2.0}
 
 
 
