@@ -37,7 +37,7 @@ class Index:
     nodata: float = -128.0
     sample: int = 20_000
     occupancy: float = 32.0
-    max_centroids: int = 512
+    max_centroids: int = 1024
     candidates: int = 3_000
     block: int = 16_384
     rounds: int = 8
@@ -84,15 +84,15 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> lis
     """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries."""
     o1, o2 = np.argsort(d1), np.argsort(d2)
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    grid = counts[np.ix_(o1, o2)]
+    o1, o2 = o1.tolist(), o2.tolist()
     heap, held, out = [(s1[0] + s2[0], 0, 0)], 0, []
     k1, k2 = len(s1), len(s2)
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        n = grid[i, j]
+        n = counts[o1[i], o2[j]]
         if n:
-            out.append((int(o1[i]), int(o2[j])))
-            held += n
+            out.append((o1[i], o2[j]))
+            held += int(n)
         # (i, j + 1) follows (i, j); (i + 1, 0) follows (i, 0): each pair enters the heap once
         if j + 1 < k2:
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
@@ -123,7 +123,7 @@ def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, q
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c1), pa.array(c2)], names=["id", "unit", "c1", "c2"])
 
     entries = settled(spark, units.mapInArrow(assign, "id long, unit binary, c1 int, c2 int"), "entries")
-    counts = np.zeros((kc, kc), "i8")  # at most max_centroids^2 cells, whatever the number of vectors
+    counts = np.zeros((kc, kc), "i4")  # at most max_centroids^2 cells, whatever the number of vectors
     for r in entries.groupBy("c1", "c2").count().collect():
         counts[r.c1, r.c2] = r["count"]
     shipped = spark.sparkContext.broadcast(counts)
@@ -145,7 +145,7 @@ def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, q
     probes = settled(spark, queries.select("id", "unit").mapInArrow(probe, "query long, c1 int, c2s array<int>"), "probes")
     # Parts of each meeting place: at most max_centroids rows.
     asked = {r.c1: r["count"] for r in probes.groupBy("c1").count().collect()}
-    parts = spark.createDataFrame([(i, -(-int(c) // ix.block) or 1, -(-asked.get(i, 1) // ix.block)) for i, c in enumerate(counts.sum(1))], "c1 int, ne int, nq int")
+    parts = spark.createDataFrame([(i, -(-int(c) // ix.block) or 1, -(-asked.get(i, 1) // ix.block)) for i, c in enumerate(counts.sum(1, dtype="i8"))], "c1 int, ne int, nq int")
     parts = F.broadcast(parts)
     left = entries.join(parts, "c1").select("c1", F.pmod(F.xxhash64("id"), F.col("ne")).cast("int").alias("pe"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("pq"), "id", "unit", "c2")
     right = probes.join(queries.select(F.col("id").alias("query"), "unit"), "query").join(parts, "c1")
