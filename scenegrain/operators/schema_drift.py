@@ -80,6 +80,8 @@ def _hits(o: dict, wanted: dict[str, int], n: int) -> list:
                     out[f] = (at, v)
                 elif isinstance(v, dict):
                     below.append((at, v))
+                elif isinstance(v, list):
+                    below += [(at, x) for x in v if isinstance(x, dict)]
         level = below
     return out
 

@@ -53,6 +53,11 @@ def test_unify_rules_and_versions(spark):
     assert any("rename layout.samples_per_pixel -> samples_per_pixel" in x for x in v[1].rules)
 
 
+def test_nested_in_lists(spark):
+    df = lines(spark, [(1, "a", 0, [{"nodata": 1}]), (2, "a", 1, [{"bands": [3, {"deep": {"NoData": 1}}]}])])
+    assert found(df) == [(2, "nodata", "renamed")]
+
+
 def test_empty_and_very_long(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert found(empty) == [] and S.unify(S.flatten(empty)).count() == 0
