@@ -4,6 +4,9 @@ Unit vectors are cut into two halves; each half is quantised by its own codebook
 cell of a pair of centroids. A query walks the pairs by ascending summed distance with a heap until the cells
 hold enough entries, and the entries of the walked cells are reranked by their cosine similarity.
 
+A cell that holds far more than a query wants (``hot``) is parted by a codebook of its own, over whole
+vectors; its parts enter the walk by their own distance, so a dense region costs a query no more than others.
+
 The codebooks are fitted on at most ``sample`` vectors (those with the smallest hash of their id); every vector
 is indexed. Entries and queries meet per first centroid; large meeting places are parted by entries and by
 queries, both to a bound, so no task grows with a hot cell.
@@ -31,7 +34,7 @@ from scenegrain.session import settled
 @dataclass(frozen=True)
 class Index:
     """Parameters. ``occupancy``: wanted vectors a cell, which sets the number of centroids (at most ``max_centroids``);
-    ``candidates``: entries a query walks at least; ``block``: entries and queries that meet in one task at most."""
+    ``candidates``: entries a query walks at least; ``hot``: entries above which a cell is parted; ``block``: entries and queries that meet in one task at most."""
 
     dim: int = 64
     nodata: float = -128.0
@@ -39,6 +42,7 @@ class Index:
     occupancy: float = 32.0
     max_centroids: int = 1024
     candidates: int = 3_000
+    hot: int = 12_000
     block: int = 16_384
     rounds: int = 8
 
@@ -80,18 +84,44 @@ def _codebook(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c.astype("f4")
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries."""
+@dataclass(frozen=True)
+class Parts:
+    """Of one hot cell: its first centroid, the codes of its parts (beyond those of second centroids), their centroids and counts."""
+
+    c1: int
+    first: int
+    centroids: np.ndarray
+    counts: tuple[int, ...]
+
+
+def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, query: np.ndarray | None = None, hot: dict[tuple[int, int], Parts] | None = None) -> list[tuple[int, int]]:
+    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries.
+
+    A hot cell gives way to its parts, which join the heap by their distance to the query.
+    """
     o1, o2 = np.argsort(d1), np.argsort(d2)
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
     o1, o2 = o1.tolist(), o2.tolist()
     heap, held, out = [(s1[0] + s2[0], 0, 0)], 0, []
     k1, k2 = len(s1), len(s2)
+    opened: list[tuple[int, int, int]] = []
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        n = counts[o1[i], o2[j]]
-        if n:
-            out.append((o1[i], o2[j]))
+        if i < 0:
+            c1, code, n = opened[j]
+            out.append((c1, code))
+            held += n
+            continue
+        cell = o1[i], o2[j]
+        n = counts[cell]
+        if n and hot and cell in hot:
+            p = hot[cell]
+            for k, (d, m) in enumerate(zip(((p.centroids - query) ** 2).sum(1).tolist(), p.counts)):
+                if m:
+                    heapq.heappush(heap, (d, -1, len(opened)))
+                    opened.append((p.c1, p.first + k, m))
+        elif n:
+            out.append(cell)
             held += int(n)
         # (i, j + 1) follows (i, j); (i + 1, 0) follows (i, 0): each pair enters the heap once
         if j + 1 < k2:
@@ -101,6 +131,36 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> lis
     return out
 
 
+def _part_hot_cells(entries: DataFrame, counts: np.ndarray, x: np.ndarray, books: list[np.ndarray], ix: Index) -> tuple[DataFrame, dict[tuple[int, int], Parts]]:
+    """The entries with the codes of parts in place of the second centroid of hot cells, and these parts. At most 256 parts a cell."""
+    half = ix.dim // 2
+    near = [_sq(x[:, s], c).argmin(1) for s, c in zip((slice(0, half), slice(half, None)), books)]
+    found, first = {}, len(books[1])
+    for c1, c2 in zip(*map(list, np.nonzero(counts > ix.hot))):
+        own = x[(near[0] == c1) & (near[1] == c2)]
+        k = min(256, len(own) // 4, int(counts[c1, c2] // max(1, ix.candidates // 8)))
+        if k >= 2:
+            found[int(c1), int(c2)] = (first, _codebook(own, k, ix.rounds))
+            first += k
+    if not found:
+        return entries, {}
+    spark = entries.sparkSession
+
+    def recode(batches):
+        for b in batches:
+            m = _matrix(b.column(1), ix.dim)
+            c1, c2 = b.column(2).to_numpy(), b.column(3).to_numpy().copy()
+            for (i, j), (start, centroids) in found.items():
+                at = np.nonzero((c1 == i) & (b.column(3).to_numpy() == j))[0]
+                if len(at):
+                    c2[at] = start + _sq(m[at], centroids).argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c2)], names=["id", "unit", "c1", "c2"])
+
+    parted = settled(spark, entries.mapInArrow(recode, "id long, unit binary, c1 int, c2 int"), "parted")
+    size = {r.c2: r["count"] for r in parted.filter(F.col("c2") >= len(books[1])).groupBy("c2").count().collect()}
+    return parted, {cell: Parts(cell[0], start, centroids, tuple(size.get(start + k, 0) for k in range(len(centroids)))) for cell, (start, centroids) in found.items()}
+
+
 def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, queries: DataFrame | None = None) -> DataFrame:
     """Rows (query, id, similarity): for each row of ``queries`` (default: all) its ``k`` most similar other rows of ``units``."""
     spark = units.sparkSession
@@ -126,17 +186,18 @@ def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, q
     counts = np.zeros((kc, kc), "i4")  # at most max_centroids^2 cells, whatever the number of vectors
     for r in entries.groupBy("c1", "c2").count().collect():
         counts[r.c1, r.c2] = r["count"]
-    shipped = spark.sparkContext.broadcast(counts)
+    entries, hot = _part_hot_cells(entries, counts, x, books, ix)
+    shipped = spark.sparkContext.broadcast((counts, hot))
 
     def probe(batches):
-        cells = shipped.value
+        cells, hot = shipped.value
         for b in batches:
             m = _matrix(b.column(1), ix.dim)
             d1, d2 = _sq(m[:, :half], books[0]), _sq(m[:, half:], books[1])
             qs, firsts, seconds = [], [], []
-            for q, a, c in zip(b.column(0).to_pylist(), d1, d2):
+            for q, v, a, c in zip(b.column(0).to_pylist(), m, d1, d2):
                 by: dict[int, list[int]] = {}
-                for i, j in walk(a, c, cells, ix.candidates):
+                for i, j in walk(a, c, cells, ix.candidates, v, hot):
                     by.setdefault(i, []).append(j)
                 for i, js in by.items():
                     qs.append(q), firsts.append(i), seconds.append(js)

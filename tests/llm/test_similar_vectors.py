@@ -50,6 +50,22 @@ def test_blocks_split_hot_places(spark):
     assert a == b == brute(rows, 5, -1)
 
 
+def test_a_dense_region_is_parted(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    dense = [centre + rng.normal(size=64) * 0.02 * rng.uniform(0.5, 1) + rng.normal(size=64).cumsum() * 0.02 for _ in range(1200)]
+    rows = list(enumerate(dense)) + [(5000 + i, v) for i, v in clustered(6, groups=300)]
+    ix = V.Index(candidates=400, occupancy=60, hot=300, rounds=5)
+    seen = {}
+    real = V._part_hot_cells
+    monkeypatch.setattr(V, "_part_hot_cells", lambda *a: seen.setdefault("out", real(*a)))
+    got = {(r.query, r.id) for r in V.similar(table(spark, rows), 5, ix=ix).collect()}
+    want = brute(rows, 5, -1)
+    hot = seen["out"][1]
+    assert hot and all(len(p.counts) >= 2 for p in hot.values()) and max(max(p.counts) for p in hot.values()) < 600
+    assert len(got & want) / len(want) > 0.9 and len({q for q, _ in got}) == len(rows)
+
+
 def test_copies_ties_and_dirt(spark):
     v, w = np.arange(1.0, 65.0), np.concatenate([np.ones(32), -np.ones(32)])
     rows = [(i, v) for i in range(1, 10)] + [(20, w), (21, w * 2)]
