@@ -20,6 +20,8 @@ import functools
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,24 +154,167 @@ def resolve_local(df: DataFrame, local: str, zone: str, first: str) -> DataFrame
     return df.withColumn("r_", F.struct(one.alias("us"), F.when(F.col(first), F.lit(1)).otherwise(n).alias("n"))).drop("a_", "b_", "ga_", "gb_")
 
 
+#: Delays are told apart in bins up to ``_FAR`` to either side; later (or impossibly early) arrivals are one class of their own.
+_FAR = 60 * DAY
+
+
+def _blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and bins of the block that each bin lies in: the likeliest parting of the bins into blocks of even density (dynamic programming), so that edges stay sharp."""
+    full = np.nonzero(counts)[0]
+    edges = np.unique(np.concatenate([[0], full, full + 1, [len(counts)]]))
+    sums = np.concatenate([[0], np.cumsum(counts)])[edges].astype("f8")
+    price = 4 - np.log(3.68 * max(sums[-1], 1) ** -0.478)  # a false edge in 20 samples
+    best, last = np.zeros(len(edges)), np.zeros(len(edges), int)
+    for e in range(1, len(edges)):
+        n, w = sums[e] - sums[:e], edges[e] - edges[:e]
+        gain = best[:e] + n * np.log(np.maximum(n, 1) / w) - price
+        last[e] = gain.argmax()
+        best[e] = gain[last[e]]
+    rows, wide, e = np.zeros(len(counts)), np.ones(len(counts)), len(edges) - 1
+    while e:
+        a, b = edges[last[e]], edges[e]
+        rows[a:b], wide[a:b] = sums[e] - sums[last[e]], b - a
+        e = last[e]
+    return rows, wide
+
+
+def _delay_density(own: np.ndarray, pooled: np.ndarray, pooled_blocks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log density over delay bins (the last: far ones): a mixture of the feed's delays, those of all feeds and an even floor.
+
+    The weights are fitted (EM) to the feed's delays, each held against its block without itself; to all feeds' where it has none.
+    """
+    fit = own if own[:-1].sum() > 1 else pooled
+    at, size = np.nonzero(fit[:-1])[0], len(fit) - 1
+    parts, held = [np.full(size, 1 / size)], [np.full(len(at), 1 / size)]
+    for counts, (rows, wide) in [(pooled, pooled_blocks)] + ([(own, _blocks(own[:-1]))] if fit is own else []):
+        total = counts[:-1].sum()
+        parts.append(rows / wide / max(total, 1))
+        held.append(np.maximum(rows[at] - 1, 0) / wide[at] / max(total - 1, 1))
+    p, h, weight = np.array(parts), np.array(held), np.full(len(parts), 1 / len(parts))
+    for _ in range(60 if len(at) else 0):
+        share = weight[:, None] * h
+        weight = (share / share.sum(0) * fit[at]).sum(1) / fit[at].sum()
+        weight[0] = max(weight[0], 0.01)
+        weight /= weight.sum()
+    # Far delays have the density of the floor, so that no offset gains by pushing a row over the border.
+    return np.log(np.append(weight @ p, weight[0] / size))
+
+
+@functools.cache
+def _changes(name: str, first: int, last: int) -> tuple[tuple[int, int, int], ...]:
+    """(instant, offset before, offset after) of the zone's changes of offset between two instants, all in seconds; the first row holds from the beginning."""
+    z = zoneinfo.ZoneInfo(name)
+    off = lambda t: int((datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(z).utcoffset().total_seconds())
+    t, o = first, off(first)
+    out = [(first, o, o)]
+    while t < last:
+        u = t + 14 * 86_400
+        p = off(u)
+        if p != o:
+            a, b = t, u
+            while b - a > 1:
+                m = (a + b) // 2
+                a, b = (m, b) if off(m) == o else (a, m)
+            out.append((b, o, off(b)))
+            u, p = b, off(b)
+        t, o = u, p
+    return tuple(out)
+
+
+def _histories(hours: np.ndarray, ks: np.ndarray, step_s: int) -> np.ndarray:
+    """Offsets (index into ``ks``) by hour of local time and history: every distinct one of the zones and every fixed offset. Where a local time is had twice, its first offset."""
+    lo, hi = (int(np.clip(h, -600_000, 2_000_000)) * 3600 for h in (hours[0] - 48, hours[-1] + 48))
+    found = {}
+    for i in range(len(ks)):
+        col = np.full(len(hours), i, "u1")
+        found[col.tobytes()] = col
+    for name in sorted(zoneinfo.available_timezones() - {"localtime", "Factory", "posixrules"}):
+        rows = _changes(name, lo, hi)
+        starts = np.array([-(2**60), *[t + max(a, b) for t, a, b in rows[1:]]])
+        k = np.clip(np.round(np.array([b for _, _, b in rows]) / step_s).astype(int) - ks[0], 0, len(ks) - 1).astype("u1")
+        col = k[np.searchsorted(starts, hours * 3600, side="right") - 1]
+        found[col.tobytes()] = col
+    return np.stack(list(found.values()), axis=1)
+
+
+def _best_history(hours: np.ndarray, of: np.ndarray, bins: np.ndarray, n: np.ndarray, log_f: np.ndarray, ks: np.ndarray, step_s: int) -> np.ndarray:
+    """The offset (in steps) at every hour of the likeliest history: a zone's or a fixed one, or several in turn at a price a change (Viterbi).
+
+    ``of``, ``bins``, ``n``: the hour (ascending index), delay bin of the local text and count of the rows; -1 for rows that say nothing.
+    """
+    far = len(log_f) - 1
+    at = _histories(hours, ks, step_s)
+    price = np.log(max(int(n.sum()), 2)) + np.log(at.shape[1])  # where it is, and what it turns to
+    cuts = np.searchsorted(of, np.arange(len(hours) + 1))
+    stay = np.zeros(at.shape, bool)
+    before = np.zeros(len(hours), "i4")
+    score = -1e-9 * np.abs(ks)[at[0]].astype("f8")  # ties go to the one nearest to UTC
+    for t in range(len(hours)):
+        if t:
+            before[t] = score.argmax()
+            moved = score[before[t]] - price
+            stay[t] = score >= moved
+            score = np.where(stay[t], score, moved)
+        a, b = cuts[t], cuts[t + 1]
+        use = np.arange(a, b)[bins[a:b] >= 0]
+        if len(use):
+            shifted = bins[use][:, None] + ks[None, :]
+            shifted = np.where((bins[use][:, None] == far) | (shifted < 0) | (shifted >= far), far, shifted)
+            score = score + (n[use][:, None] * log_f[shifted]).sum(0)[at[t]]
+    s, out = int(score.argmax()), np.zeros(len(hours), int)
+    for t in range(len(hours) - 1, -1, -1):
+        out[t] = ks[at[t, s]]
+        if t and not stay[t, s]:
+            s = int(before[t])
+    return out
+
+
 def estimate_zones(parsed: DataFrame, feed: str, received: str, known_us: Column, unknown: Column, step_minutes: int = 15) -> DataFrame:
-    """Rows (feed, month_, offset_us_): the offset history of feeds whose zone is unknown, by aligning local times with arrivals.
+    """Rows (feed_, history_: array of (start_us, offset_us) by local time): the offset history of feeds whose zone is unknown, by aligning local times with arrivals.
 
-    Rows of the feed whose text gives the instant show how long its items take (its 1 % and 99 % delays).
-    Each offset makes some local times arrive before they happen, or later than items do: violations. Per
-    month the offset with the fewest wins; ties go to the one nearest to UTC. Only counts per 15-minute bin
-    and month are compared, a table bounded by the spread of delays and not by the rows.
+    Rows whose text gives the instant show how long items take (see ``_delay_density``), rows of other feeds
+    where the feed has few or none. A history of offsets gives every row of unknown zone a delay; the likeliest
+    one over the feed's whole local time wins. Histories are those of the zones, with their changes of offset,
+    fixed offsets, and turns from one to another, each at a price. Whole days and rows without arrival follow, but say nothing.
+    Feeds without rows of unknown zone get none, nor does any where no text gives an instant. Only counts per hour of local time and 15-minute bin are compared.
     """
+    step_us = step_minutes * 60 * SECOND
+    half = _FAR // step_us
+    size = 2 * half
+    ks = np.arange(-12 * 60 // step_minutes, 14 * 60 // step_minutes + 1)
     arrive = F.unix_micros(F.col(received).cast("timestamp"))
-    step = F.lit(step_minutes * 60 * SECOND).cast("long")
-    delays = parsed.filter(known_us.isNotNull()).groupBy(feed).agg(F.percentile_approx(arrive - known_us, F.array(F.lit(0.01), F.lit(0.99)), 1000).alias("q_"))
-    gap = F.floor((arrive - F.col("p_.local_us")) / step)
-    bins = parsed.filter(unknown & F.col(received).isNotNull()).select(feed, F.date_trunc("month", received).alias("month_"), gap.alias("bin_")).groupBy(feed, "month_", "bin_").agg(F.count("*").alias("n_"))
-    tried = bins.join(delays, feed).withColumn("k_", F.explode(F.sequence(F.lit(-12 * 60 // step_minutes), F.lit(14 * 60 // step_minutes))))
-    delay = (F.col("bin_") + F.col("k_")) * step
-    bad = F.when((delay < F.col("q_")[0] - step) | (delay > F.col("q_")[1] + step), F.col("n_")).otherwise(0)
-    scored = tried.groupBy(feed, "month_", "k_").agg(F.sum(bad).alias("bad_"))
-    return scored.groupBy(feed, "month_").agg(F.min(F.struct("bad_", F.abs("k_").alias("far_"), "k_")).alias("best_")).select(feed, "month_", (F.col("best_.k_") * step).alias("offset_us_"))
+
+    def bin_of(us: Column) -> Column:
+        b = F.floor((arrive - us) / F.lit(step_us)) + half
+        return F.when((b >= 0) & (b < size), b).otherwise(F.lit(size)).cast("int")
+
+    timed = ~F.coalesce(F.col("p_.whole_day"), F.lit(False)) & F.col(received).isNotNull()
+    known = parsed.filter(known_us.isNotNull() & timed).select(F.col(feed).alias("feed_"), bin_of(known_us).alias("bin_")).groupBy("feed_", "bin_").agg(F.count("*").alias("n_"))
+    pooled = np.zeros(size + 1, "i8")  # a fixed number of bins, whatever the rows
+    for r in known.groupBy("bin_").agg(F.sum("n_").alias("n_")).collect():
+        pooled[r.bin_] = r.n_
+    blocks = _blocks(pooled[:-1])
+    local = F.col("p_.local_us")
+    open_ = parsed.filter(unknown & F.col(feed).isNotNull()).select(F.col(feed).alias("feed_"), F.floor(local / F.lit(3600 * SECOND)).alias("hour_"), F.when(timed, bin_of(local)).otherwise(-1).alias("bin_"))
+    open_ = open_.groupBy("feed_", "hour_", "bin_").agg(F.count("*").alias("n_"))
+    schema = "feed_ string, history_ array<struct<start_us: bigint, offset_us: bigint>>"
+
+    def solve(u: pa.Table, k: pa.Table) -> pa.Table:
+        kinds = pa.schema([("feed_", pa.string()), ("history_", pa.list_(pa.struct([("start_us", pa.int64()), ("offset_us", pa.int64())])))])
+        if not u.num_rows or pooled.sum() == 0:
+            return kinds.empty_table()
+        own = np.zeros(size + 1, "i8")
+        if k.num_rows:
+            own[k.column("bin_").to_numpy()] = k.column("n_").to_numpy()
+        order = np.argsort(u.column("hour_").to_numpy(), kind="stable")
+        hour, bins, n = (u.column(c).to_numpy()[order] for c in ("hour_", "bin_", "n_"))
+        hours, of = np.unique(hour, return_inverse=True)
+        k_ = _best_history(hours, of, bins, n, _delay_density(own, pooled, blocks), ks, step_minutes * 60)
+        first = [t for t in range(len(hours)) if t == 0 or k_[t] != k_[t - 1]]
+        runs = [{"start_us": int(hours[t]) * 3600 * SECOND, "offset_us": int(k_[t]) * step_us} for t in first]
+        return pa.Table.from_pylist([{"feed_": u.column("feed_")[0].as_py(), "history_": runs}], schema=kinds)
+
+    return open_.groupBy("feed_").cogroup(known.groupBy("feed_")).applyInArrow(solve, schema)
 
 
 #: Columns of the result; columns of the input with these names give way to them.
@@ -213,6 +358,7 @@ def with_estimates(normal: DataFrame, feed: str = "feed", received: str = "recei
     normal = settled(normal.sparkSession, normal, "normal")  # read twice: for the histogram and for the rows
     unknown = (F.col("status") == "unknown zone") & F.col("p_.name").isNull() & F.col("p_.abbr").isNull()
     est = estimate_zones(normal, feed, received, F.col("utc_us"), unknown)
-    est = est.select(F.col(feed).alias("feed_"), F.col("month_").alias("of_"), "offset_us_")
-    j = normal.join(est, (F.col(feed) == F.col("feed_")) & (F.date_trunc("month", received) == F.col("of_")), "left")
-    return j.withColumn("estimated_us", F.when(unknown, F.col("p_.local_us") - F.col("offset_us_"))).drop("feed_", "of_", "offset_us_")
+    j = normal.join(est, F.col(feed) == F.col("feed_"), "left")
+    past = F.filter("history_", lambda h: h["start_us"] <= F.col("p_.local_us"))
+    offset = F.element_at(past, -1)["offset_us"]  # each row's own hour is in the history
+    return j.withColumn("estimated_us", F.when(unknown & F.col("history_").isNotNull(), F.col("p_.local_us") - offset)).drop("feed_", "history_")

@@ -75,6 +75,27 @@ def test_estimated_zone(spark):
     assert [r.off for r in e] == [pytest.approx(330, abs=15)]
 
 
+def test_estimated_zone_with_late_arrivals_and_changes_of_offset(spark):
+    import random
+
+    rng, rows, want, zone = random.Random(3), [], {}, zoneinfo.ZoneInfo("America/Chicago")
+    for k in range(2400):
+        u = datetime(2020, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=rng.randrange(2 * 365 * 24 * 60))
+        delay = timedelta(hours=rng.uniform(60, 6000)) if rng.random() < 0.11 else timedelta(hours=rng.uniform(0.5, 24))
+        local, text = u.astimezone(zone).replace(tzinfo=None), k % 3 == 0
+        if not text:
+            want[k] = us(*u.timetuple()[:6])
+        # feed "y" has no row whose text gives the instant
+        rows.append((k, "x" if text or k % 3 == 1 else "y", u.strftime("%Y-%m-%dT%H:%M:%SZ") if text else local.strftime("%Y-%m-%d %H:%M:%S"), (u + delay).replace(tzinfo=None)))
+    items = spark.createDataFrame(rows, "item_no long, feed string, datetime string, received_at timestamp_ntz")
+    both = spark.createDataFrame([("x", None, "ymd"), ("y", None, "ymd")], "feed string, zone string, date_order string")
+    got = {r.item_no: r.estimated_us for r in T.with_estimates(T.normalise(items, both)).filter("status = 'unknown zone'").collect()}
+    assert set(got) == set(want)
+    for feed in (1, 2):
+        mine = [k for k in want if k % 3 == feed]
+        assert sum(got[k] == want[k] for k in mine) > 0.95 * len(mine)
+
+
 def test_empty(spark):
     items = spark.createDataFrame([], "item_no long, feed string, datetime string, received_at timestamp_ntz")
     assert T.with_estimates(T.normalise(items, feeds(spark))).count() == 0
