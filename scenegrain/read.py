@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,17 +36,18 @@ def sources(c: Collection, bands: Sequence[str], band_map: dict[str, str] | None
 def _grids(s: DataFrame) -> DataFrame:
     h = F.col("header")
     t = h["transform"]
-    return s.filter("header IS NOT NULL").select(
+    return s.select(
         "record", "seq", "datetime", "collection", "bbox", "band", "href", "band_index", F.to_json("header").alias("head"), h["epsg"].alias("epsg"),
         t[0].alias("sx"), t[1].alias("tx"), t[2].alias("sy"), t[3].alias("ty"), h["image_width"].alias("width"), h["image_height"].alias("height"),
-        h["tile_width"].alias("tile_w"), h["tile_height"].alias("tile_h"), F.coalesce(h["nodata"], F.lit(float("nan"))).alias("nodata"),
+        h["tile_width"].alias("tile_w"), h["tile_height"].alias("tile_h"), F.coalesce(h["nodata"], F.lit(float("nan"))).alias("nodata"), "error",
     )
 
 
 def read_tiles(need: DataFrame, source: ByteSource | None = None, partitions: int = 64) -> DataFrame:
-    """Decoded tiles (record, tile_row, tile_col, pixels) of distinct rows with (record, href, band_index, head, tile_row, tile_col).
+    """Decoded tiles (record, tile_row, tile_col, pixels, error) of distinct rows with (record, href, band_index, head, tile_row, tile_col).
 
-    Tiles of one file are read together, with near byte ranges merged; tiles that fail are left out.
+    Tiles of one file are read together, with near byte ranges merged; if that fails, each is tried by itself.
+    Every tile is a row: those that fail have an ``error``, empty ones neither pixels nor an error.
     """
     import json
 
@@ -55,15 +57,22 @@ def read_tiles(need: DataFrame, source: ByteSource | None = None, partitions: in
     def run(batches):
         for b in batches:
             for q in b.to_pylist():
+                wanted, got, errors = [(t["tile_row"], t["tile_col"]) for t in q["tiles"]], {}, {}
                 try:
                     h = Header.of(json.loads(q["head"]))
-                    got = raster_read.read_tiles(source, q["href"], h, q["band_index"], [(t["tile_row"], t["tile_col"]) for t in q["tiles"]])
-                except (OSError, ValueError, NotImplementedError):
-                    continue
-                for (i, j), a in got.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([q["record"]]), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([a.astype("f8").ravel()], pa.list_(pa.float64()))], names=["record", "tile_row", "tile_col", "pixels"])
+                    got = raster_read.read_tiles(source, q["href"], h, q["band_index"], wanted)
+                except Exception:
+                    for t in wanted:
+                        try:
+                            got |= raster_read.read_tiles(source, q["href"], Header.of(json.loads(q["head"])), q["band_index"], [t])
+                        except Exception as e:
+                            errors[t] = f"{type(e).__name__}: {e}"[:200]
+                for i, j in wanted:
+                    a = got.get((i, j))
+                    pixels = pa.array([None if a is None else a.astype("f8").ravel()], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([q["record"]]), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pixels, pa.array([errors.get((i, j))], pa.string())], names=["record", "tile_row", "tile_col", "pixels", "error"])
 
-    return per.mapInArrow(run, "record string, tile_row int, tile_col int, pixels array<double>")
+    return per.mapInArrow(run, "record string, tile_row int, tile_col int, pixels array<double>, error string")
 
 
 def prepare_points(points: DataFrame, x_column: str | None = None, y_column: str | None = None, index: str | None = None) -> DataFrame:
@@ -77,37 +86,82 @@ def prepare_points(points: DataFrame, x_column: str | None = None, y_column: str
     return p.select(F.col(index or "point_index").cast("long").alias("point_index"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *own)
 
 
-def sample_points(c: Collection, points: DataFrame, bands: Sequence[str], *, x_column: str | None = None, y_column: str | None = None, index: str | None = None, match: str = "all", max_distance: int = 0, neighbourhood: str = "off", band_map: dict[str, str] | None = None, source: ByteSource | None = None, cell: float = 1.0) -> DataFrame:
+def sample_points(c: Collection, points: DataFrame, bands: Sequence[str], *, x_column: str | None = None, y_column: str | None = None, index: str | None = None, match: str = "all", max_distance: int = 0, neighbourhood: str = "off", band_map: dict[str, str] | None = None, source: ByteSource | None = None, cell: float = 1.0, errors: bool = False) -> DataFrame:
     """The sample table of lon/lat points: one row per point, record and band whose tile was read.
 
-    Records are chosen by their lon/lat box, then each file's own system is used; files in systems that
-    aren't supported are left out. Only tiles that hold a point, or lie within ``max_distance`` of one, are read.
+    Records are chosen by the box of their raster in the file's own system. Only tiles that hold a point, or lie within ``max_distance`` of one, are read.
+
+    Reads that fail are counted in a warning, and raise if no tile could be read. With ``errors`` they are rows too,
+    with an ``error`` and no value: of a tile, each of its points; of a file whose header failed or whose system isn't
+    supported, each point in its lon/lat box (one row without point where it has no box; with ``latest`` beside the newest that could be placed).
+    A sample whose fallback or window lacks a tile that failed has both value and ``error``.
     """
     p = prepare_points(points, x_column, y_column, index)
     own = [k for k in p.columns if k not in ("point_index", "x", "y")]
-    grids = settled(c.df.sparkSession, _grids(sources(c, bands, band_map, source)), "grids")
-    out = None
+    if errors:
+        geometry.fail_on_collisions(own, ["error"])
+    spark = c.df.sparkSession
+    grids = settled(spark, _grids(sources(c, bands, band_map, source)), "grids")
+    epsgs = sorted(r[0] for r in grids.filter("head IS NOT NULL").select(F.coalesce("epsg", F.lit(4326))).distinct().collect())  # a few systems
+    known = [e for e in epsgs if e in (4326, 3857) or crs.utm_zone(e) is not None]
+    system = F.coalesce("epsg", F.lit(4326))
+    lost = grids.withColumn("error", F.when(F.col("head").isNull(), F.coalesce("error", F.lit("no header"))).when(~system.isin(known), F.concat(F.lit("unsupported system EPSG:"), system))).filter("error IS NOT NULL")
+    out, read, failed = None, 0, []
+
+    def add(part: DataFrame) -> None:
+        nonlocal out
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+
     for band in bands:
-        g = grids.filter(F.col("band") == band)
-        for epsg in sorted(r[0] for r in g.select(F.coalesce("epsg", F.lit(4326))).distinct().collect()):  # a few systems
-            if epsg not in (4326, 3857) and crs.utm_zone(epsg) is None:
-                continue
-            recs = g.filter(F.coalesce("epsg", F.lit(4326)) == epsg)
+        g = grids.filter((F.col("band") == band) & F.col("head").isNotNull())
+        for epsg in known:
+            recs = g.filter(system == epsg).drop("error")
             mine = p.select("point_index", F.col("x").alias("lon"), F.col("y").alias("lat"), *own)
             placed = _projected(mine, epsg)
-            # the lon/lat box decides; the box in the file's system serves the pixel join
+            # the box in the file's system serves the pixel join
             native = recs.withColumn("bbox_ll", F.col("bbox")).withColumn("bbox", _native_box())
             tiles_needed = pts.candidates(placed, native, match, cell if epsg == 4326 else 10_000.0)
             spots = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), *([(s * max_distance, t * max_distance) for s in (-1, 0, 1) for t in (-1, 0, 1) if (s, t) != (0, 0)] if max_distance else []))])
             need = tiles_needed.withColumn("o", F.explode(spots)).withColumns({"r_": F.col("row") + F.col("o.a"), "c_": F.col("col") + F.col("o.b")}).filter("r_ >= 0 AND c_ >= 0 AND r_ < height AND c_ < width")
             need = need.select("record", "href", "band_index", "head", F.floor(F.col("r_") / F.col("tile_h")).cast("int").alias("tile_row"), F.floor(F.col("c_") / F.col("tile_w")).cast("int").alias("tile_col")).distinct()
-            tiles = settled(c.df.sparkSession, read_tiles(need, source), "tiles")
-            s = pts.sample(placed, native, tiles, match, max_distance, neighbourhood, cell if epsg == 4326 else 10_000.0)
-            s = s.withColumns({"x": F.col("lon"), "y": F.col("lat")})
-            t = pts.to_contract(s, band, 4326, epsg, own)
-            out = t if out is None else out.unionByName(t)
+            tiles = settled(spark, read_tiles(need, source), "tiles")
+            tally = tiles.agg(F.count_if(F.col("error").isNull()).alias("read"), F.count("error").alias("failed"), F.min("error").alias("error")).first()
+            read += tally.read
+            s = pts.sample(placed, native, tiles.filter("pixels IS NOT NULL").drop("error"), match, max_distance, neighbourhood, cell if epsg == 4326 else 10_000.0)
+            if tally.failed:
+                failed.append((tally.failed, "tiles", tally.error))
+            if tally.failed and errors:
+                at = tiles_needed.select(F.col("point_index").alias("p_"), F.col("record").alias("r_"), *[F.floor((F.col(v) + d) / F.col(t)).cast("int").alias(n) for v, t, d, n in (("row", "tile_h", 0, "i_"), ("col", "tile_w", 0, "j_"), ("row", "tile_h", -max_distance, "i0_"), ("row", "tile_h", max_distance, "i1_"), ("col", "tile_w", -max_distance, "j0_"), ("col", "tile_w", max_distance, "j1_"))])
+                bad = tiles.filter("error IS NOT NULL").select("record", "tile_row", "tile_col", "error")
+                hit = at.join(bad, (F.col("r_") == F.col("record")) & F.col("tile_row").between(F.col("i0_"), F.col("i1_")) & F.col("tile_col").between(F.col("j0_"), F.col("j1_")))
+                hit = hit.groupBy("p_", "r_").agg(F.min("error").alias("error"), F.max((F.col("tile_row") == F.col("i_")) & (F.col("tile_col") == F.col("j_"))).alias("centre_"))
+                hit = settled(spark, hit, "failed")
+                lacks = F.col("center_nodata") if max_distance and neighbourhood != "always" else F.lit(True)
+                here = (F.col("point_index") == F.col("p_")) & (F.col("record") == F.col("r_"))
+                s = s.join(hit.filter("NOT centre_").select("p_", "r_", "error"), here, "left").withColumn("error", F.when(lacks, F.col("error"))).drop("p_", "r_")
+                none = tiles_needed.join(hit.filter("centre_").select("p_", "r_", "error"), here).drop("p_", "r_").withColumn("value", F.lit(None).cast("double"))
+                add(pts.to_contract(none.withColumns({"x": F.col("lon"), "y": F.col("lat")}), band, 4326, epsg, [*own, "error"]))
+            elif errors:
+                s = s.withColumn("error", F.lit(None).cast("string"))
+            add(pts.to_contract(s.withColumns({"x": F.col("lon"), "y": F.col("lat")}), band, 4326, epsg, [*own, *(["error"] if errors else [])]))
     if out is None:
-        return pts.to_contract(pts.candidates(p.limit(0), _grids(sources(c, [], band_map, source)), match).withColumn("value", F.lit(0.0)), "", metadata=own)
+        add(pts.to_contract(pts.candidates(p.limit(0), grids.drop("error"), match).withColumns({"value": F.lit(0.0), "error": F.lit(None).cast("string")}), "", metadata=[*own, *(["error"] if errors else [])]))
+    if not lost.isEmpty():
+        one = lost.select("record", "datetime", "collection", "band", "bbox", "error")
+        boxed = pts.points_in_boxes(p, one, "x", "y", "bbox", cell)
+        nowhere = one.filter("NOT coalesce(bbox.xmin <= bbox.xmax AND bbox.ymin <= bbox.ymax, FALSE)")
+        rows = settled(spark, boxed.unionByName(nowhere, allowMissingColumns=True).withColumn("value", F.lit(None).cast("double")), "lost")
+        tally = rows.agg(F.count_distinct("record", "band").alias("n"), F.min("error").alias("error")).first()
+        if tally.n:
+            failed.append((tally.n, "files", tally.error))
+        if tally.n and errors:
+            for band in bands:
+                add(pts.to_contract(rows.filter(F.col("band") == band), band, metadata=[*own, "error"]))
+    if failed:
+        text = ", ".join(f"{n} {what} (e.g. {e})" for n, what, e in failed)
+        if not read:
+            raise RuntimeError(f"no point could be read: {text}")
+        warnings.warn(f"reads failed for points: {text}", RuntimeWarning, stacklevel=2)
     return out
 
 

@@ -53,6 +53,30 @@ def test_sample_points(spark, scenes):
         scenes.sample_points(p.withColumnRenamed("name", "value"), ["red"])
 
 
+def test_failed_reads_of_points_are_rows_and_raise_if_all_fail(spark, scenes, tmp_path):
+    p, gone = pts(spark, [("a", 11.05, 49.95), ("far", 0, 0)]), scenes.df.filter("id = 'gone'")
+    with pytest.warns(RuntimeWarning, match="1 files"):
+        rows = {(r.name, r.record_id): r for r in scenes.sample_points(p, ["red"], errors=True).collect()}
+    assert set(rows) == {("a", "s0"), ("a", "s1"), ("a", "gone")} and rows["a", "s0"].error is None and rows["a", "s0"].value == 10.0
+    assert rows["a", "gone"].value is None and rows["a", "gone"].error and rows["a", "gone"].band == "red"
+    with pytest.raises(RuntimeError, match="no point could be read"):
+        Collection(gone).sample_points(p, ["red"])
+    assert Collection(gone).sample_points(p.filter("name = 'far'"), ["red"]).count() == 0
+    # one tile of four is cut off: the points of the others stay
+    f = tmp_path / "short.tif"
+    write.write(str(f), np.arange(400, dtype="int16").reshape(20, 20, 1), tile=16, transform=(0.1, 10, -0.1, 50), nodata=0)
+    spots = pts(spark, [("first", 10.05, 49.95), ("border", 11.55, 48.45), ("last", 11.95, 48.05)])
+    one = Collection(spark.createDataFrame([("t", datetime(2024, 1, 1), None, {"red": (str(f), 0)}, (10.0, 48.0, 12.0, 50.0))], SCHEMA))
+    head = read.sources(one, ["red"]).first().header
+    f.write_bytes(f.read_bytes()[: max(head.tile_offsets) + 4])
+    with pytest.warns(RuntimeWarning, match="1 tiles"):
+        got = {r.name: r for r in one.sample_points(spots, ["red"], max_distance=1, neighbourhood="always", errors=True).collect()}
+    assert got["border"].value == 15 * 20 + 15 and "short read" in got["border"].error
+    assert got["last"].value is None and "short read" in got["last"].error and got["first"].error is None and got["first"].value == 1
+    with pytest.raises(RuntimeError, match="short read"):
+        one.sample_points(spots.filter("name = 'last'"), ["red"])
+
+
 def test_area_reads(spark, scenes):
     aois = spark.createDataFrame([(1, G.box(11.02, 49.72, 11.28, 49.98), "x"), (2, G.box(60, 60, 61, 61), "y")], "geometry_id long, geometry binary, crop string")
     rows = {r.record: r for r in scenes.area_frame(aois, ["red"], partitions=2).collect()}
