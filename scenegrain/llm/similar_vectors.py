@@ -21,7 +21,8 @@ Defined cases
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from scenegrain.session import settled
 @dataclass(frozen=True)
 class Index:
     """Parameters. ``occupancy``: wanted vectors a cell, which sets the number of centroids (at most ``max_centroids``);
-    ``candidates``: entries a query walks at least; ``hot``: entries above which a cell is parted; ``block``: entries and queries that meet in one task at most."""
+    ``candidates`` and ``share``: entries a query walks at least, and the share of all entries that it walks at least (1: all, an exact search); ``hot``: entries above which a cell is parted; ``block``: entries and queries that meet in one task at most."""
 
     dim: int = 64
     nodata: float = -128.0
@@ -42,6 +43,7 @@ class Index:
     occupancy: float = 32.0
     max_centroids: int = 1024
     candidates: int = 3_000
+    share: float = 1 / 19
     hot: int = 12_000
     block: int = 16_384
     rounds: int = 8
@@ -170,6 +172,8 @@ def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, q
     schema = "query long, id long, similarity double"
     if n < 2:
         return spark.createDataFrame([], schema)
+    # a fixed number of entries would find ever fewer of the nearest as the table grows denser
+    ix = replace(ix, candidates=max(ix.candidates, math.ceil(n * ix.share)))
     half = ix.dim // 2
     fit = units.orderBy(F.xxhash64("id"), "id").limit(ix.sample).select("unit").toArrow()
     x = _matrix(fit.column(0).combine_chunks(), ix.dim)

@@ -89,3 +89,22 @@ def test_walk_takes_pairs_in_order_of_summed_distance():
     assert set(cells) == {(int(i), int(j)) for i, j in zip(*np.nonzero(counts))} and len(cells) == len(set(cells))
     sums = [d1[i] + d2[j] for i, j in cells]
     assert sums == sorted(sums)
+
+
+def test_walk_grows_with_the_table(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 64)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, unit binary").repartition(4)
+    sim = x[:100] @ x.T
+    sim[np.arange(100), np.arange(100)] = -2
+    want = [set(np.argsort(-s)[:5].tolist()) for s in sim]
+
+    def recall(ix):
+        got = {}
+        for r in V.nearest(units, 5, ix, queries=units.filter("id < 100")).collect():
+            got.setdefault(r.query, set()).add(r.id)
+        return sum(len(w & got.get(i, set())) for i, w in enumerate(want)) / 500
+
+    assert recall(V.Index(candidates=20)) > 0.15  # 20 entries alone find fewer than half as many
+    assert recall(V.Index(candidates=20, share=1)) == 1
