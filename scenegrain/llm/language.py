@@ -151,12 +151,12 @@ class Profiles:
         return out
 
 
-def fit(docs: DataFrame, per_language: int = 200, size: int = 3000, rounds: int = 2) -> Profiles:
+def fit(docs: DataFrame, per_language: int = 400, size: int = 3000, rounds: int = 2) -> Profiles:
     """Profiles from a bounded sample of labelled documents; languages without a labelled document have none."""
     d = docs.select("doc_id", "text", label_meaning(F.col("lang")).alias("label")).filter("label IS NOT NULL AND text IS NOT NULL AND length(text) >= 40")
     w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # at most per_language rows of each of the listed languages, and of each at most 4,000 characters
-    sample = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("label", F.substring("text", 1, 4000).alias("text")).collect()
+    # at most per_language rows of each of the listed languages
+    sample = d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).select("label", "text").collect()
     parts = [(r.label, s) for r in sorted(sample) for s in sentences(r.text) if is_whole(s)]
     p = Profiles([], size)
     for k in range(rounds):

@@ -58,3 +58,12 @@ def test_empty(spark, profiles):
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ("EN", " de ", "pt_BR", "fr-CA", "Dutch", "jpn", "unknown", "??", "", None, "xx", "und")], "l string")
     assert [r[0] for r in df.select(L.label_meaning(df.l)).collect()] == ["en", "de", "pt", "fr", "nl", "ja", None, None, None, None, None, None]
+
+
+def test_fit_reads_whole_texts_of_the_sampled_documents(spark, monkeypatch):
+    seen, real = [], L.Profiles.fit.__func__
+    monkeypatch.setattr(L.Profiles, "fit", classmethod(lambda cls, by, size: (seen.append({k: list(v) for k, v in by.items()}), real(cls, by, size))[1]))
+    body = "The quick brown fox jumps over the lazy dog and goes home again. "
+    rows = [(i, "en", body * 70 + f"At the very end stands sentence number {i} of this document here.") for i in range(300)]
+    L.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), rounds=1)
+    assert sum("At the very end" in s for s in seen[-1]["en"]) == 300
