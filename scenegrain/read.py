@@ -121,9 +121,10 @@ def sample_points(c: Collection, points: DataFrame, bands: Sequence[str], *, x_c
             # the box in the file's system serves the pixel join
             native = recs.withColumn("bbox_ll", F.col("bbox")).withColumn("bbox", _native_box())
             tiles_needed = pts.candidates(placed, native, match, cell if epsg == 4326 else 10_000.0)
-            spots = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), *([(s * max_distance, t * max_distance) for s in (-1, 0, 1) for t in (-1, 0, 1) if (s, t) != (0, 0)] if max_distance else []))])
-            need = tiles_needed.withColumn("o", F.explode(spots)).withColumns({"r_": F.col("row") + F.col("o.a"), "c_": F.col("col") + F.col("o.b")}).filter("r_ >= 0 AND c_ >= 0 AND r_ < height AND c_ < width")
-            need = need.select("record", "href", "band_index", "head", F.floor(F.col("r_") / F.col("tile_h")).cast("int").alias("tile_row"), F.floor(F.col("c_") / F.col("tile_w")).cast("int").alias("tile_col")).distinct()
+            # every tile of the window, from its first to its last, within the raster
+            span = lambda at, side, length: F.explode(F.sequence(F.floor(F.greatest(F.col(at) - max_distance, F.lit(0)) / F.col(side)), F.floor(F.least(F.col(at) + max_distance, F.col(length) - 1) / F.col(side))))
+            need = tiles_needed.select("record", "href", "band_index", "head", "col", "width", "tile_w", span("row", "tile_h", "height").alias("tile_row"))
+            need = need.select("record", "href", "band_index", "head", "tile_row", span("col", "tile_w", "width").alias("tile_col")).distinct()
             tiles = settled(spark, read_tiles(need, source), "tiles")
             tally = tiles.agg(F.count_if(F.col("error").isNull()).alias("read"), F.count("error").alias("failed"), F.min("error").alias("error")).first()
             read += tally.read

@@ -77,6 +77,18 @@ def test_failed_reads_of_points_are_rows_and_raise_if_all_fail(spark, scenes, tm
         one.sample_points(spots.filter("name = 'last'"), ["red"])
 
 
+def test_every_tile_of_a_window_is_read(spark, tmp_path):
+    a = np.full((70, 40), -1, "int16")
+    a[66, 35] = 5  # in the last, partial row of tiles, whose other pixels are nodata, as are those of all other tiles
+    a[20, 5] = 7  # in a tile between that of the centre and that of the window's border
+    write.write(str(tmp_path / "w.tif"), a[:, :, None], tile=16, transform=(0.1, 10, -0.1, 50), nodata=-1)
+    c = Collection(spark.createDataFrame([("w", datetime(2024, 1, 1), None, {"red": (str(tmp_path / "w.tif"), 0)}, (10.0, 43.0, 14.0, 50.0))], SCHEMA))
+    at = lambda row, col: (10.05 + col * 0.1, 49.95 - row * 0.1)
+    value = lambda p, d: c.sample_points(pts(spark, [("p", *p)]), ["red"], max_distance=d).first().value
+    assert value(at(63, 35), 7) == 5  # the window ends beyond the raster
+    assert value(at(5, 5), 27) == 7
+
+
 def test_area_reads(spark, scenes):
     aois = spark.createDataFrame([(1, G.box(11.02, 49.72, 11.28, 49.98), "x"), (2, G.box(60, 60, 61, 61), "y")], "geometry_id long, geometry binary, crop string")
     rows = {r.record: r for r in scenes.area_frame(aois, ["red"], partitions=2).collect()}
