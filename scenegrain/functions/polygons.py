@@ -114,10 +114,10 @@ def locate(packed: bytes, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def shared_thickness(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> float:
-    """Area that two regions share, over the diagonal of where they share it; 0 if they share none.
+    """Area over diagonal of the thickest connected piece that two regions share; 0 if they share none.
 
     Slabs between all vertex heights and crossings of edges: in each, both regions' edges are in order
-    and don't cross, so each shared interval is a trapezoid.
+    and don't cross, so each shared interval is a trapezoid. Trapezoids that meet along a slab's border belong to one piece.
     """
     ea, eb = (x[x[:, 1] != x[:, 3]] for x in (wkb.edges(a), wkb.edges(b)))
     if not len(ea) or not len(eb):
@@ -134,18 +134,40 @@ def shared_thickness(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> fl
     yc = yc[np.isfinite(yc)]
     ys = np.unique(np.concatenate([ea[:, 1], ea[:, 3], eb[:, 1], eb[:, 3], yc]))
     ys = ys[(ys >= lo) & (ys <= hi)]
-    area, box = 0.0, [np.inf, np.inf, -np.inf, -np.inf]
+    pieces: list[list[float]] = []  # area and box
+    into: list[int] = []
+
+    def find(k: int) -> int:
+        while into[k] != k:
+            into[k] = into[into[k]]
+            k = into[k]
+        return k
+
+    below: list[tuple[float, float, int]] = []
     for y0, y1 in zip(ys[:-1], ys[1:]):
         mid = (y0 + y1) / 2
-        xa = np.sort(_x_at(ea[(ea[:, 1] <= mid) & (ea[:, 3] >= mid)], mid))
-        xb = np.sort(_x_at(eb[(eb[:, 1] <= mid) & (eb[:, 3] >= mid)], mid))
-        for i in range(0, len(xa) - 1, 2):
-            for j in range(0, len(xb) - 1, 2):
-                l, r = max(xa[i], xb[j]), min(xa[i + 1], xb[j + 1])
+        sa, sb = (x[(x[:, 1] <= mid) & (x[:, 3] >= mid)] for x in (ea, eb))
+        sa, sb = (x[np.argsort(_x_at(x, mid), kind="stable")] for x in (sa, sb))
+        (a0, am, a1), (b0, bm, b1) = ([_x_at(x, y) for y in (y0, mid, y1)] for x in (sa, sb))
+        here = []
+        for i in range(0, len(am) - 1, 2):
+            for j in range(0, len(bm) - 1, 2):
+                l, r = max(am[i], bm[j]), min(am[i + 1], bm[j + 1])
                 if r > l:
-                    area += (r - l) * (y1 - y0)
-                    box = [min(box[0], l), min(box[1], y0), max(box[2], r), max(box[3], y1)]
-    return area / float(np.hypot(box[2] - box[0], box[3] - box[1])) if area > 0 else 0.0
+                    foot = max(a0[i], b0[j]), min(a0[i + 1], b0[j + 1])
+                    head = max(a1[i], b1[j]), min(a1[i + 1], b1[j + 1])
+                    k = len(pieces)
+                    pieces.append([(r - l) * (y1 - y0), l, y0, r, y1])
+                    into.append(k)
+                    for u, v, o in below:
+                        # a common stretch of the border joins, a point doesn't
+                        if min(v, foot[1]) > max(u, foot[0]) and find(o) != find(k):
+                            p, q = pieces[find(o)], pieces[find(k)]
+                            q[:] = [p[0] + q[0], min(p[1], q[1]), min(p[2], q[2]), max(p[3], q[3]), max(p[4], q[4])]
+                            into[find(o)] = find(k)
+                    here.append((*head, k))
+        below = here
+    return max((pieces[k][0] / float(np.hypot(pieces[k][3] - pieces[k][1], pieces[k][4] - pieces[k][2])) for k in range(len(pieces)) if into[k] == k), default=0.0)
 
 
 def covered_cells(polygons: list[list[np.ndarray]], cell: float) -> list[tuple[int, int]]:

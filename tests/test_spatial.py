@@ -108,3 +108,11 @@ def test_shared_thickness():
     assert 0 < polygons.shared_thickness(sq(0, 0), sq(1 - 1e-8, 0)) < 1e-6
     assert 0 < polygons.shared_thickness(sq(0, 0), sq(0, 1 - 1e-8)) < 1e-6
     assert polygons.shared_thickness(sq(0, 0, 4), sq(1, 1)) > 0.1
+
+
+def test_shared_thickness_is_of_the_thickest_piece():
+    sq = lambda x, y, s: [np.array([[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]], float)]
+    apart = [sq(0, 0, 3e-4), sq(0.25, 0, 3e-4)]
+    assert abs(polygons.shared_thickness(apart, apart) - 3e-4 / 2**0.5) < 1e-9
+    far = [sq(0, 0, 3e-4), sq(0, 0.25, 3e-4)]
+    assert abs(polygons.shared_thickness(far, far) - 3e-4 / 2**0.5) < 1e-9
