@@ -6,8 +6,8 @@ kind under which it carries each field; files of a stream in time order get a
 version number that rises whenever the fingerprint differs from that of the
 file before. ``migrations`` gives the step from each version to the next and
 the chain of rename, default and cast rules that leads from a file to the one
-table; ``unify`` applies these rules to every line; ``changes`` reports every
-change.
+table, as text; ``unify`` doesn't read them but maps every line by the aliases
+of each field; ``changes`` reports every change.
 
 Defined cases
   * A line that is no JSON object, or is cut off or null, is unreadable: it comes out of ``unify``
