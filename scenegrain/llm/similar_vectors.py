@@ -4,12 +4,13 @@ Unit vectors are cut into two halves; each half is quantised by its own codebook
 cell of a pair of centroids. A query walks the pairs by ascending summed distance with a heap until the cells
 hold enough entries, and the entries of the walked cells are reranked by their cosine similarity.
 
-A cell that holds far more than a query wants (``hot``) is parted by a codebook of its own, over whole
-vectors; its parts enter the walk by their own distance, so a dense region costs a query no more than others.
-
 The codebooks are fitted on at most ``sample`` vectors (those with the smallest hash of their id); every vector
-is indexed. Entries and queries meet per first centroid; large meeting places are parted by entries and by
-queries, both to a bound, so no task grows with a hot cell.
+is indexed. The entries are written once to the shared folder in order of their cells. A task takes a block of
+queries, walks the index for each, and reads the written entries past them in batches, so nothing that is
+walked is shuffled, and no task grows with a hot cell: that is more batches, and its queries more blocks.
+
+What a query walks grows with the table (``share``), so that recall doesn't fall as the table grows denser; ``exact``
+walks everything. A cell is walked whole, however large it is.
 
 Defined cases
   * Valid is a vector of ``dim`` finite values, none null or ``nodata``, not all zero; others neither ask nor answer.
@@ -22,20 +23,22 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrain.llm.files import parquet_file
 from scenegrain.session import settled
 
 
 @dataclass(frozen=True)
 class Index:
     """Parameters. ``occupancy``: wanted vectors a cell, which sets the number of centroids (at most ``max_centroids``);
-    ``candidates`` and ``share``: entries a query walks at least, and the share of all entries that it walks at least (1: all, an exact search); ``hot``: entries above which a cell is parted; ``block``: entries and queries that meet in one task at most."""
+    ``candidates`` and ``share``: entries a query walks at least, and the share of all entries that it walks at least; ``exact``: walk all
+    entries; ``block``: queries that a task takes at a time; ``batch``: entries that it reads at a time."""
 
     dim: int = 64
     nodata: float = -128.0
@@ -44,29 +47,37 @@ class Index:
     max_centroids: int = 1024
     candidates: int = 3_000
     share: float = 1 / 19
-    hot: int = 12_000
+    exact: bool = False
     block: int = 16_384
+    batch: int = 8_192
     rounds: int = 8
 
 
 def valid_units(vectors: DataFrame, id_col: str, data: str, ix: Index) -> DataFrame:
     """Rows (id, unit): valid vectors scaled to length 1."""
     d = F.col(data)
-    ok = (F.size(d) == ix.dim) & ~F.exists(d, lambda x: x.isNull() | F.isnan(x) | (x == ix.nodata) | (F.abs(x) == float("inf"))) & F.exists(d, lambda x: x != 0)
-    src = vectors.filter(F.col(id_col).isNotNull() & d.isNotNull() & ok).select(F.col(id_col).cast("long").alias("id"), d.cast("array<double>").alias("d"))
+    src = vectors.filter(F.col(id_col).isNotNull() & d.isNotNull() & (F.size(d) == ix.dim)).select(F.col(id_col).cast("long").alias("id"), d.cast("array<double>").alias("d"))
 
     def run(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, ix.dim)
+            flat = b.column(1).flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(b.num_rows, ix.dim)  # null becomes NaN
+            ok = (np.isfinite(x) & (x != ix.nodata)).all(axis=1) & (x != 0).any(axis=1)
+            x = x[ok]
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "unit"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "unit"])
 
     return src.mapInArrow(run, "id long, unit binary")
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), "<f4").reshape(-1, dim)
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The rows of a column of equally long texts of 4-byte floats, without a copy."""
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if not len(a):
+        return np.empty((0, dim), "<f4")
+    first = np.frombuffer(a.buffers()[1], "<i4")[a.offset]
+    return np.frombuffer(a.buffers()[2], "<f4", len(a) * dim, int(first)).reshape(-1, dim)
 
 
 def _sq(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,45 +97,20 @@ def _codebook(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c.astype("f4")
 
 
-@dataclass(frozen=True)
-class Parts:
-    """Of one hot cell: its first centroid, the codes of its parts (beyond those of second centroids), their centroids and counts."""
-
-    c1: int
-    first: int
-    centroids: np.ndarray
-    counts: tuple[int, ...]
-
-
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, query: np.ndarray | None = None, hot: dict[tuple[int, int], Parts] | None = None) -> list[tuple[int, int]]:
-    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries.
-
-    A hot cell gives way to its parts, which join the heap by their distance to the query.
-    """
+def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries."""
     o1, o2 = np.argsort(d1), np.argsort(d2)
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
+    ordered = counts[np.ix_(o1, o2)].tolist()
     o1, o2 = o1.tolist(), o2.tolist()
     heap, held, out = [(s1[0] + s2[0], 0, 0)], 0, []
     k1, k2 = len(s1), len(s2)
-    opened: list[tuple[int, int, int]] = []
     while heap and held < enough:
         _, i, j = heapq.heappop(heap)
-        if i < 0:
-            c1, code, n = opened[j]
-            out.append((c1, code))
+        n = ordered[i][j]
+        if n:
+            out.append((o1[i], o2[j]))
             held += n
-            continue
-        cell = o1[i], o2[j]
-        n = counts[cell]
-        if n and hot and cell in hot:
-            p = hot[cell]
-            for k, (d, m) in enumerate(zip(((p.centroids - query) ** 2).sum(1).tolist(), p.counts)):
-                if m:
-                    heapq.heappush(heap, (d, -1, len(opened)))
-                    opened.append((p.c1, p.first + k, m))
-        elif n:
-            out.append(cell)
-            held += int(n)
         # (i, j + 1) follows (i, j); (i + 1, 0) follows (i, 0): each pair enters the heap once
         if j + 1 < k2:
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
@@ -133,155 +119,136 @@ def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, query:
     return out
 
 
-def _part_hot_cells(entries: DataFrame, counts: np.ndarray, x: np.ndarray, books: list[np.ndarray], ix: Index) -> tuple[DataFrame, dict[tuple[int, int], Parts]]:
-    """The entries with the codes of parts in place of the second centroid of hot cells, and these parts. At most 256 parts a cell."""
-    half = ix.dim // 2
-    near = [_sq(x[:, s], c).argmin(1) for s, c in zip((slice(0, half), slice(half, None)), books)]
-    found, first = {}, len(books[1])
-    for c1, c2 in zip(*map(list, np.nonzero(counts > ix.hot))):
-        own = x[(near[0] == c1) & (near[1] == c2)]
-        k = min(256, len(own) // 4, int(counts[c1, c2] // max(1, ix.candidates // 8)))
-        if k >= 2:
-            found[int(c1), int(c2)] = (first, _codebook(own, k, ix.rounds))
-            first += k
-    if not found:
-        return entries, {}
-    spark = entries.sparkSession
-
-    def recode(batches):
-        for b in batches:
-            m = _matrix(b.column(1), ix.dim)
-            c1, c2 = b.column(2).to_numpy(), b.column(3).to_numpy().copy()
-            for (i, j), (start, centroids) in found.items():
-                at = np.nonzero((c1 == i) & (b.column(3).to_numpy() == j))[0]
-                if len(at):
-                    c2[at] = start + _sq(m[at], centroids).argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(c2)], names=["id", "unit", "c1", "c2"])
+def search(qid: np.ndarray, qm: np.ndarray, wanted: list[np.ndarray], entries, k: int, min_similarity: float, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the query, id, similarity) of the ``k`` best entries of each query, from batches (id, matrix, cell) in order of cells.
 
-    parted = settled(spark, entries.mapInArrow(recode, "id long, unit binary, c1 int, c2 int"), "parted")
-    size = {r.c2: r["count"] for r in parted.filter(F.col("c2") >= len(books[1])).groupBy("c2").count().collect()}
-    return parted, {cell: Parts(cell[0], start, centroids, tuple(size.get(start + k, 0) for k in range(len(centroids)))) for cell, (start, centroids) in found.items()}
+    ``wanted``: the cells that each query walks.
+    """
+    want, who = np.concatenate(wanted), np.repeat(np.arange(len(qid)), [len(w) for w in wanted])
+    by = np.argsort(want, kind="stable")
+    want, who = want[by], who[by]
+    best = np.full((len(qid), k), -np.inf, "f4")  # the k best so far, which set the floor
+    floor = np.full(len(qid), max(min_similarity, -1.0) - 1e-5, "f4")
+    found: list[list[np.ndarray]] = [[], [], []]
+    for eid, em, cell in entries:
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
+        lo, hi = np.searchsorted(want, cell[starts]), np.searchsorted(want, cell[starts], side="right")
+        for a, b, l, r in zip(starts, np.append(starts[1:], len(cell)), lo, hi):
+            for at in range(l, r, 2048):
+                rows = who[at : min(at + 2048, r)]
+                sim = qm[rows] @ em[a:b].T
+                some = np.flatnonzero(sim.max(axis=1) >= floor[rows])
+                if not len(some):
+                    continue
+                rows, sim = rows[some], sim[some]
+                sim[qid[rows][:, None] == eid[None, a:b]] = -np.inf
+                top = np.concatenate([best[rows], sim if b - a <= k else np.partition(sim, b - a - k, axis=1)[:, b - a - k :]], axis=1)
+                best[rows] = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :]
+                floor[rows] = np.maximum(floor[rows], best[rows].min(axis=1) - 1e-5)
+                y, z = np.nonzero(sim >= floor[rows][:, None])
+                exact = np.einsum("ij,ij->i", qm[rows[y]].astype("f8"), em[a + z].astype("f8"))
+                for o, v in zip(found, (rows[y], eid[a + z], exact)):
+                    o.append(v)
+    if not found[0]:
+        return np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)
+    q, e, s = (np.concatenate(v) for v in found)
+    keep = s >= min_similarity
+    q, e, s = q[keep], e[keep], s[keep]
+    o = np.lexsort((e, -s, q))
+    q, e, s = q[o], e[o], s[o]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], e[top], s[top]
 
 
 def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, queries: DataFrame | None = None) -> DataFrame:
-    """Rows (query, id, similarity): for each row of ``queries`` (default: all) its ``k`` most similar other rows of ``units``."""
+    """Rows (query, id, similarity): for each row of ``queries`` (default: all) its ``k`` most similar other rows of ``units``, which have different vectors."""
     spark = units.sparkSession
-    units = settled(spark, units, "units")
-    queries = units if queries is None else queries
     n = units.count()
     schema = "query long, id long, similarity double"
     if n < 2:
         return spark.createDataFrame([], schema)
     # a fixed number of entries would find ever fewer of the nearest as the table grows denser
-    ix = replace(ix, candidates=max(ix.candidates, math.ceil(n * ix.share)))
+    enough = n if ix.exact else max(ix.candidates, math.ceil(n * ix.share))
     half = ix.dim // 2
     fit = units.orderBy(F.xxhash64("id"), "id").limit(ix.sample).select("unit").toArrow()
-    x = _matrix(fit.column(0).combine_chunks(), ix.dim)
+    x = _matrix(fit.column(0), ix.dim)
     kc = int(min(ix.max_centroids, max(2, round((n / ix.occupancy) ** 0.5)), max(2, len(x) // 4), len(x)))
     books = [_codebook(x[:, :half], kc, ix.rounds), _codebook(x[:, half:], kc, ix.rounds)]
 
     def assign(batches):
         for b in batches:
             m = _matrix(b.column(1), ix.dim)
-            c1, c2 = (_sq(m[:, s], c).argmin(1).astype("i4") for s, c in zip((slice(0, half), slice(half, None)), books))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(c1), pa.array(c2)], names=["id", "unit", "c1", "c2"])
-
-    entries = settled(spark, units.mapInArrow(assign, "id long, unit binary, c1 int, c2 int"), "entries")
-    counts = np.zeros((kc, kc), "i4")  # at most max_centroids^2 cells, whatever the number of vectors
-    for r in entries.groupBy("c1", "c2").count().collect():
-        counts[r.c1, r.c2] = r["count"]
-    entries, hot = _part_hot_cells(entries, counts, x, books, ix)
-    shipped = spark.sparkContext.broadcast((counts, hot))
-
-    def probe(batches):
-        cells, hot = shipped.value
+            c1, c2 = (_sq(m[:, s], c).argmin(1) for s, c in zip((slice(0, half), slice(half, None)), books))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((c1 * kc + c2).astype("i4"))], names=["id", "unit", "cell"])
+
+    parts = max(3 * spark.sparkContext.defaultParallelism, -(-n // ix.block))
+    entries = settled(spark, units.select("id", "unit").mapInArrow(assign, "id long, unit binary, cell int").repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id"), "entries")
+    counts = np.zeros(kc * kc, "i8")  # at most max_centroids^2 cells, whatever the number of vectors
+    for r in entries.groupBy("cell").count().collect():
+        counts[r["cell"]] = r["count"]
+    counts = counts.reshape(kc, kc)
+    shipped = spark.sparkContext.broadcast((counts, sorted(entries.inputFiles())))
+
+    def written(files: list[str], cells: np.ndarray):
+        """The entries past row groups without any of the cells."""
+        for path in files:
+            f = parquet_file(path)
+            at = f.schema_arrow.get_field_index("cell")
+            groups = []
+            for g in range(f.num_row_groups):
+                s = f.metadata.row_group(g).column(at).statistics
+                if s is None or not s.has_min_max or np.searchsorted(cells, s.min) < np.searchsorted(cells, s.max, side="right"):
+                    groups.append(g)
+            if groups:
+                for b in f.iter_batches(ix.batch, row_groups=groups, columns=["id", "unit", "cell"]):
+                    yield b.column(0).to_numpy(), _matrix(b.column(1), ix.dim), b.column(2).to_numpy()
+
+    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cells, files = shipped.value
+        t = pa.Table.from_batches(held)
+        qid, qm = t.column("id").to_numpy(), _matrix(t.column("unit"), ix.dim)
+        wanted = []
+        for lo in range(0, len(qid), 1024):
+            d1, d2 = _sq(qm[lo : lo + 1024, :half], books[0]), _sq(qm[lo : lo + 1024, half:], books[1])
+            wanted += [np.array([i * kc + j for i, j in walk(a, b, cells, enough)], "i4") for a, b in zip(d1, d2)]
+        q, e, s = search(qid, qm, wanted, written(files, np.unique(np.concatenate(wanted))), k, min_similarity, ix)
+        return pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(e), pa.array(s)], names=["query", "id", "similarity"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            m = _matrix(b.column(1), ix.dim)
-            d1, d2 = _sq(m[:, :half], books[0]), _sq(m[:, half:], books[1])
-            qs, firsts, seconds = [], [], []
-            for q, v, a, c in zip(b.column(0).to_pylist(), m, d1, d2):
-                by: dict[int, list[int]] = {}
-                for i, j in walk(a, c, cells, ix.candidates, v, hot):
-                    by.setdefault(i, []).append(j)
-                for i, js in by.items():
-                    qs.append(q), firsts.append(i), seconds.append(js)
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], names=["query", "c1", "c2s"])
-
-    probes = settled(spark, queries.select("id", "unit").mapInArrow(probe, "query long, c1 int, c2s array<int>"), "probes")
-    # Parts of each meeting place: at most max_centroids rows.
-    asked = {r.c1: r["count"] for r in probes.groupBy("c1").count().collect()}
-    parts = spark.createDataFrame([(i, -(-int(c) // ix.block) or 1, -(-asked.get(i, 1) // ix.block)) for i, c in enumerate(counts.sum(1, dtype="i8"))], "c1 int, ne int, nq int")
-    parts = F.broadcast(parts)
-    left = entries.join(parts, "c1").select("c1", F.pmod(F.xxhash64("id"), F.col("ne")).cast("int").alias("pe"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("pq"), "id", "unit", "c2")
-    right = probes.join(queries.select(F.col("id").alias("query"), "unit"), "query").join(parts, "c1")
-    right = right.select("c1", F.explode(F.sequence(F.lit(0), F.col("ne") - 1)).alias("pe"), F.pmod(F.xxhash64("query"), F.col("nq")).cast("int").alias("pq"), "query", "unit", "c2s")
-
-    def meet(e: pa.Table, q: pa.Table) -> pa.Table:
-        out_q, out_i, out_s = [], [], []
-        if e.num_rows and q.num_rows:
-            em, qm = (_matrix(t.column("unit").combine_chunks(), ix.dim) for t in (e, q))
-            eid, qid = e.column("id").to_numpy(), q.column("query").to_numpy()
-            c2 = e.column("c2").to_numpy()
-            order = np.argsort(c2, kind="stable")
-            em, eid, c2 = em[order], eid[order], c2[order]
-            lists = q.column("c2s").combine_chunks()
-            want = lists.flatten().to_numpy()
-            who = np.repeat(np.arange(q.num_rows), np.diff(lists.offsets.to_numpy()))
-            by = np.argsort(want, kind="stable")
-            want, who = want[by], who[by]
-            for cell in np.unique(c2):
-                a, b = np.searchsorted(c2, [cell, cell + 1])
-                l, r = np.searchsorted(want, [cell, cell + 1])
-                for at in range(l, r, 4096):
-                    rows = who[at : min(at + 4096, r)]
-                    sim = qm[rows] @ em[a:b].T
-                    sim[qid[rows][:, None] == eid[None, a:b]] = -2
-                    floor = np.full(len(rows), max(min_similarity, -1.0) - 1e-5, "f4")
-                    if b - a > k:
-                        floor = np.maximum(floor, np.partition(sim, b - a - k, axis=1)[:, b - a - k] - 1e-5)
-                    y, z = np.nonzero(sim >= floor[:, None])
-                    out_q.append(rows[y]), out_i.append(z + a)
-        if not out_q:
-            return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        qi, ei = np.concatenate(out_q), np.concatenate(out_i)
-        exact = np.concatenate([np.einsum("ij,ij->i", qm[u].astype("f8"), em[v].astype("f8")) for u, v in zip(np.array_split(qi, len(qi) // 100_000 + 1), np.array_split(ei, len(qi) // 100_000 + 1))])
-        keep = exact >= min_similarity
-        qi, ei, exact = qi[keep], ei[keep], exact[keep]
-        o = np.lexsort((eid[ei], -exact, qi))
-        qi, ei, exact = qi[o], ei[o], exact[o]
-        rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        top = rank < k
-        return pa.table({"query": qid[qi[top]], "id": eid[ei[top]], "similarity": exact[top]})
-
-    keys = ["c1", "pe", "pq"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
-    return met.withColumn("r_", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).filter(F.col("r_") <= k).drop("r_")
+            for at in range(0, b.num_rows, ix.block):
+                held.append(b.slice(at, ix.block))
+                if sum(h.num_rows for h in held) >= ix.block:
+                    yield answer(held)
+                    held = []
+        if held:
+            yield answer(held)
+
+    asked = entries if queries is None else queries
+    return asked.select("id", "unit").mapInArrow(run, schema)
 
 
 def similar(vectors: DataFrame, k: int = 5, min_similarity: float = -1.0, id_col: str = "vec_id", data: str = "data", ix: Index = Index()) -> DataFrame:
     """Rows (query, id, similarity, rank): for every valid vector its ``k`` most similar others."""
     spark = vectors.sparkSession
-    units = settled(spark, valid_units(vectors, id_col, data, ix), "valid")
-    own = settled(spark, _copies(units), "copies")
-    reps = units.join(own.filter("id = rep").select("id"), "id", "left_semi")
-    found = nearest(reps, k, ix, min_similarity)
+    marked = valid_units(vectors, id_col, data, ix).withColumn("h", F.md5("unit"))
+    # one row a set of copies, by its smallest id
+    reps = settled(spark, marked.groupBy("h").agg(F.min(F.struct("id", "unit")).alias("r"), F.count("*").alias("n")).select("h", "r.id", "r.unit", "n"), "units")
+    own = marked.select("id", "h").join(reps.filter("n > 1").select("h", F.col("id").alias("rep")), "h").select("id", "rep")
+    own = settled(spark, own, "copies")
+    found = nearest(reps.select("id", "unit"), k, ix, min_similarity)
+    single = reps.filter("n = 1").select("id", F.col("id").alias("rep"))
     # Of each set of copies the k + 1 smallest ids can be among anyone's k nearest.
     head = own.withColumn("n_", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("n_") <= k + 1).select(F.col("rep").alias("to"), F.col("id").alias("other"))
-    several = own.groupBy("rep").count().filter("count > 1").select("rep")
+    head = head.unionByName(single.select(F.col("rep").alias("to"), F.col("id").alias("other")))
     between = found.select(F.col("query").alias("rep"), F.col("id").alias("to"), "similarity")
-    within = several.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("similarity"))
-    rows = between.unionByName(within).join(head, "to").join(own, "rep").filter("id <> other")
+    within = reps.filter("n > 1").select(F.col("id").alias("rep"), F.col("id").alias("to"), F.lit(1.0).alias("similarity"))
+    rows = between.unionByName(within).join(head, "to").join(own.unionByName(single), "rep").filter("id <> other")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other")))
     return ranked.filter(F.col("rank") <= k).select(F.col("id").alias("query"), F.col("other").alias("id"), "similarity", "rank")
 
 
-def _copies(units: DataFrame) -> DataFrame:
-    """Rows (id, rep): the smallest id with the same unit vector."""
-    u = units.select("id", F.md5("unit").alias("h"))
-    least = u.groupBy("h").agg(F.min("id").alias("rep"))
-    return u.join(least, "h").select("id", "rep")
-
-
 def similar_pairs(vectors: DataFrame, k: int = 5, min_similarity: float = 0.9, **kw) -> DataFrame:
     """Distinct (vec_a, vec_b), smaller first, where one is among the other's ``k`` most similar and they reach ``min_similarity``."""
     s = similar(vectors, k, min_similarity, **kw)
