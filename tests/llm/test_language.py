@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scenegrain.llm import language as L
 
@@ -47,7 +50,35 @@ def test_confidence_and_repeated_rows(spark, profiles):
 def test_held_out(profiles):
     held = {"en": "My brother wants to order the kettle as well.", "de": "Nach einem Monat ist der Griff leider abgebrochen.", "fr": "Je suis très contente de cette machine à café.", "ru": "Через месяц она сломалась, и никто не отвечает."}
     for l, s in held.items():
-        assert profiles.languages[int(profiles.distances(s).argmin())] == l
+        assert profiles.languages[int(profiles.distances([s])[0][0].argmin())] == l
+
+
+def plain_distance(p, sentence):
+    n = Counter()
+    for w in L._WORD.findall(sentence.lower()):
+        m = f"_{w}_"
+        for k in range(1, 6):
+            n.update(m[i : i + k] for i in range(len(m) - k + 1))
+    n.pop("_", None)
+    far = np.zeros(len(p.owner))
+    for own, (g, _) in enumerate(n.most_common()):
+        r = p.rank[p.index.get(g, len(p.index))]
+        far += np.where(r >= p.size, p.size, abs(r - min(own, p.size)))
+    far = far / max(len(n), 1) / p.size if n else np.ones(len(p.owner))
+    return [min(f for f, o in zip(far, p.owner) if o == j) for j in range(len(p.languages))]
+
+
+@pytest.mark.parametrize("at_once", [1, 200, 1 << 20])
+def test_distances_equal_the_plain_count(profiles, at_once):
+    ss = [x for v in SENTENCES.values() for x in v] + ["", "12 !!", "a", "a a a b", "Ein _Wort_ mit Marken", "straße İstanbul", " ".join(SENTENCES["en"]) * 40, SENTENCES["de"][0]]
+    got, whole = profiles.distances(ss, at_once)
+    assert np.allclose(got, [plain_distance(profiles, x) for x in ss]) and list(whole) == [L.is_whole(x) for x in ss]
+
+
+def test_sentences_in_the_jvm(spark):
+    texts = ["One here. Two there!\u00a0Three? \u3000 Four", "a / b | c \u2022 d", "\u4e00\u3002\u4e8c\uff01\u4e09", "endHere.Next one", "<b " + "x" * 500 + ">bold</b> #tag @me https://a.b/c?d=e (12) (ab)", "", "  \n\r\n ", '"Quoted." \'yes\'', "caf\u00e9.\u00c9t\u00e9 ici", "Dr. <a <b> c"]
+    got = [r.s for r in spark.createDataFrame(enumerate(texts), "i int, t string").select("i", L.sentence_column(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [L.sentences(t) for t in texts]
 
 
 def test_empty(spark, profiles):
