@@ -12,6 +12,8 @@ Defined cases
     case or blanks are one, with the sum of weights and the larger cap.
   * A source is out of reach if its share of the total exceeds ``max_repeats`` times its own tokens (so a source
     with a weight but without tokens is). It then gives all it may, and the others share the rest by weight.
+    ``out_of_reach`` draws the mix at the target's own shares, and holds the sources whose slots stayed empty, or
+    nearly so (the draw is random), against the exact figures.
   * Of all slots a capped source draws beyond its cap stay empty; the report counts what came out.
   * With no weights or no tokens the mix is empty.
 """
@@ -51,11 +53,6 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("source", "key", "wanted", "max_repeats", "tokens", "cap", "total", (F.col("wanted") * F.col("total") > F.col("cap")).alias("out_of_reach"))
 
 
-def out_of_reach(docs: DataFrame, targets: DataFrame, vocabulary_file: str | None = None) -> DataFrame:
-    """The sources whose target share can't be reached within their cap."""
-    return plan(sized(docs, vocabulary_file), targets).filter("out_of_reach").select("source")
-
-
 def reachable_shares(rows: list[dict], total: float) -> dict[str, float]:
     """Shares that caps allow: sources above their cap are set to it, the others scale up by weight, until none is above."""
     fixed: dict[str, float] = {}
@@ -107,19 +104,16 @@ def blocks(sizes: DataFrame, block: int, buckets: int = 4096) -> DataFrame:
     return p.select("key", "block", "doc_id", (lo - F.col("at")).alias("start"), (hi - lo).alias("length"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard: int = 4096, size: int | None = None, seed: int = 11, vocabulary_file: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The mix (shard, slot, source, pass, block, doc_id, start, length) and its report (source, wanted, reachable, actual, tokens_out, out_of_reach).
-
-    ``size``: tokens to give out, by default as many as all documents have.
-    """
+def _drawn(docs: DataFrame, targets: DataFrame, block: int, slots_per_shard: int, size: int | None, seed: int, vocabulary_file: str | None, limited: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix, one row per source with what was drawn and what came out, and the blocks; ``limited``: at the shares that the caps allow, else at the target's own."""
     spark = docs.sparkSession
     sizes = settled(spark, sized(docs, vocabulary_file), "sizes")
     rows = [r.asDict() for r in plan(sizes, targets).orderBy("key").collect()]  # one row per target source
     total = float(size or (rows[0]["total"] if rows else 0))
-    shares = reachable_shares(rows, total) if total else {}
+    shares = (reachable_shares(rows, total) if total else {}) if limited else {r["key"]: r["wanted"] for r in rows}
     slots = int(total // block)
     shards = -(-slots // slots_per_shard)
-    keys = [r["key"] for r in rows if shares.get(r["key"], 0) > 0 and r["tokens"] > 0]
+    keys = [r["key"] for r in rows if shares.get(r["key"], 0) > 0 and (r["tokens"] > 0 or not limited)]
     prob = np.array([shares[k] for k in keys])
     spare = max(0.0, 1 - float(prob.sum()))
     full = {r["key"]: -(-r["tokens"] // block) for r in rows}
@@ -136,8 +130,12 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard:
             drawn = [draw(i) for i in ids]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(keys)).astype("i8")), pa.array(keys * len(ids), pa.string()), pa.array(np.concatenate(drawn).astype("i8") if drawn else np.empty(0, "i8"))], names=["shard", "key", "n"])
 
-    per = spark.range(shards).mapInArrow(counts, "shard long, key string, n long")
-    per = per.withColumn("first", F.sum("n").over(Window.partitionBy("key").orderBy("shard")) - F.col("n"))
+    per = spark.range(shards).mapInArrow(counts, "shard long, key string, n long").withColumn("part", F.floor(F.col("shard") / 1024))
+    # slots are numbered through a source's shards: sums per 1,024 shards first, so that no task numbers them all
+    parts = per.groupBy("key", "part").agg(F.sum("n").alias("m"))
+    parts = parts.select("key", "part", (F.sum("m").over(Window.partitionBy("key").orderBy("part")) - F.col("m")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("key", "part").orderBy("shard")) - F.col("n")
+    per = per.withColumn("inner", inner).join(parts, ["key", "part"]).select("shard", "key", "n", (F.col("before") + F.col("inner")).alias("first"))
 
     def number(batches):
         for b in batches:
@@ -145,7 +143,7 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard:
             for shard, key, n, first in zip(*(b.column(i).to_pylist() for i in range(4))):
                 at = np.arange(first, first + n)
                 at = at[at < full[key] * repeats[key]]
-                for k in np.unique(at // full[key]):
+                for k in np.unique(at // max(full[key], 1)):
                     own = at[at // full[key] == k]
                     out[0].append(np.full(len(own), shard)), out[1].append(np.full(len(own), keys.index(key)))
                     out[2].append(own), out[3].append(np.full(len(own), k)), out[4].append(permute(own % full[key], full[key], seed * 1_000_003 + keys.index(key) * 8191 + int(k)))
@@ -155,8 +153,34 @@ def mix(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard:
     placed = per.mapInArrow(number, "shard long, key string, slot long, `pass` long, block long")
     named = spark.createDataFrame([(r["key"], r["source"]) for r in rows], "key string, source string")
     out = placed.join(blocks(sizes, block), ["key", "block"]).join(named, "key").select("shard", "slot", "source", "pass", "block", "doc_id", "start", "length")
-    target = spark.createDataFrame([(r["source"], r["wanted"], float(shares.get(r["key"], 0.0)), r["tokens"], r["out_of_reach"]) for r in rows], "source string, wanted double, reachable double, tokens long, out_of_reach boolean")
-    given = out.groupBy("source").agg(F.sum("length").alias("tokens_out"))
-    every = F.sum("tokens_out").over(Window.partitionBy())
-    report = target.join(given, "source", "left").withColumn("tokens_out", F.coalesce("tokens_out", F.lit(0))).withColumn("actual", F.when(every > 0, F.col("tokens_out") / every).otherwise(0.0))
-    return out, report.select("source", "wanted", "reachable", "actual", "tokens", "tokens_out", "out_of_reach")
+    slim = [(r["key"], r["source"], r["wanted"], float(shares.get(r["key"], 0.0)), r["tokens"], r["out_of_reach"], r["max_repeats"], slots) for r in rows]
+    target = spark.createDataFrame(slim, "key string, source string, wanted double, reachable double, tokens long, out_of_reach boolean, max_repeats int, all_slots long")
+    given = out.groupBy("source").agg(F.sum("length").alias("tokens_out"), F.count_distinct("slot").alias("filled"))
+    drawn = per.groupBy("key").agg(F.sum("n").alias("slots"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    report = target.join(given, "source", "left").join(drawn, "key", "left").select(*target.columns, zero("tokens_out"), zero("filled"), zero("slots"))
+    return out, report, sizes
+
+
+def mix(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard: int = 4096, size: int | None = None, seed: int = 11, vocabulary_file: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The mix (shard, slot, source, pass, block, doc_id, start, length) and its report (source, wanted, reachable, actual, tokens, tokens_out, slots, filled, out_of_reach).
+
+    ``size``: tokens to give out, by default as many as all documents have.
+    """
+    out, report, _ = _drawn(docs, targets, block, slots_per_shard, size, seed, vocabulary_file, True)
+    every = F.sum("tokens_out").over(Window.partitionBy())  # one row a source
+    report = report.withColumn("actual", F.when(every > 0, F.col("tokens_out") / every).otherwise(0.0))
+    return out, report.select("source", "wanted", "reachable", "actual", "tokens", "tokens_out", "slots", "filled", "out_of_reach")
+
+
+def out_of_reach(docs: DataFrame, targets: DataFrame, block: int = 512, slots_per_shard: int = 4096, seed: int = 11, vocabulary_file: str | None = None) -> DataFrame:
+    """The sources whose target share can't be reached within their cap: those that leave drawn slots empty in a mix at the target's shares.
+
+    A source that came within six standard deviations of the draw, and the last block of each pass, of leaving slots
+    empty is a candidate too; candidates are then held against the exact tokens.
+    """
+    _, report, _ = _drawn(docs, targets, block, slots_per_shard, None, seed, vocabulary_file, False)
+    noise = 6 * F.sqrt(F.col("all_slots") * F.col("wanted") * (1 - F.least("wanted", F.lit(1.0)))) + F.col("max_repeats") + 2
+    room = F.ceil(F.col("tokens") / block) * F.col("max_repeats")
+    empty = F.col("slots") > F.col("filled")
+    return report.filter((empty | (F.col("filled") + noise >= room)) & F.col("out_of_reach")).select("source")
