@@ -170,27 +170,37 @@ def shared_thickness(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> fl
     return max((pieces[k][0] / float(np.hypot(pieces[k][3] - pieces[k][1], pieces[k][4] - pieces[k][2])) for k in range(len(pieces)) if into[k] == k), default=0.0)
 
 
-def covered_cells(polygons: list[list[np.ndarray]], cell: float) -> list[tuple[int, int]]:
-    """Grid cells wholly inside the region: no edge enters them and their centre is inside."""
+def level_of(side: float) -> int:
+    """The power of two that is at least ``side``."""
+    return int(np.clip(np.ceil(np.log2(max(side, 2.0**-40))), -40, 10))
+
+
+def covered_cells(polygons: list[list[np.ndarray]], level: int, at_once: int = 1 << 22) -> list[tuple[int, int]]:
+    """Grid cells of side 2^``level`` that lie wholly inside the region: no edge enters them and their centre is inside."""
     e = wkb.edges(polygons)
-    out: list[tuple[int, int]] = []
+    cell = 2.0**level
+    out: set[tuple[int, int]] = set()
     for rings in polygons:
         x0, y0, x1, y1 = wkb.bounds([rings])
         c0, c1, r0, r1 = (int(np.floor(v / cell)) for v in (x0, x1, y0, y1))
-        for r in range(r0, r1 + 1):  # by row, so that large regions need little memory
-            lo, hi = r * cell, (r + 1) * cell
-            cols = np.arange(c0, c1 + 1)
-            free = np.ones(len(cols), bool)
-            for ax, ay, bx, by in e[(np.minimum(e[:, 1], e[:, 3]) <= hi) & (np.maximum(e[:, 1], e[:, 3]) >= lo)]:
-                if ay == by:
-                    l, g = min(ax, bx), max(ax, bx)
-                else:
-                    t0, t1 = sorted(((np.clip(lo, min(ay, by), max(ay, by)) - ay) / (by - ay), (np.clip(hi, min(ay, by), max(ay, by)) - ay) / (by - ay)))
-                    l, g = sorted((ax + t0 * (bx - ax), ax + t1 * (bx - ax)))
-                free &= ~((cols * cell <= g) & ((cols + 1) * cell >= l))
-            if free.any():
-                up = e[(e[:, 1] > (lo + hi) / 2) != (e[:, 3] > (lo + hi) / 2)]
-                xs = np.sort(_x_at(up, (lo + hi) / 2))
-                inside = free & (np.searchsorted(xs, (cols + 0.5) * cell) % 2 == 1)
-                out += [(int(c), r) for c in cols[inside]]
-    return out
+        cols, rows = np.arange(c0, c1 + 1), np.arange(r0, r1 + 1)
+        lo, hi = rows * cell, (rows + 1) * cell
+        mid, centre = (rows + 0.5) * cell, (cols + 0.5) * cell
+        free, odd = np.ones((len(rows), len(cols)), bool), np.zeros((len(rows), len(cols)), bool)
+        step = max(1, at_once // free.size)
+        for k in range(0, len(e), step):
+            ax, ay, bx, by = (v[:, None] for v in e[k : k + step].T)
+            flat = ay == by
+            rise = np.where(flat, 1.0, by - ay)
+            bottom, top = np.minimum(ay, by), np.maximum(ay, by)
+            # the stretch of each edge within each row of cells
+            t0, t1 = (np.where(flat, w, (np.clip(v, bottom, top) - ay) / rise) for v, w in ((lo[None, :], 0.0), (hi[None, :], 1.0)))
+            xa, xb = ax + t0 * (bx - ax), ax + t1 * (bx - ax)
+            meets = (bottom <= hi[None, :]) & (top >= lo[None, :])
+            l, g = np.minimum(xa, xb), np.maximum(xa, xb)
+            free &= ~(meets[:, :, None] & (cols * cell <= g[:, :, None]) & ((cols + 1) * cell >= l[:, :, None])).any(axis=0)
+            cross = (ay > mid[None, :]) != (by > mid[None, :])
+            at = ax + (mid[None, :] - ay) / rise * (bx - ax)
+            odd ^= (cross[:, :, None] & (at[:, :, None] < centre)).sum(axis=0) % 2 == 1
+        out.update((int(cols[j]), int(rows[i])) for i, j in zip(*np.nonzero(free & odd)))
+    return sorted(out)

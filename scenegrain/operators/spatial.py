@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from scenegrain.functions import polygons, wkb
 from scenegrain.operators.joins import salted_join
-from scenegrain.session import settled
+from scenegrain.session import settled, spread
 
 #: Mean radius of the Earth in metres; radius of the sphere of web Mercator.
 EARTH_M, MERCATOR_M = 6371008.8, 6378137.0
@@ -80,86 +80,125 @@ def near_pairs(placed: DataFrame, metres: float, index: str = "point_index") ->
     at = lambda lon: F.floor((lon + 180) / 360 * n).cast("long")
     first, last = at(F.col("lon1") - F.col("d")), at(F.col("lon1") + F.col("d"))
     probe = probe.withColumn("bin", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + n - 1)), lambda k: F.pmod(k, n))))).drop("d")
-    j = salted_join(probe, home, ["band", "bin"])
+    j = salted_join(probe, home, ["band", "bin"], heavy=True)
     far = distance_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2"))
     j = j.filter((F.col("left_id") != F.col("right_id")) & ((F.col("own") != F.col("band")) | (F.col("left_id") < F.col("right_id")))).withColumn("metres", far).filter(F.col("metres") <= metres)
     return j.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "metres").groupBy("left_id", "right_id").agg(F.min("metres").alias("metres"))
 
 
-def footprints(records: DataFrame, id_col: str, geometry: str = "geometry") -> DataFrame:
-    """Distinct (id, region, geometry): ``region`` is equal for geometries written in different but equal ways."""
-    src = records.select(F.col(id_col).alias("id"), F.col(geometry).alias("geometry")).filter("id IS NOT NULL AND geometry IS NOT NULL").distinct()
+def footprints(records: DataFrame, id_col: str, geometry: str = "geometry") -> tuple[DataFrame, DataFrame]:
+    """Distinct (id, region) of the readable footprints, and one (region, geometry) a region.
+
+    ``region`` is equal for geometries written in different but equal ways. Each distinct text is parsed once.
+    """
+    src = records.select(F.col(id_col).alias("id"), F.col(geometry).alias("geometry")).filter("id IS NOT NULL AND geometry IS NOT NULL").withColumn("text", F.md5("geometry"))
 
     def run(batches):
-        seen: dict[bytes, int | None] = {}
         for b in batches:
-            ids, keys, geo = [], [], []
-            for i, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if g not in seen:
-                    if len(seen) > 50_000:  # a memo only; what falls out is parsed again
-                        seen.clear()
-                    p = wkb.parse(g)
-                    seen[g] = None if p is None else polygons.key(p)
-                if seen[g] is not None:
-                    ids.append(i), keys.append(seen[g]), geo.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(geo, pa.binary())], names=["id", "region", "geometry"])
-
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, region long, geometry binary")
+            parsed = [wkb.parse(g) for g in b.column(1).to_pylist()]
+            ok = pa.array([p is not None for p in parsed], pa.bool_())
+            keys = pa.array([polygons.key(p) for p in parsed if p is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), keys, b.column(1).filter(ok)], names=["text", "region", "geometry"])
 
+    texts = src.groupBy("text").agg(F.first("geometry").alias("geometry"))
+    texts = spread(texts, "text").mapInArrow(run, "text string, region long, geometry binary")
+    texts = settled(records.sparkSession, texts, "footprints")  # parsed once, read twice
+    ids = src.select("id", "text").distinct()
+    return salted_join(ids, texts.select("text", "region"), ["text"]).select("id", "region").distinct(), texts.groupBy("region").agg(F.min("geometry").alias("geometry"))
 
-def regions(prints: DataFrame) -> DataFrame:
-    """One row per distinct region, with one of its geometries."""
-    return prints.groupBy("region").agg(F.min("geometry").alias("geometry"))
 
+def slab_table(regs: DataFrame, cell: float = 0.25, across: int = 16) -> DataFrame:
+    """Rows (level, cx, cy, region, slabs): the trapezoidal decomposition of each region, spread over a grid of side ``cell`` x 2^level.
 
-def slab_table(regs: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Rows (cx, cy, region, slabs): the trapezoidal decomposition of each region, spread over a grid."""
+    The level is the least at which the region is at most ``across`` cells wide and high, so even one that spans the Earth is a few hundred rows.
+    """
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
+
+            def held(out=out):
+                arrays = [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                return pa.RecordBatch.from_arrays(arrays, names=["level", "cx", "cy", "region", "slabs"])
+
             for key, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for cx, cy, packed in polygons.slabs(wkb.parse(g), cell):
-                    for col, v in zip(out, (cx, cy, key, packed)):
+                p = wkb.parse(g)
+                x0, y0, x1, y1 = wkb.bounds(p)
+                level = max(0, polygons.level_of(max(x1 - x0, y1 - y0) / (across * cell)))
+                for cx, cy, packed in polygons.slabs(p, cell * 2**level):
+                    for col, v in zip(out, (level, cx, cy, key, packed)):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["cx", "cy", "region", "slabs"])
+                if len(out[0]) >= 8192:
+                    yield held()
+                    for c in out:
+                        c.clear()
+            yield held()
 
-    return regs.select("region", "geometry").mapInArrow(run, "cx long, cy long, region long, slabs binary")
+    return spread(regs.select("region", "geometry"), "region").mapInArrow(run, "level int, cx long, cy long, region long, slabs binary")
 
 
-def locate_points(placed: DataFrame, table: DataFrame, cell: float = 0.25, index: str = "point_index") -> DataFrame:
-    """Distinct (point index, region) of the regions of a ``slab_table`` that contain the point."""
-    p = placed.select(F.col(index).alias("p"), "lon", "lat", F.floor(F.col("lon") / cell).cast("long").alias("cx"), F.floor(F.col("lat") / cell).cast("long").alias("cy"))
-    j = salted_join(p, table, ["cx", "cy"]).select("p", "lon", "lat", "region", "slabs")
+def locate_points(placed: DataFrame, table: DataFrame, cell: float = 0.25, index: str = "point_index", points_at_once: int = 50_000, slabs_at_once: int = 4_000) -> DataFrame:
+    """Distinct (point index, region) of the regions of a ``slab_table`` that contain the point.
 
-    def run(batches):
-        for b in batches:
-            x, y = b.column(1).to_numpy(), b.column(2).to_numpy()
-            hit = np.zeros(len(x), bool)
-            packs = b.column(4).dictionary_encode()
-            code = packs.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            for k, at in enumerate(np.split(order, np.cumsum(np.bincount(code, minlength=len(packs.dictionary)))[:-1])):
+    Points and slabs meet in buckets of cells, each slab once a bucket. A cell with more of either than a task should
+    hold is cut: its points by a salt, its slabs into parts, and each part meets each salt.
+    """
+    kind = placed.schema[index].dataType.simpleString()
+    levels = sorted(r.level for r in table.select("level").distinct().collect())  # a few, however many regions there are
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    p = placed.select(F.col(index).alias("p"), "lon", "lat", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    p = p.select("p", "lon", "lat", "level", F.floor(F.col("lon") / side).cast("long").alias("cx"), F.floor(F.col("lat") / side).cast("long").alias("cy"))
+    place = ["level", "cx", "cy"]
+    n = p.groupBy(*place).agg(F.count("*").alias("np_"))
+    m = table.groupBy(*place).agg(F.count("*").alias("ns_"))
+    both = n.join(m, place).select(*place, F.ceil(F.col("np_") / points_at_once).cast("int").alias("salts_"), F.ceil(F.col("ns_") / slabs_at_once).cast("int").alias("parts_"), "np_", "ns_")
+    both = settled(placed.sparkSession, both, "cells")  # one row a cell with both
+    sums = both.agg(F.sum("np_"), F.sum("ns_")).first()
+    spark = placed.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, int((sums[0] or 0) // points_at_once), int((sums[1] or 0) // slabs_at_once))
+    keys = [*place, "salt_", "part_"]
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("b")
+    cut = both.select(*place, "salts_", "parts_")
+    l = p.join(cut, place).withColumn("salt_", F.pmod(F.xxhash64("p"), "salts_").cast("int")).withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
+    r = table.join(cut, place).withColumn("part_", F.pmod(F.xxhash64("region"), "parts_").cast("int")).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("salts_") - 1)))
+
+    def meet(a: pa.Table, t: pa.Table) -> pa.Table:
+        points, regs = [], []
+        if a.num_rows and t.num_rows:
+            codes = [np.stack([x.column(k).to_numpy().astype("i8") for k in keys], axis=1) for x in (a, t)]
+            both_, code = np.unique(np.concatenate(codes), axis=0, return_inverse=True)
+            mine, theirs = code[: a.num_rows], code[a.num_rows :]
+            order = np.argsort(mine, kind="stable")
+            start = np.searchsorted(mine[order], np.arange(len(both_) + 1))
+            ids, x, y = a.column("p").to_numpy(), a.column("lon").to_numpy(), a.column("lat").to_numpy()
+            for c, reg, packed in zip(theirs.tolist(), t.column("region").to_pylist(), t.column("slabs").to_pylist()):
+                at = order[start[c] : start[c + 1]]
                 if len(at):
-                    hit[at] = polygons.locate(packs.dictionary[k].as_py(), x[at], y[at])
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit)), b.column(3).filter(pa.array(hit))], names=["point", "region"])
+                    hit = at[polygons.locate(packed, x[at], y[at])]
+                    points.append(ids[hit]), regs.append(np.full(len(hit), reg))
+        cat = lambda v: np.concatenate(v).astype("i8") if v else np.empty(0, "i8")
+        return pa.table({"point": pa.array(cat(points)).cast(pa.int32() if kind == "int" else pa.int64()), "region": pa.array(cat(regs))})
 
-    return j.mapInArrow(run, f"point {p.schema['p'].dataType.simpleString()}, region long").distinct()
+    met = l.select(bucket, "p", "lon", "lat", *keys).repartition(buckets, "b").groupBy("b").cogroup(r.select(bucket, "region", "slabs", *keys).repartition(buckets, "b").groupBy("b")).applyInArrow(meet, f"point {'int' if kind == 'int' else 'bigint'}, region long")
+    return met.distinct()
 
 
-def points_in_records(points: DataFrame, records: DataFrame, id_col: str = "fid", cell: float = 0.25) -> DataFrame:
+def points_in_records(points: DataFrame, records: DataFrame, id_col: str = "fid", cell: float = 0.25, placed: DataFrame | None = None) -> DataFrame:
     """Distinct (point, id): each point and the records whose footprint contains it.
 
     Records written over the same ground share one region, so each point is located once a region and
     not once a record.
     """
-    prints = settled(records.sparkSession, footprints(records, id_col), "footprints")  # parsed once, read twice
-    hits = locate_points(placed_points(points), slab_table(regions(prints), cell), cell)
-    return salted_join(prints.select("region", "id").distinct(), hits, ["region"]).select("point", "id")
+    spark = records.sparkSession
+    prints, regs = footprints(records, id_col)
+    table = settled(spark, slab_table(regs, cell), "slabs")  # read twice: for the counts and for the rows
+    hits = locate_points(placed_points(points) if placed is None else placed, table, cell)
+    return salted_join(prints, hits, ["region"]).select("point", "id")
 
 
 def neighbours(points: DataFrame, records: DataFrame, metres: float = 250.0) -> DataFrame:
     """Rows (kind, left_id, right_id): ``near`` pairs of points and points ``inside`` records."""
-    near = near_pairs(placed_points(points), metres).select(F.lit("near").alias("kind"), "left_id", "right_id")
-    inside = points_in_records(points, records).select(F.lit("inside").alias("kind"), F.col("point").alias("left_id"), F.col("id").alias("right_id"))
+    placed = settled(points.sparkSession, placed_points(points), "placed")  # read several times
+    near = near_pairs(placed, metres).select(F.lit("near").alias("kind"), "left_id", "right_id")
+    inside = points_in_records(points, records, placed=placed).select(F.lit("inside").alias("kind"), F.col("point").alias("left_id"), F.col("id").alias("right_id"))
     return near.unionByName(inside)

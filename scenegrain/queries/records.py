@@ -701,9 +701,9 @@ def gf21_contains(spark, d):
     from scenegrain.operators import spatial
 
     r = _with_box_wkb(_records(spark, d).select("fid", "bbox"))
-    prints = spatial.footprints(r, "fid")
-    hits = spatial.locate_points(_lonlat(spark, d), spatial.slab_table(spatial.regions(prints)))
-    return hits.join(prints.select("region", "id").distinct(), "region").select(F.col("point").alias("point_index"), F.col("id").alias("fid")).distinct()
+    prints, regs = spatial.footprints(r, "fid")
+    hits = spatial.locate_points(_lonlat(spark, d), spatial.slab_table(regs))
+    return hits.join(prints, "region").select(F.col("point").alias("point_index"), F.col("id").alias("fid")).distinct()
 
 
 @query("SELECT fid, CASE fid % 4 WHEN 0 THEN 'h' WHEN 1 THEN 's' WHEN 2 THEN 'c' ELSE 'l' END || fid AS href FROM records")

@@ -26,6 +26,13 @@ def local_session(cpus: str | int = "*", partitions: int = 8, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Over as many tasks as the session shuffles to: for steps whose work a row is large, which the adaptive planner, going by bytes, would put into few tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
     sc = spark.sparkContext
