@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenegrain.llm import grouped_split, language, mixing, similar_vectors, tokens, top_n
+from scenegrain.session import settled
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +24,13 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("id").alias("fid"), F.col("group").alias("ground"), "split")
 
 
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The splits' rows beside those wanted, and how far their labels are from those of the whole."""
+    targets = spark.read.parquet(f"{d}/split_targets.parquet")
+    s = settled(spark, grouped_split.split_records(spark.read.parquet(f"{d}/records.parquet"), targets), "splits")
+    return grouped_split.deviation(s, s.select("group", "split").distinct(), targets)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.least_cloudy(spark.read.parquet(f"{d}/records.parquet"), 3).select("fid")
 
@@ -55,12 +63,18 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return language.mislabelled(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every whole sentence of every document."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return language.segments(docs, language.fit(docs)).select("doc_id", "segment", "lang", "confidence")
+
+
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p3_found, p6_found, p6_splits, p7_found, p8_ids, p9_found, p9_mix, p10_found, p10_languages)}
+    return {q.__name__: q for q in (p3_found, p6_found, p6_splits, p6_shares, p7_found, p8_ids, p9_found, p9_mix, p10_found, p10_languages, p10_segments)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,6 +54,34 @@ def test_torn_groups(spark):
     assert G.torn_groups(records(spark, [])).count() == 0
 
 
+def test_one_crowded_cell_and_a_footprint_of_the_whole_earth(spark, monkeypatch):
+    rng, tested = random.Random(3), []
+    crowd = [(i, square(rng.uniform(5, 5.2), rng.uniform(45, 45.2), rng.uniform(0.02, 0.06)), "train", 0) for i in range(3000)]
+    lone = [(10_000 + i, square(100 + 2 * i, -20 + i, 0.5), "val", 0) for i in range(30)]
+    earth = (99_999, wkb.polygon([(-180, -90), (180, -90), (180, 90), (-180, 90), (-180, -90)]), "train", 0)
+    regs = lambda rows: spark.createDataFrame([(r[0], r[1]) for r in rows], "region long, geometry binary")
+    got = {r.region: r.group for r in G.shared_ground(regs(crowd + lone)).collect()}
+    assert len(got) == 3030 and len({got[i] for i in range(3000)}) == 1 and len(set(got.values())) == 31
+    got = {r.region: r.group for r in G.shared_ground(regs(crowd + lone + [earth])).collect()}
+    assert len(got) == 3031 and len(set(got.values())) == 1
+    assert len(G._cover(1, wkb.parse(earth[1]))) < 200 and len(G._boxes(1, wkb.parse(earth[1]))) <= 4
+
+
+def test_the_assignment_lowers_the_deviation_of_labels(spark):
+    rng = random.Random(11)
+    # groups of mixed labels, many small ones, a few large and one of a third of all rows
+    rows = [(g, rng.choice("aaab") if rng.random() < 0.7 else "cd"[g % 2]) for g in range(4000) for _ in range(rng.randrange(1, 5))]
+    rows += [(9000 + k, rng.choice("abcd")) for k in range(20) for _ in range(150)] + [(9999, "ab"[i % 2]) for i in range(6000)]
+    m = spark.createDataFrame(rows, "group long, label string")
+    targets = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15)], "split string, share double")
+    line = lambda **kw: {r.split: r for r in G.deviation(m, G.assign_splits(m, targets, **kw), targets).collect()}
+    plain, moved, full = line(rounds=0, at_once=1), line(rounds=4, at_once=50), line()
+    worst = lambda d: max(r.label_deviation for r in d.values())
+    assert worst(moved) < worst(plain) and worst(full) < 0.01
+    assert all(abs(r.rows - r.wanted) < 0.01 * len(rows) for r in full.values())
+    assert sum(r.rows for r in full.values()) == len(rows)
+
+
 def test_splits_keep_groups_whole_near_the_shares(spark):
     rng = random.Random(7)
     rows = [(i, square(2 * rng.randrange(600), 3 * (i % 7)), None, i % 3) for i in range(3000)] + [(i, None, None, 1) for i in range(3000, 3200)] + [(4000 + i, square(-100, -50), None, 2) for i in range(400)]
