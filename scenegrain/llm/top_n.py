@@ -1,9 +1,10 @@
 """The N best items of every group (problem 7), by skipping row groups on their statistics.
 
-``cluster_files`` writes the items once, ordered by group and score, so that each Parquet row group holds a
-few whole groups or a stretch of one large group. ``top_n`` then reads the footers, derives for every group
-that fills row groups of its own a bound on its N-th score, and reads only row groups that may still hold a
-winner, best first; inside a file it also skips by the N-th score found so far.
+``cluster_files`` writes the items once, ordered by group and score, in row groups of ``ROW_GROUP_ROWS`` rows. A row group with
+several groups holds the best rows of all of them but perhaps the first, so it always has winners and is read. A
+row group with one group is a stretch of that group's scores: ``top_n`` reads the footers, derives a bound on each group's
+N-th score from the row groups that it has to itself, and reads only those that may still hold a winner, best first;
+inside a file it also skips by the N-th score found so far. Clustered files can be asked again, for any N.
 
 Defined cases
   * Lower score first; equal scores in ascending order of ``tie`` columns, so the result is one and the same.
@@ -15,17 +16,15 @@ Defined cases
 
 from __future__ import annotations
 
-import heapq
-
+import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenegrain.llm.files import parquet_file
 from scenegrain.session import scratch_path
 
-ROW_GROUP_BYTES = 1 << 20
+ROW_GROUP_ROWS = 2048
 
 
 def top_n_window(items: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
@@ -40,26 +39,21 @@ def cluster_files(items: DataFrame, group: str, score: str, tie: list[str], part
     kept = items.filter(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     order = [group, score, *tie]
     ranged = kept.repartitionByRange(partitions, *order) if partitions else kept.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*order).write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", 1 << 16).parquet(path)
+    ranged.sortWithinPartitions(*order).write.option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(path)
     return path
 
 
-def _open(path: str):
-    system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return pq.ParquetFile(at, filesystem=system)
-
-
 def row_group_stats(df: DataFrame, group: str, score: str) -> DataFrame:
     """Rows (path, rg, rows, g_min, g_max, best, worst) from the footers of the files under ``df``."""
     spark = df.sparkSession
-    files = [f.replace("file:///", "file:/").replace("file:/", "file:///") for f in df.inputFiles()]
+    files = df.inputFiles()
     listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), spark.sparkContext.defaultParallelism * 4)))
 
     def run(batches):
         for b in batches:
             rows = []
             for path in b.column(0).to_pylist():
-                meta = _open(path).metadata
+                meta = parquet_file(path).metadata
                 at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 for k in range(meta.num_row_groups):
                     r = meta.row_group(k)
@@ -91,31 +85,24 @@ def top_n(path_df: DataFrame, group: str, score: str, tie: list[str], n: int, wa
     wanted = wanted_row_groups(row_group_stats(path_df, group, score), n) if wanted is None else wanted
     per_file = wanted.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("best", "rg", "g_min", "g_max"))).alias("rgs"))
     names = [f.name for f in schema]
-    keys = [score, *tie]
+    keys = [score, *tie]  # also the order in which the files are written
 
     def run(batches):
         for b in batches:
             for path, rgs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                file, nth, kept = _open(path), {}, {}
+                file, nth = parquet_file(path), {}
                 for r in rgs:  # best first
-                    g = r["g_min"]
-                    if g is not None and g == r["g_max"] and g in nth and r["best"] > nth[g]:
+                    g = r["g_min"] if r["g_min"] == r["g_max"] else None
+                    if g is not None and r["best"] > nth.get(g, np.inf):
                         continue
                     t = file.read_row_group(r["rg"], columns=names).select(names)
-                    t = t.sort_by([(group, "ascending"), *((k, "ascending") for k in keys)])
-                    gs = t.column(group).combine_chunks().dictionary_encode()
-                    codes = gs.indices.to_numpy(zero_copy_only=False)
-                    first = [0, *((codes[1:] != codes[:-1]).nonzero()[0] + 1), len(codes)] if len(codes) else [0]
-                    for lo, hi in zip(first[:-1], first[1:]):
-                        part = t.slice(lo, min(n, hi - lo)).to_pylist()
-                        name = part[0][group]
-                        merged = list(heapq.merge(kept.get(name, []), part, key=lambda x: tuple((x[k] is not None, x[k]) for k in keys)))[:n]
-                        kept[name] = merged
-                        if len(merged) == n:
-                            nth[name] = merged[-1][score]
-                rows = [x for part in kept.values() for x in part]
-                if rows:
-                    yield pa.Table.from_pylist(rows, schema=pa.schema([file.schema_arrow.field(c) for c in names])).combine_chunks().to_batches()[0]
+                    codes = t.column(group).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                    start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+                    place = np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes))))
+                    t = t.take(pa.array(np.flatnonzero(place < n)))  # in order of group, score and ties, as written
+                    if g is not None and len(t) == n:
+                        nth[g] = min(nth.get(g, np.inf), t.column(score)[-1].as_py())
+                    yield from t.combine_chunks().to_batches()
 
     found = per_file.repartition("path").mapInArrow(run, schema)
     return top_n_window(found, [group], [F.col(k).asc_nulls_first() for k in keys], n)
@@ -127,11 +114,17 @@ def latest_deliveries(records: DataFrame) -> DataFrame:
     return records.filter("fid IS NOT NULL").groupBy("fid").agg(F.max(row).alias("r")).select("fid", "r.id", "r.bbox", "r.cloud")
 
 
-def least_cloudy(records: DataFrame, n: int = 3) -> DataFrame:
-    """Rows (place, fid, id, cloud): for each place (bbox to 6 decimals) the ``n`` latest deliveries with the least cloud cover in 0 to 100."""
+def clustered_places(records: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The latest deliveries with cloud cover in 0 to 100 clustered by place (bbox to 6 decimals) and cloud, their row groups, and those that may hold the ``n`` least cloudy of a place."""
     side = [F.round(F.col(f"bbox.{c}"), 6) + F.lit(0.0) for c in ("xmin", "ymin", "xmax", "ymax")]
     items = latest_deliveries(records).filter("bbox IS NOT NULL AND NOT isnan(cloud) AND cloud BETWEEN 0 AND 100")
     items = items.select(F.concat_ws(",", *[F.coalesce(s.cast("string"), F.lit("null")) for s in side]).alias("place"), "cloud", "id", "fid")
-    path = cluster_files(items, "place", "cloud", ["id", "fid"])
-    spark = records.sparkSession
-    return top_n(spark.read.schema(items.schema).parquet(path), "place", "cloud", ["id", "fid"], n)
+    read = records.sparkSession.read.schema(items.schema).parquet(cluster_files(items, "place", "cloud", ["id", "fid"]))
+    stats = row_group_stats(read, "place", "cloud")
+    return read, stats, wanted_row_groups(stats, n)
+
+
+def least_cloudy(records: DataFrame, n: int = 3) -> DataFrame:
+    """Rows (place, fid, id, cloud): for each place the ``n`` latest deliveries with the least cloud cover."""
+    read, _, wanted = clustered_places(records, n)
+    return top_n(read, "place", "cloud", ["id", "fid"], n, wanted)

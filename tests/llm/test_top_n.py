@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from scenegrain.llm import top_n as T
 
@@ -35,7 +36,7 @@ def test_empty(spark):
 
 @pytest.mark.parametrize("n", [1, 3, 50])
 def test_skipping_equals_brute_force_with_a_hot_group_and_ties(spark, n, monkeypatch):
-    monkeypatch.setattr(T, "ROW_GROUP_BYTES", 2048)
+    monkeypatch.setattr(T, "ROW_GROUP_ROWS", 100)
     rng = random.Random(n)
     rows = [(rng.choice(["hot"] * 6 + [f"g{k}" for k in range(40)]), float(rng.randrange(0, 400)), i, "p" * 40) for i in range(30_000)]
     df = spark.createDataFrame(rows, "g string, s double, i long, pad string")
@@ -50,6 +51,20 @@ def test_skipping_equals_brute_force_with_a_hot_group_and_ties(spark, n, monkeyp
     assert stats.count() > 20 and T.wanted_row_groups(stats, n).count() < stats.count() / 2
 
 
+def test_row_groups_are_skipped_among_the_places_of_a_collection(spark):
+    rng = random.Random(9)
+    rows = [(i, f"r{i:06d}", box(0 if i % 3 else rng.randrange(4000)), round(rng.uniform(0, 100), 1), 0) for i in range(24_000)]
+    df = records(spark, rows)
+    read, stats, wanted = T.clustered_places(df, 3)
+    stats, wanted = stats.cache(), wanted.cache()
+    assert stats.agg(F.sum("rows")).first()[0] == 24_000 and stats.count() - wanted.count() >= 2
+    assert stats.filter("g_min < g_max").count() == wanted.filter("g_min < g_max").count() > 3  # of several places: all have winners
+    by = {}
+    for f, i, b, c, _ in rows:
+        by.setdefault(b, []).append((c, i, f))
+    assert {r.fid for r in T.least_cloudy(df, 3).collect()} == {f for v in by.values() for _, _, f in sorted(v)[:3]}
+
+
 def test_window_form(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3)], "g string, s int")
     assert T.top_n_window(df, ["g"], ["s"], 2).count() == 3
