@@ -4,10 +4,10 @@ Each file's readable JSON lines are flattened to (path, kind, value) for a set
 of target fields. A file's *fingerprint* is the sorted list of the path and
 kind under which it carries each field; files of a stream in time order get a
 version number that rises whenever the fingerprint differs from that of the
-file before. ``migrations`` gives the step from each version to the next and
-the chain of rename, default and cast rules that leads from a file to the one
-table, as text; ``unify`` doesn't read them but maps every line by the aliases
-of each field; ``changes`` reports every change.
+file before. ``migrations`` gives each file its version, with the chain of
+rename, default and cast rules that leads from the version to the one table,
+and the chain of the version before. ``changes`` reports every step between
+two versions; ``unify`` routes each line through the chain of its file's version.
 
 Defined cases
   * A line that is no JSON object, or is cut off or null, is unreadable: it comes out of ``unify``
@@ -18,6 +18,8 @@ Defined cases
   * A file without ``stream`` or ``written_at`` has a fingerprint but no place in an order: no changes.
   * Files of one stream and one time follow each other by ``file_id``.
   * Values that a cast rule cannot convert become null and are named in ``cast_failed``.
+  * A line that carries a field under another path or in another kind than its version is named in ``deviates`` and
+    mapped by a rule of its own. Lines of files without a version go by the file's own fingerprint.
 """
 
 from __future__ import annotations
@@ -156,62 +158,85 @@ def _previous(files: DataFrame, cols: list[str]) -> DataFrame:
     return j.select(*files.columns, F.col("p_").isNull().alias("first_"), *[F.col(f"p_.{c}").alias(f"prev_{c}") for c in cols])
 
 
-def changes(prints: DataFrame, fields: tuple[Field, ...] = HEADER_FIELDS) -> DataFrame:
-    """Rows (file_id, stream, field, change, was, now): added, removed, renamed or retyped against the file before."""
-    cols = [f"{f.name}_{x}" for f in fields for x in ("path", "kind")]
-    j = _previous(prints, cols).filter("NOT first_")
-    out = []
-    for f in fields:
-        path, kind, p0, k0 = (F.col(x) for x in (f"{f.name}_path", f"{f.name}_kind", f"prev_{f.name}_path", f"prev_{f.name}_kind"))
-        for change, when, was, now in (
-            ("added", path.isNotNull() & p0.isNull(), p0, path),
-            ("removed", path.isNull() & p0.isNotNull(), p0, path),
-            ("renamed", path != p0, p0, path),
-            ("retyped", path.isNotNull() & p0.isNotNull() & (kind != k0), k0, kind),
-        ):
-            out.append(F.when(when, F.struct(F.lit(f.name).alias("field"), F.lit(change).alias("change"), was.alias("was"), now.alias("now"))))
-    return j.select("file_id", "stream", F.explode(F.array_compact(F.array(*out))).alias("c")).select("file_id", "stream", "c.*")
-
-
 def migrations(prints: DataFrame, fields: tuple[Field, ...] = HEADER_FIELDS) -> DataFrame:
-    """One row per file: its ``version`` in its stream, the version's fingerprint, and the chain of ``rules`` into the one table.
+    """One row per file: its ``version`` in its stream (null without a place in one), whether it ``starts`` the version, the fingerprint, the
+    version's ``rules`` and those of the version ``before`` (null for the first).
 
-    The version counts the changes of the fingerprint along the stream; it comes from the counts per
-    month, so again no task holds a whole stream.
+    A field's rules: ``rename`` from the path that carries it (null: already under its name, or not carried), ``default`` for a
+    field that isn't carried, ``cast`` from the kind. The version counts the changes of the fingerprint along the stream; it
+    comes from the counts per month, so again no task holds a whole stream.
     """
-    j = _previous(prints, ["fingerprint"])
+    rule = lambda f: F.struct(
+        F.lit(f.name).alias("field"),
+        F.when(F.col(f"{f.name}_path") != f.name, F.col(f"{f.name}_path")).alias("rename"),
+        F.when(F.col(f"{f.name}_path").isNull(), F.lit("null")).alias("default"),
+        F.col(f"{f.name}_kind").alias("cast"),
+    )
+    ruled = prints.select("file_id", "stream", "written_at", "fingerprint", F.array(*[rule(f) for f in fields]).alias("rules"))
+    j = _previous(ruled, ["fingerprint", "rules"])
     j = j.withColumn("step_", F.when(F.col("first_") | (F.col("fingerprint") != F.col("prev_fingerprint")), 1).otherwise(0)).withColumn("month_", F.date_trunc("month", "written_at"))
     month = j.groupBy("stream", "month_").agg(F.sum("step_").alias("n_"))
     base = month.withColumn("base_", F.coalesce(F.sum("n_").over(Window.partitionBy("stream").orderBy("month_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_")
     inner = F.sum("step_").over(Window.partitionBy("stream", "month_").orderBy("written_at", "file_id"))
-    rules = [
-        F.when(F.col(f"{f.name}_path").isNull(), F.lit(f"default {f.name} = null"))
-        .when(F.col(f"{f.name}_path") != f.name, F.concat(F.lit("rename "), F.col(f"{f.name}_path"), F.lit(f" -> {f.name}")))
-        for f in fields
-    ] + [F.when(F.col(f"{f.name}_kind").isNotNull(), F.concat(F.lit(f"cast {f.name}: "), F.col(f"{f.name}_kind"), F.lit(f" -> {f.type}"))) for f in fields]
     v = j.withColumn("inner_", inner).join(base, ["stream", "month_"], "left")
-    return v.select("file_id", "stream", "written_at", (F.col("base_") + F.col("inner_")).cast("int").alias("version"), "fingerprint", F.array_compact(F.array(*rules)).alias("rules"))
+    ordered = v.select("file_id", "stream", "written_at", (F.col("base_") + F.col("inner_")).cast("int").alias("version"), (F.col("step_") == 1).alias("starts"), "fingerprint", "rules", F.col("prev_rules").alias("before"))
+    return ordered.unionByName(ruled.filter("stream IS NULL OR written_at IS NULL"), allowMissingColumns=True)
+
+
+def changes(migrated: DataFrame, fields: tuple[Field, ...] = HEADER_FIELDS) -> DataFrame:
+    """Rows (file_id, stream, field, change, was, now): the fields added, removed, renamed or retyped by each step from one version to the next."""
+    steps = migrated.filter("starts AND before IS NOT NULL")
+    out = []
+    for i, f in enumerate(fields):
+        now, old = F.col("rules")[i], F.col("before")[i]
+        path, p0 = (F.when(r["default"].isNull(), F.coalesce(r["rename"], F.lit(f.name))) for r in (now, old))
+        for change, when, was, is_ in (
+            ("added", old["default"].isNotNull() & now["default"].isNull(), p0, path),
+            ("removed", old["default"].isNull() & now["default"].isNotNull(), p0, path),
+            ("renamed", path != p0, p0, path),
+            ("retyped", path.isNotNull() & p0.isNotNull() & (now["cast"] != old["cast"]), old["cast"], now["cast"]),
+        ):
+            out.append(F.when(when, F.struct(F.lit(f.name).alias("field"), F.lit(change).alias("change"), was.alias("was"), is_.alias("now"))))
+    return steps.select("file_id", "stream", F.explode(F.array_compact(F.array(*out))).alias("c")).select("file_id", "stream", "c.*")
 
 
-def _cast(f: Field) -> Column:
-    """The cast rule of a field, from the text of a value of any kind."""
+def _cast(f: Field, kind: Column) -> Column:
+    """The cast rule of a field from a kind, on the text of the value."""
     text = F.trim(F.col(f"{f.name}_text"))
+    number = text.try_cast("double")
     if f.type.startswith("array"):
         inner = F.regexp_replace(text, r"[\[\]\s\"]", "")
         parts = F.filter(F.split(inner, ","), lambda x: x != "")
-        return F.when(text.isNotNull(), F.transform(parts, lambda x: x.try_cast("double").cast("int")))
+        listed = F.transform(parts, lambda x: x.try_cast("double").cast("int"))
+        return F.when(kind == "number", F.array(number.cast("int"))).when(text.isNotNull(), listed)
     word = F.lower(F.regexp_replace(text, "[^A-Za-z]", ""))
     named = F.lit(None).cast("int")
     for w, n in f.words:
         named = F.when(word == w, F.lit(n)).otherwise(named)
-    number = text.try_cast("double")
-    return F.coalesce(number, named.cast("double") if f.words else number).cast(f.type)
+    spelt = F.coalesce(number, named.cast("double")) if f.words else number
+    return F.when(kind == "string", spelt).otherwise(number).cast(f.type)
+
 
+def unify(flat: DataFrame, migrated: DataFrame, fields: tuple[Field, ...] = HEADER_FIELDS) -> DataFrame:
+    """All lines in one table with one column and type per field, each mapped by the rules of its file's version.
 
-def unify(flat: DataFrame, fields: tuple[Field, ...] = HEADER_FIELDS) -> DataFrame:
-    """All lines in one table with one column and type per field; ``renamed_from`` and ``cast_failed`` record what was done to the line."""
+    ``version``; ``renamed_from``, ``deviates`` and ``cast_failed`` record what was done to the line.
+    """
     keep = [c for c in ("file_id", "stream", "written_at", "received_at", "line_no", "readable") if c in flat.columns]
-    vals = {f.name: _cast(f) for f in fields}
-    failed = [F.when(F.col(f"{f.name}_text").isNotNull() & (vals[f.name].isNull() | (F.exists(vals[f.name], lambda x: x.isNull()) if f.type.startswith("array") else F.lit(False))), F.lit(f.name)) for f in fields]
-    moved = [F.when(F.col(f"{f.name}_path") != f.name, F.col(f"{f.name}_path")) for f in fields]
-    return flat.select(*keep, *[v.alias(k) for k, v in vals.items()], F.array_compact(F.array(*moved)).alias("renamed_from"), F.array_compact(F.array(*failed)).alias("cast_failed"))
+    rules = migrated.select(F.col("file_id").alias("file_"), "version", "rules")
+    j = flat.join(rules, F.col("file_id") == F.col("file_"), "left")
+    vals, failed, moved, odd = [], [], [], []
+    for i, f in enumerate(fields):
+        r = F.col("rules")[i]
+        path, kind, text = (F.col(f"{f.name}_{x}") for x in ("path", "kind", "text"))
+        ruled = F.when(r["default"].isNull(), F.coalesce(r["rename"], F.lit(f.name)))
+        same = path.eqNullSafe(ruled) & (kind.isNull() | (kind == r["cast"]))
+        # the chain of the version where the line keeps to it, else the line's own rename and cast
+        value = _cast(f, F.when(F.coalesce(same, F.lit(False)), r["cast"]).otherwise(kind))
+        vals.append(value.alias(f.name))
+        lost = F.exists(value, lambda x: x.isNull()) if f.type.startswith("array") else F.lit(False)
+        failed.append(F.when(text.isNotNull() & (value.isNull() | lost), F.lit(f.name)))
+        moved.append(F.when(path != f.name, F.when(F.coalesce(same, F.lit(False)), r["rename"]).otherwise(path)))
+        odd.append(F.when(F.col("readable") & F.col("rules").isNotNull() & ~F.coalesce(same, F.lit(False)), F.lit(f.name)))
+    lists = [F.array_compact(F.array(*x)).alias(n) for x, n in ((moved, "renamed_from"), (odd, "deviates"), (failed, "cast_failed"))]
+    return j.select(*keep, "version", *vals, *lists)

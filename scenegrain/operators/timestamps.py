@@ -1,7 +1,8 @@
 """Mixed timestamp formats and time zones to one instant in UTC (problem 5).
 
-All parsing is column expressions: one regular expression parts a text from its zone, one parts date from
-time, one reads the date; no row leaves the JVM.
+Texts are read in one Arrow-batched kernel: one regular expression parts a text from its zone, one parts date from
+time, one reads the date, and the zone's rules give the instant; columns beside the text don't leave the JVM. ``with_estimates`` then gives
+local times without a known zone an instant by the likeliest history of offsets of their feed.
 
 Defined cases (``status``)
   * ``ok``: exactly one instant. ``utc_us`` is set only here, in microseconds, further digits cut off.
@@ -11,6 +12,7 @@ Defined cases (``status``)
   * ``skipped`` / ``twice``: local time that the zone left out, or had twice while the text doesn't tell which.
   * 24:00:00 is the first moment of the next day; other hours beyond 23 are impossible.
   * An offset beyond 18 hours is impossible. A month's name counts by its first three English letters.
+  * ``with_estimates`` tells in ``how`` where an instant comes from; an ``estimated`` one never counts as ``ok``.
   * Items sent again come out as often as they came in; other columns of the input stay beside the result.
 """
 
@@ -18,18 +20,19 @@ from __future__ import annotations
 
 import functools
 import zoneinfo
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenegrain.session import settled
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
-_SEP = "\x01"
 
 _SUFFIX = (
     r"^(.*?)(?:(?<=\d|[AaPp][Mm]) ?\[?(Z|z|UTC|GMT|utc|gmt)\]?"
@@ -50,108 +53,153 @@ _DATE = (
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+_EDGE = regex.compile("^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$|\\x01")
+_WEEKDAY = regex.compile(r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +")
+_ZONED, _TIMED, _DATED = (regex.compile(x, regex.ASCII) for x in (_SUFFIX, _CLOCK, _DATE))
+_BARE = regex.compile(r"^(?:(\d{10})(?:\.(\d+))?|(\d{13})|(\d{16}))$", regex.ASCII)
+_NAMES = zoneinfo.available_timezones() - {"localtime", "Factory", "posixrules"}
+_BY_KEY = {n.lower(): n for n in sorted(_NAMES)}
+_EPOCH = date(1970, 1, 1).toordinal()
+_UTC0 = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_FIRST, _LAST = (int((datetime(y, m, d, tzinfo=timezone.utc) - _UTC0).total_seconds()) for y, m, d in ((1, 1, 3), (9999, 12, 29)))
+
+
 @functools.cache
-def _zone_rows() -> tuple[tuple[str, list[tuple[str, int]]], ...]:
-    """Zones with their letter abbreviations and offsets in seconds as used since 1970, the latest use of each abbreviation."""
-    out = []
-    for name in sorted(zoneinfo.available_timezones() - {"localtime", "Factory", "posixrules"}):
-        z, abbr = zoneinfo.ZoneInfo(name), {}
-        t = datetime(1970, 1, 15, tzinfo=timezone.utc)
-        while t.year < 2038:
-            local = t.astimezone(z)
-            if (local.tzname() or "").isalpha():
-                abbr[local.tzname()] = int(local.utcoffset().total_seconds())
-            t += timedelta(days=61)
-        out.append((name, sorted(abbr.items())))
-    return tuple(out)
+def _zone(key: str) -> zoneinfo.ZoneInfo | None:
+    return zoneinfo.ZoneInfo(_BY_KEY[key]) if key in _BY_KEY else None
+
+
+@functools.cache
+def _abbreviations(key: str) -> dict[str, int]:
+    """The letter abbreviations of a zone with their offsets in seconds as used since 1970, the latest use of each."""
+    z, out = _zone(key), {}
+    t = datetime(1970, 1, 15, tzinfo=timezone.utc)
+    while t.year < 2038:
+        local = t.astimezone(z)
+        if (local.tzname() or "").isalpha():
+            out[local.tzname()] = int(local.utcoffset().total_seconds())
+        t += timedelta(days=61)
+    return out
+
+
+def _offset(z: zoneinfo.ZoneInfo, us: int) -> int:
+    """The zone's offset in microseconds at an instant."""
+    t = _UTC0 + timedelta(seconds=min(max(us // SECOND, _FIRST), _LAST))
+    o = t.astimezone(z).utcoffset()
+    return (o.days * 86_400 + o.seconds) * SECOND
 
 
-def zones(spark: SparkSession) -> DataFrame:
-    """One row per IANA zone that the JVM knows too: lower-cased name, name, map of abbreviations to offset seconds. About 600 rows, fixed."""
-    known = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
-    rows = [(n.lower(), n, dict(a)) for n, a in _zone_rows() if n in known]
-    return spark.createDataFrame(rows, "zone_key string, zone_name string, abbreviations map<string,int>")
-
-
-def _parts(text: Column, pattern: str, groups: int) -> Column:
-    """The groups of a full match as an array (empty text: not taken part), null if there is no match."""
-    joined = F.regexp_replace(text, pattern, _SEP.join(f"${i}" for i in range(1, groups + 1)))
-    return F.when(text.rlike(pattern), F.split(joined, _SEP, -1))
-
-
-def _int(c: Column) -> Column:
-    return F.when(c != "", c).try_cast("int")
-
-
-def _micros(frac: Column) -> Column:
-    return F.coalesce(F.rpad(F.substring(frac, 1, 6), 6, "0").try_cast("long"), F.lit(0))
-
-
-def parse(items: DataFrame, text: str, order: Column) -> DataFrame:
-    """Adds ``p_``: struct(epoch_us, local_us, whole_day, fault, utc, name, offset, abbr) read from the text alone, but for the order of numeric dates."""
-    s = F.regexp_replace(F.regexp_replace(F.col(text), "[\u2212\u2013]", "-"), r"^\s+|\s+$|\x01", "")
-    s = F.regexp_replace(s, r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
-    df = items.withColumn("s_", s)
-    df = df.withColumn("z_", _parts(F.col("s_"), _SUFFIX, 6)).withColumn("c_", _parts(F.rtrim(F.col("z_")[0]), _CLOCK, 6)).withColumn("d_", _parts(F.col("c_")[0], _DATE, 26))
-    z, c, d = (lambda i: F.col("z_")[i - 1]), (lambda i: F.col("c_")[i - 1]), (lambda i: F.col("d_")[i - 1])
-    first = lambda *cols: F.coalesce(*[_int(x) for x in cols])
-    month = lambda name: F.when(name != "", F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(name, 1, 3)))).cast("int")
-    year = first(d(1), d(8), d(9), d(13), d(16), d(17), d(26))
-    numeric = d(8) != ""
-    month_ = F.coalesce(first(d(3)), F.when(numeric & (order == "dmy"), _int(d(7))).when(numeric & (order == "mdy"), _int(d(5))), month(d(12)), month(d(14)), first(d(18)), F.when((d(26) != "") | (d(10) != ""), F.lit(1)))
-    day = F.coalesce(first(d(4)), F.when(numeric & (order == "dmy"), _int(d(5))).when(numeric & (order == "mdy"), _int(d(7))), first(d(11), d(15), d(19)), F.when((d(26) != "") | (d(10) != ""), F.lit(1)))
-    hour12 = _int(c(2))
-    pm, am = F.lower(c(6)) == "pm", F.lower(c(6)) == "am"
-    hour = F.when(pm | am, F.when(hour12.between(1, 12), hour12 % 12 + F.when(pm, 12).otherwise(0)).otherwise(99)).otherwise(hour12)
-    hour, minute, second = F.coalesce(hour, first(d(20), d(23))), F.coalesce(first(c(3)), first(d(21), d(24))), F.coalesce(first(c(4)), first(d(22)))
-    timed = (c(2) != "") | (d(20) != "") | (d(23) != "")
-    df = df.select("*", F.struct(
-        year.alias("y"), month_.alias("m"), day.alias("d"), F.coalesce(hour, F.lit(0)).alias("h"), F.coalesce(minute, F.lit(0)).alias("mi"), F.coalesce(second, F.lit(0)).alias("s"),
-        F.when(c(5) != "", _micros(c(5))).when(d(25) != "", _micros(d(25))).otherwise(F.lit(0)).alias("us"), _int(d(10)).alias("ordinal"), timed.alias("timed"),
-        (timed & (c(2) != "") & (d(20).isNotNull() & ((d(20) != "") | (d(23) != "")))).alias("double"),
-    ).alias("f_")).drop("c_", "d_")
-    f = F.col("f_")
-    leap = ((f.y % 4 == 0) & (f.y % 100 != 0)) | (f.y % 400 == 0)
-    length = F.when(f.m == 2, F.when(leap, 29).otherwise(28)).when(f.m.isin(4, 6, 9, 11), 30).otherwise(31)
-    good_day = (f.y >= 1) & f.m.between(1, 12) & (f.d >= 1) & (f.d <= length) & (f.ordinal.isNull() | f.ordinal.between(1, F.when(leap, 366).otherwise(365)))
-    midnight = (f.h == 24) & (f.mi == 0) & (f.s == 0) & (f.us == 0)
-    good_time = ((f.h <= 23) | midnight) & (f.mi <= 59) & (f.s <= 59)
-    dated = f.y.isNotNull() & f.m.isNotNull() & f.d.isNotNull() & ~f.double
-    safe = F.when(good_day, F.make_date(f.y, f.m, f.d))
-    local = (F.unix_date(safe).cast("long") + F.coalesce(f.ordinal - 1, F.lit(0))) * DAY + (f.h * 3600 + f.mi * 60 + f.s).cast("long") * SECOND + f.us
-    bare = F.col("s_")
-    epoch = (
-        F.when(bare.rlike(r"^\d{10}(\.\d+)?$"), F.substring(bare, 1, 10).try_cast("long") * SECOND + _micros(F.substring(bare, 12, 6)))
-        .when(bare.rlike(r"^\d{13}$"), bare.try_cast("long") * 1000)
-        .when(bare.rlike(r"^\d{16}$"), bare.try_cast("long"))
-    )
-    off = F.regexp_replace(z(5), ":", "")
-    offset_s = F.when(z(5) != "", F.when(F.substring(off, 1, 1) == "-", -1).otherwise(1) * (F.substring(off, 2, 2).try_cast("int") * 3600 + F.coalesce(F.substring(off, 4, 2).try_cast("int"), F.lit(0)) * 60))
-    bad_offset = (F.abs(offset_s) > 18 * 3600) | (F.coalesce(F.substring(off, 4, 2).try_cast("int"), F.lit(0)) > 59)
-    fault = F.when(epoch.isNotNull(), F.lit(None)).when(~F.coalesce(dated, F.lit(False)), F.lit("unusable")).when(~good_day | ~good_time | F.coalesce(bad_offset, F.lit(False)), F.lit("impossible"))
-    text_of = lambda c: F.when(c != "", c)
-    return df.select("*", F.struct(
-        epoch.alias("epoch_us"), F.when(fault.isNull() & epoch.isNull(), local).alias("local_us"), (~f.timed).alias("whole_day"), fault.alias("fault"),
-        text_of(z(2)).isNotNull().alias("utc"), F.lower(F.coalesce(text_of(z(3)), text_of(z(4)))).alias("name"), offset_s.alias("offset"), text_of(z(6)).alias("abbr"),
-    ).alias("p_")).drop("s_", "z_", "f_")
-
-
-def _local(us: Column, zone: Column) -> Column:
-    return F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
-
-
-def resolve_local(df: DataFrame, local: str, zone: str, first: str) -> DataFrame:
-    """Adds ``r_``: struct(us, n): the instant of a local time in a zone, and how many there are (0 skipped, 2 twice).
+def resolve_local(local: int, z: zoneinfo.ZoneInfo, first: bool) -> tuple[int | None, int]:
+    """The instant of a local time in a zone, and how many there are (0 skipped, 2 twice).
 
     The offsets a day before and after bracket any change; each gives a candidate, and the candidates that
-    read back as the local time count. Where ``first`` holds, the first moment from the local time on is taken.
+    read back as the local time count. With ``first`` the first moment from the local time on is taken.
     """
-    l, z = F.col(local), F.col(zone)
-    df = df.withColumn("a_", l - (_local(l - DAY, z) - (l - DAY))).withColumn("b_", l - (_local(l + DAY, z) - (l + DAY)))
-    df = df.withColumn("ga_", _local(F.col("a_"), z) == l).withColumn("gb_", _local(F.col("b_"), z) == l)
-    n = F.when(F.col("a_") == F.col("b_"), F.col("ga_").cast("int")).otherwise(F.col("ga_").cast("int") + F.col("gb_").cast("int"))
-    one = F.when(F.col(first), F.when(n == 0, F.col("a_")).otherwise(F.least(F.when(F.col("ga_"), F.col("a_")), F.when(F.col("gb_"), F.col("b_"))))).when(n == 1, F.when(F.col("ga_"), F.col("a_")).otherwise(F.col("b_")))
-    return df.withColumn("r_", F.struct(one.alias("us"), F.when(F.col(first), F.lit(1)).otherwise(n).alias("n"))).drop("a_", "b_", "ga_", "gb_")
+    a, b = local - _offset(z, local - DAY), local - _offset(z, local + DAY)
+    good = [u for u in dict.fromkeys((a, b)) if u + _offset(z, u) == local]
+    if first:
+        return (min(good) if good else a), 1
+    return (good[0] if len(good) == 1 else None), len(good)
+
+
+def _micros(frac: str | None) -> int:
+    return int((frac or "")[:6].ljust(6, "0"))
+
+
+def read_text(text: str | None, order: str | None) -> dict:
+    """What a text says by itself, but for the order of numeric dates: epoch_us or local_us with whole_day, or the fault; utc, name, offset, abbr of its zone."""
+    out = {"epoch_us": None, "local_us": None, "whole_day": None, "fault": "unusable", "utc": False, "name": None, "offset": None, "abbr": None}
+    if text is None:
+        return out
+    s = _WEEKDAY.sub("", _EDGE.sub("", text.replace("\u2212", "-").replace("\u2013", "-")))
+    if m := _BARE.match(s):
+        out["fault"] = None
+        out["epoch_us"] = int(m[1]) * SECOND + _micros(m[2]) if m[1] else int(m[3]) * 1000 if m[3] else int(m[4])
+        return out
+    z = _ZONED.match(s)
+    if z is None:
+        return out
+    out["utc"], out["name"], out["abbr"] = z[2] is not None, (z[3] or z[4] or "").lower() or None, z[6]
+    wrong = False
+    if z[5]:
+        off = z[5].replace(":", "")
+        minutes = int(off[3:5] or 0)
+        out["offset"] = (-1 if off[0] == "-" else 1) * (int(off[1:3]) * 3600 + minutes * 60)
+        wrong = abs(out["offset"]) > 18 * 3600 or minutes > 59
+    c = _TIMED.match(z[1].rstrip(" "))
+    d = c and _DATED.match(c[1])
+    if not d:
+        return out
+    clocked, digits = c[2] is not None, d[20] is not None or d[23] is not None
+    out["whole_day"] = not (clocked or digits)
+    named = d[12] or d[14]
+    year = d[1] or d[8] or d[9] or d[13] or d[16] or d[17] or d[26]
+    if d[8]:
+        month, day = (d[7], d[5]) if order == "dmy" else (d[5], d[7]) if order == "mdy" else (None, None)
+    elif named:
+        key = named[:3].lower()
+        month, day = (_MONTHS.index(key) + 1 if key in _MONTHS else 0), d[11] or d[15]
+    elif d[26] or d[10]:
+        month = day = 1
+    else:
+        month, day = d[3] or d[18], d[4] or d[19]
+    if month is None or (clocked and digits):
+        return out
+    year, month, day, ordinal = int(year), int(month), int(day), d[10] and int(d[10])
+    hour = int(c[2] or d[20] or d[23] or 0)
+    if c[6]:
+        hour = (hour % 12 + (12 if c[6].lower() == "pm" else 0)) if 1 <= hour <= 12 else 99
+    minute, second = int(c[3] or d[21] or d[24] or 0), int(c[4] or d[22] or 0)
+    us = _micros(c[5] or d[25])
+    leap = year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+    length = (29 if leap else 28) if month == 2 else 30 if month in (4, 6, 9, 11) else 31
+    good = year >= 1 and 1 <= month <= 12 and 1 <= day <= length and (ordinal is None or 1 <= ordinal <= 365 + leap)
+    midnight = hour == 24 and not (minute or second or us)
+    if wrong or not good or not (hour <= 23 or midnight) or minute > 59 or second > 59:
+        out["fault"] = "impossible"
+        return out
+    out["fault"] = None
+    out["local_us"] = (date(year, month, day).toordinal() - _EPOCH + (ordinal - 1 if ordinal else 0)) * DAY + (hour * 3600 + minute * 60 + second) * SECOND + us
+    return out
+
+
+def settle(p: dict, feed_zone: str | None) -> tuple[str, int | None, str | None]:
+    """(status, utc_us, zone_source) of what a text says, with the zone of its feed."""
+    if p["epoch_us"] is not None:
+        return "ok", p["epoch_us"], "epoch"
+    if p["fault"] is not None:
+        return p["fault"], None, None
+    key = p["name"] or (feed_zone or "").lower()
+    z = _zone(key)
+    if p["utc"] or p["offset"] is not None or p["abbr"] is not None:
+        offset = 0 if p["utc"] else p["offset"] if p["offset"] is not None else _abbreviations(key).get(p["abbr"]) if z else None
+        return ("unknown zone", None, None) if offset is None else ("ok", p["local_us"] - offset * SECOND, "text")
+    if z is None:
+        return "unknown zone", None, None
+    us, n = resolve_local(p["local_us"], z, p["whole_day"])
+    return ("ok", us, "text" if p["name"] else "feed") if n == 1 else ("skipped" if n == 0 else "twice", None, None)
+
+
+_READ = pa.struct([("epoch_us", pa.int64()), ("local_us", pa.int64()), ("whole_day", pa.bool_()), ("fault", pa.string()), ("utc", pa.bool_()), ("name", pa.string()), ("offset", pa.int32()), ("abbr", pa.string())])
+_SAID = pa.struct([("p_", _READ), ("status", pa.string()), ("utc_us", pa.int64()), ("zone_source", pa.string())])
+_FIELDS = {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.bool_(): T.BooleanType(), pa.string(): T.StringType()}
+
+
+def _spark(kind: pa.DataType) -> T.DataType:
+    return T.StructType([T.StructField(f.name, _spark(f.type)) for f in kind]) if pa.types.is_struct(kind) else _FIELDS[kind]
+
+
+@F.arrow_udf(_spark(_SAID))
+def said(text: pa.Array, order: pa.Array, zone: pa.Array) -> pa.Array:
+    memo: dict = {}  # within a batch; equal texts of a feed mean the same
+    rows = []
+    for key in zip(text.to_pylist(), order.to_pylist(), zone.to_pylist()):
+        r = memo.get(key)
+        if r is None:
+            p = read_text(key[0], key[1])
+            r = memo[key] = {"p_": p} | dict(zip(("status", "utc_us", "zone_source"), settle(p, key[2])))
+        rows.append(r)
+    return pa.array(rows, _SAID)
 
 
 #: Delays are told apart in bins up to ``_FAR`` to either side; later (or impossibly early) arrivals are one class of their own.
@@ -321,44 +369,24 @@ def estimate_zones(parsed: DataFrame, feed: str, received: str, known_us: Column
 RESULTS = ("p_", "status", "utc_us", "zone_source")
 
 
-def normalise(items: DataFrame, feeds: DataFrame, text: str = "datetime", feed: str = "feed", received: str = "received_at") -> DataFrame:
+def normalise(items: DataFrame, feeds: DataFrame, text: str = "datetime", feed: str = "feed") -> DataFrame:
     """The items with ``utc_us``, ``status``, ``zone_source`` (epoch, text, feed) and ``p_``, what was read from the text."""
-    spark = items.sparkSession
     # The input travels as one struct, so that none of its names can clash with those used on the way.
     own = [c for c in items.columns if c not in RESULTS]
     slim = items.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row_"), F.col(text).alias("text_"), F.col(feed).alias("item_feed_"))
-    f = feeds.select(F.col(feed).alias("feed_"), F.lower("zone").alias("feed_zone_"), F.col("date_order").alias("order_")).dropDuplicates(["feed_"])
-    df = parse(slim.join(f, F.col("item_feed_") == F.col("feed_"), "left"), "text_", F.col("order_"))
-    p = F.col("p_")
-    named = F.coalesce(p["name"], F.col("feed_zone_"))
-    # The list of zones is fixed (about 600 rows), so its broadcast has a proven bound.
-    df = df.join(F.broadcast(zones(spark)), named == F.col("zone_key"), "left")
-    offset = F.when(p["utc"], F.lit(0)).when(p["offset"].isNotNull(), p["offset"]).when(p["abbr"].isNotNull(), F.col("abbreviations")[p["abbr"]])
-    fixed = p["utc"] | p["offset"].isNotNull() | p["abbr"].isNotNull()
-    df = df.withColumn("l_", p["local_us"]).withColumn("first_", p["whole_day"])
-    df = resolve_local(df, "l_", "zone_name", "first_")
-    r = F.col("r_")
-    status = (
-        F.when(p["epoch_us"].isNotNull(), "ok")
-        .when(p["fault"].isNotNull(), p["fault"])
-        .when(fixed & offset.isNotNull(), "ok")
-        .when(fixed | F.col("zone_name").isNull(), "unknown zone")
-        .when(r["n"] == 0, "skipped")
-        .when(r["n"] == 2, "twice")
-        .otherwise("ok")
-    )
-    us = F.coalesce(p["epoch_us"], F.when(fixed, F.col("l_") - offset.cast("long") * SECOND).otherwise(r["us"]))
-    source = F.when(p["epoch_us"].isNotNull(), "epoch").when(fixed | p["name"].isNotNull(), "text").otherwise("feed")
-    df = df.withColumn("status", status).withColumn("utc_us", F.when(F.col("status") == "ok", us)).withColumn("zone_source", F.when(F.col("status") == "ok", source))
-    return df.select("row_.*", *RESULTS)
+    f = feeds.select(F.col(feed).alias("feed_"), F.col("zone").alias("feed_zone_"), F.col("date_order").alias("order_")).dropDuplicates(["feed_"])
+    j = slim.join(f, F.col("item_feed_") == F.col("feed_"), "left").select("row_", said("text_", "order_", "feed_zone_").alias("said_"))
+    return j.select("row_.*", *[F.col(f"said_.{c}").alias(c) for c in RESULTS])
 
 
 def with_estimates(normal: DataFrame, feed: str = "feed", received: str = "received_at") -> DataFrame:
-    """Adds ``estimated_us`` to rows of ``normalise`` whose zone is unknown, by the offset history of their feed."""
+    """Adds to rows of ``normalise`` whose zone is unknown ``estimated_us``, by the offset history of their feed; and to all ``instant_us``, the one or the other, and ``how``: epoch, text, feed or estimated."""
     normal = settled(normal.sparkSession, normal, "normal")  # read twice: for the histogram and for the rows
     unknown = (F.col("status") == "unknown zone") & F.col("p_.name").isNull() & F.col("p_.abbr").isNull()
     est = estimate_zones(normal, feed, received, F.col("utc_us"), unknown)
     j = normal.join(est, F.col(feed) == F.col("feed_"), "left")
     past = F.filter("history_", lambda h: h["start_us"] <= F.col("p_.local_us"))
     offset = F.element_at(past, -1)["offset_us"]  # each row's own hour is in the history
-    return j.withColumn("estimated_us", F.when(unknown & F.col("history_").isNotNull(), F.col("p_.local_us") - offset)).drop("feed_", "history_")
+    j = j.withColumn("estimated_us", F.when(unknown & F.col("history_").isNotNull(), F.col("p_.local_us") - offset)).drop("feed_", "history_")
+    how = F.when(F.col("status") == "ok", F.col("zone_source")).when(F.col("estimated_us").isNotNull(), F.lit("estimated"))
+    return j.withColumns({"instant_us": F.coalesce("utc_us", "estimated_us"), "how": how})

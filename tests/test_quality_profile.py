@@ -1,4 +1,5 @@
 import random
+import re
 import statistics
 from datetime import datetime
 
@@ -52,4 +53,31 @@ def test_empty_and_long(spark):
     assert Q.issues(Q.profile(table(spark, []), Q.RECORD_RULES)).count() == 0
     p = Q.profile(table(spark, [(1, None, None, "x" * 200_000), (1, None, None, None)]), Q.RECORD_RULES)
     assert {(r.column_name, r.nulls) for r in p.collect()} == {("eo:cloud_cover", 2), ("datetime", 2), ("crs", 1)}
-    assert Q.coverage_changes(p).count() == 1
+    c = Q.coverage(table(spark, [(1, None, None, "x" * 200_000), (1, None, None, None)]), Q.RECORD_RULES[2])
+    assert [(r.rows, r.conforms, r.coverage) for r in c.collect()] == [(1, 0, 1.0)] and Q.coverage(table(spark, []), Q.RECORD_RULES[2]).count() == 0
+
+
+def test_conformity_of_expressions():
+    p = "EPSG:[0-9]{4,5}"
+    for e, want in (("EPSG:[0-9]{5}", "all"), ("EPSG:[0-9]{4,5}", "all"), ("EPSG:[0-9]{4,6}", "some"), ("EPSG:32632", "all"), (r"\p{Lu}{4}:[0-9]{4}", "some"), ("epsg:[0-9]{4}", "none"), (r"\p{Ll}{4}:[0-9]{4}", "none"), ("EPSG:[0-9]{3}", "none"), (r"EPSG:[0-9]{5}\s{1}", "none"), ("", "none")):
+        assert Q.conformity(e, p) == want, e
+    assert Q.conformity("EPSG:[0-9]{4}", "EPSG:(4326|3857)") == "some" and Q.conformity("[0-9]{2}", "[0-5][0-9]") == "some"
+
+
+def test_rows_are_judged_by_their_expressions(spark, monkeypatch):
+    rng = random.Random(4)
+    vals = [f"EPSG:{rng.randrange(1000, 99999)}" for _ in range(400)] + [f"{rng.choice(['EPSG', 'ESRI', 'IGNF', 'OGCX'])}{rng.choice([':', ' ', '::'])}{rng.randrange(10, 999999)}" for _ in range(400)] + ["EPSG:4326\n", "", "wgs84"]
+    ind = Q.induce_expressions(spark.createDataFrame([(v,) for v in vals], "v string")).cache()
+    rows = Q.judged(ind, "EPSG:[0-9]{4,5}").collect()
+    assert len(rows) == len(set(vals)) and all(r.fits == bool(re.fullmatch("EPSG:[0-9]{4,5}", r.v) and "\n" not in r.v) for r in rows)
+    # the expressions decide: where one is said to conform, its values do
+    monkeypatch.setattr(Q, "conformity", lambda e, p: "all")
+    assert all(r.fits for r in Q.judged(ind, "EPSG:[0-9]{4,5}").collect())
+
+
+def test_coverage_changes(spark):
+    rng = random.Random(6)
+    rows = [r for l in range(5) for r in many(l, 60, rng)] + many(7, 60, rng, crs=lambda: f"urn:{rng.randrange(10, 99)}")
+    got = Q.coverage_changes(Q.coverage(table(spark, rows), Q.RECORD_RULES[2])).collect()
+    odd = {(r.load_id, round(r.change, 3)) for r in got if abs(r.change) > 0.5}
+    assert (7, -1.0) in odd and (7, 1.0) in odd and {l for l, _ in odd} == {7}
