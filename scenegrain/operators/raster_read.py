@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenegrain.functions import crs, wkb
-from scenegrain.sources.bytes import ByteSource, LocalBytes
+from scenegrain.session import spread
+from scenegrain.sources.bytes import ByteSource, default_source
 from scenegrain.tiff import decode
 from scenegrain.tiff.header import Header, parse
 
@@ -167,24 +169,35 @@ def shapes(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
 FRAME = "record string, geometry_id long, band string, height int, width int, dtype string, data binary, valid binary, transform array<double>, fill double, error string"
 
 
-def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions: int = 64, transform_fn: Callable[[np.ndarray], np.ndarray] | None = None, **kw) -> DataFrame:
+def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions: int | None = None, transform_fn: Callable[[np.ndarray], np.ndarray] | None = None, **kw) -> DataFrame:
     """One row per request (record, geometry_id, band, href, band_index, geometry, geometry_epsg): the pixels as bytes with their dtype, or an ``error``.
 
-    Requests for one file go to one task, so its header is read once; nothing raises inside a task.
+    Requests for one file go to one task (of as many as the session shuffles to, unless ``partitions`` says otherwise), so its header is read
+    once, or not at all where the request has it (``head``, JSON); nothing raises inside a task.
     """
-    source = source or LocalBytes()
-    src = requests.select("record", "geometry_id", "band", "href", "band_index", "geometry", "geometry_epsg").repartition(partitions, "href").sortWithinPartitions("href")
+    source = source or default_source()
+    src = requests if "head" in requests.columns else requests.withColumn("head", F.lit(None).cast("string"))
+    src = src.select("record", "geometry_id", "band", "href", "band_index", "geometry", "geometry_epsg", "head")
+    src = (src.repartition(partitions, "href") if partitions else spread(src, "href")).sortWithinPartitions("href")
+
+    def batch(rows):
+        kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in FRAME.split(", ")])
+        return pa.Table.from_pylist(rows, schema=schema).combine_chunks().to_batches()
 
     def run(batches):
         heads: dict[str, Header] = {}
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for q in b.to_pylist():
+                if held > 1 << 26:  # a batch of windows of any size goes out in parts
+                    yield from batch(rows)
+                    rows, held = [], 0
                 base = {"record": str(q["record"]), "geometry_id": q["geometry_id"], "band": q["band"]}
                 try:
                     url = q["href"]
                     if url not in heads:
-                        heads = {url: parse(lambda at, n, u=url: source.get_range(u, at, n))}
+                        heads = {url: Header.of(json.loads(q["head"])) if q["head"] else parse(lambda at, n, u=url: source.get_range(u, at, n))}
                     h = heads[url]
                     p = wkb.parse(q["geometry"])
                     if p is None:
@@ -195,12 +208,11 @@ def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions
                     if got is None:
                         continue
                     d = transform_fn(got["data"]) if transform_fn else got["data"]
+                    held += d.nbytes
                     rows.append(base | {"height": d.shape[0], "width": d.shape[1], "dtype": str(d.dtype), "data": d.tobytes(), "valid": np.packbits(got["valid"]).tobytes(), "transform": list(got["transform"]), "fill": got["fill"], "error": None})
                 except Exception as e:
                     rows.append(base | {"error": f"{type(e).__name__}: {e}"[:200]})
-            kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
-            schema = pa.schema([(f.split(" ")[0], kinds[f.split(" ")[1]]) for f in FRAME.split(", ")])
-            yield from pa.Table.from_pylist(rows, schema=schema).combine_chunks().to_batches()
+            yield from batch(rows)
 
     return src.mapInArrow(run, FRAME)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
 
@@ -14,65 +15,46 @@ from scenegrain.collection import Collection
 from scenegrain.functions import crs, geometry
 from scenegrain.ingest.enrich import resolve_bands
 from scenegrain.operators import points as pts
-from scenegrain.operators import raster_read
+from scenegrain.operators import point_read, raster_read
 from scenegrain.operators.range_join import overlap_join
-from scenegrain.session import settled
-from scenegrain.sources.bytes import ByteSource, LocalBytes
-from scenegrain.tiff.header import Header, parse_headers
+from scenegrain.session import settled, spread
+from scenegrain.sources.bytes import ByteSource, default_source
+from scenegrain.tiff.header import STRUCT, Header, parse_headers
 
 RESERVED = ("point_index", "point_x", "point_y", "point_crs", "record_id", "datetime", "collection", "band", "value", "raster_crs", "neighbourhood_values")
+_STRUCT = f"struct<{', '.join(x.replace(' ', ': ', 1) for x in STRUCT.split(', ') )}>"
 
 
-def sources(c: Collection, bands: Sequence[str], band_map: dict[str, str] | None = None, source: ByteSource | None = None) -> DataFrame:
-    """Rows (record, seq, band, href, band_index, header, error, datetime, collection, bbox): the files of the bands, each header parsed once."""
+def band_files(c: Collection, bands: Sequence[str], band_map: dict[str, str] | None = None) -> DataFrame:
+    """Rows (record, seq, band, href, band_index, head, datetime, collection, bbox): the files of the bands, with the header (JSON) that the collection holds for them, else null."""
     r = c.rows().withColumn("seq", F.xxhash64("id"))
     if "collection" not in r.columns:
         r = r.withColumn("collection", F.lit(c.data_source))
-    b = resolve_bands(r.select(F.col("id").alias("record"), "seq", "datetime", "collection", "bbox", "assets"), bands, band_map or {}).drop("assets")
-    heads = settled(r.sparkSession, parse_headers(b.select("href").distinct(), source=source), "headers")
-    return b.join(heads, "href")
-
-
-def _grids(s: DataFrame) -> DataFrame:
-    h = F.col("header")
-    t = h["transform"]
-    return s.select(
-        "record", "seq", "datetime", "collection", "bbox", "band", "href", "band_index", F.to_json("header").alias("head"), h["epsg"].alias("epsg"),
-        t[0].alias("sx"), t[1].alias("tx"), t[2].alias("sy"), t[3].alias("ty"), h["image_width"].alias("width"), h["image_height"].alias("height"),
-        h["tile_width"].alias("tile_w"), h["tile_height"].alias("tile_h"), F.coalesce(h["nodata"], F.lit(float("nan"))).alias("nodata"), "error",
-    )
-
-
-def read_tiles(need: DataFrame, source: ByteSource | None = None, partitions: int = 64) -> DataFrame:
-    """Decoded tiles (record, tile_row, tile_col, pixels, error) of distinct rows with (record, href, band_index, head, tile_row, tile_col).
-
-    Tiles of one file are read together, with near byte ranges merged; if that fails, each is tried by itself.
-    Every tile is a row: those that fail have an ``error``, empty ones neither pixels nor an error.
-    """
-    import json
-
-    source = source or LocalBytes()
-    per = need.groupBy("record", "href", "band_index", "head").agg(F.array_sort(F.collect_set(F.struct("tile_row", "tile_col"))).alias("tiles")).repartition(partitions, "href")
+    keep = ["record", "seq", "datetime", "collection", "bbox", "assets"]
+    band_map = band_map or {}
+    back = {v: k for k, v in band_map.items()}
+    stored = {}
+    for b in bands:
+        cols = [f"{k}_metadata" for k in dict.fromkeys([b, band_map.get(b), back.get(b)]) if k and f"{k}_metadata" in r.columns]
+        if cols:
+            stored[b] = F.coalesce(*[F.to_json(F.col(f"`{k}`")) for k in cols])
+    heads = F.create_map(*[x for b, j in stored.items() for x in (F.lit(b), j)]) if stored else F.lit(None).cast("map<string,string>")
+    r = r.select(F.col("id").alias("record"), *keep[1:], heads.alias("heads"))
+    return resolve_bands(r, bands, band_map).withColumn("head", F.col("heads")[F.col("band")]).drop("assets", "heads")
+
+
+def with_heads(files: DataFrame, source: ByteSource | None = None) -> DataFrame:
+    """Distinct (href, head, error) of rows with ``href`` and ``head``: only headers that the collection lacks are parsed, each once."""
+    each = files.groupBy("href").agg(F.first("head", ignorenulls=True).alias("head"))
+    lack = spread(each.filter("head IS NULL").select("href"), "href")
+    parsed = parse_headers(lack, source=source).select("href", F.to_json("header").alias("head"), "error")
+    return settled(files.sparkSession, each.filter("head IS NOT NULL").withColumn("error", F.lit(None).cast("string")).unionByName(parsed), "headers")
 
-    def run(batches):
-        for b in batches:
-            for q in b.to_pylist():
-                wanted, got, errors = [(t["tile_row"], t["tile_col"]) for t in q["tiles"]], {}, {}
-                try:
-                    h = Header.of(json.loads(q["head"]))
-                    got = raster_read.read_tiles(source, q["href"], h, q["band_index"], wanted)
-                except Exception:
-                    for t in wanted:
-                        try:
-                            got |= raster_read.read_tiles(source, q["href"], Header.of(json.loads(q["head"])), q["band_index"], [t])
-                        except Exception as e:
-                            errors[t] = f"{type(e).__name__}: {e}"[:200]
-                for i, j in wanted:
-                    a = got.get((i, j))
-                    pixels = pa.array([None if a is None else a.astype("f8").ravel()], pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([q["record"]]), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pixels, pa.array([errors.get((i, j))], pa.string())], names=["record", "tile_row", "tile_col", "pixels", "error"])
 
-    return per.mapInArrow(run, "record string, tile_row int, tile_col int, pixels array<double>, error string")
+def sources(c: Collection, bands: Sequence[str], band_map: dict[str, str] | None = None, source: ByteSource | None = None) -> DataFrame:
+    """Rows (record, seq, band, href, band_index, header, error, datetime, collection, bbox): the files of the bands with their headers."""
+    b = band_files(c, bands, band_map)
+    return b.drop("head").join(with_heads(b, source).withColumn("header", F.from_json("head", _STRUCT)).drop("head"), "href")
 
 
 def prepare_points(points: DataFrame, x_column: str | None = None, y_column: str | None = None, index: str | None = None) -> DataFrame:
@@ -86,108 +68,153 @@ def prepare_points(points: DataFrame, x_column: str | None = None, y_column: str
     return p.select(F.col(index or "point_index").cast("long").alias("point_index"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *own)
 
 
-def sample_points(c: Collection, points: DataFrame, bands: Sequence[str], *, x_column: str | None = None, y_column: str | None = None, index: str | None = None, match: str = "all", max_distance: int = 0, neighbourhood: str = "off", band_map: dict[str, str] | None = None, source: ByteSource | None = None, cell: float = 1.0, errors: bool = False) -> DataFrame:
+def _own_boxes(files: DataFrame, heads: DataFrame) -> DataFrame:
+    """The files with the lon/lat box of their header in ``bbox``; none where there is no header or its system isn't known."""
+
+    def run(batches):
+        for b in batches:
+            boxes = []
+            for head in b.column(1).to_pylist():
+                try:
+                    h = Header.of(json.loads(head))
+                    sx, tx, sy, ty = h.transform
+                    x, y = sorted((tx, tx + sx * h.width)), sorted((ty, ty + sy * h.height))
+                    boxes.append(dict(zip(("xmin", "ymin", "xmax", "ymax"), crs.transform_bbox((x[0], y[0], x[1], y[1]), h.epsg or 4326, 4326))))
+                except Exception:
+                    boxes.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(boxes, pa.struct([(k, pa.float64()) for k in ("xmin", "ymin", "xmax", "ymax")]))], names=["href", "own"])
+
+    own = heads.select("href", "head").mapInArrow(run, "href string, own struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    return files.join(own, "href", "left").withColumn("bbox", F.col("own")).drop("own")
+
+
+def sample_points(c: Collection, points: DataFrame, bands: Sequence[str], *, x_column: str | None = None, y_column: str | None = None, index: str | None = None, match: str = "all", max_distance: int = 0, neighbourhood: str = "off", band_map: dict[str, str] | None = None, source: ByteSource | None = None, cell: float = 1.0, errors: bool = False, points_at_once: int = 50_000) -> DataFrame:
     """The sample table of lon/lat points: one row per point, record and band whose tile was read.
 
-    Records are chosen by the box of their raster in the file's own system. Only tiles that hold a point, or lie within ``max_distance`` of one, are read.
+    Records are chosen by their lon/lat box before anything is read; those without a box by that of their header. Headers
+    that the collection holds (``{band}_metadata``) are taken from it, others parsed once a file, and only of files that were chosen.
+    With ``match="latest"`` a point and band have one winner over all records whose header is known, whatever their system: the
+    latest (no time is oldest, then scan order); if its raster doesn't hold the point, no other takes its place.
+    The points of a file are sampled where its tiles are decoded: only tiles that hold a point, or lie within
+    ``max_distance`` of one, are read, and only samples leave the task. ``max_distance`` and ``neighbourhood``: see ``operators.points.sample``.
 
     Reads that fail are counted in a warning, and raise if no tile could be read. With ``errors`` they are rows too,
     with an ``error`` and no value: of a tile, each of its points; of a file whose header failed or whose system isn't
-    supported, each point in its lon/lat box (one row without point where it has no box; with ``latest`` beside the newest that could be placed).
+    supported, each point in its lon/lat box (one row without point where it has no box).
     A sample whose fallback or window lacks a tile that failed has both value and ``error``.
     """
+    if match not in pts.MATCHES or neighbourhood not in pts.NEIGHBOURHOODS:
+        raise ValueError(f"match is one of {pts.MATCHES}, neighbourhood one of {pts.NEIGHBOURHOODS}")
+    if max_distance < 0 or (neighbourhood != "off" and max_distance == 0):
+        raise ValueError("max_distance must not be negative, and a neighbourhood needs it above 0")
     p = prepare_points(points, x_column, y_column, index)
     own = [k for k in p.columns if k not in ("point_index", "x", "y")]
     if errors:
         geometry.fail_on_collisions(own, ["error"])
     spark = c.df.sparkSession
-    grids = settled(spark, _grids(sources(c, bands, band_map, source)), "grids")
-    epsgs = sorted(r[0] for r in grids.filter("head IS NOT NULL").select(F.coalesce("epsg", F.lit(4326))).distinct().collect())  # a few systems
-    known = [e for e in epsgs if e in (4326, 3857) or crs.utm_zone(e) is not None]
-    system = F.coalesce("epsg", F.lit(4326))
-    lost = grids.withColumn("error", F.when(F.col("head").isNull(), F.coalesce("error", F.lit("no header"))).when(~system.isin(known), F.concat(F.lit("unsupported system EPSG:"), system))).filter("error IS NOT NULL")
-    out, read, failed = None, 0, []
-
-    def add(part: DataFrame) -> None:
-        nonlocal out
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-
-    for band in bands:
-        g = grids.filter((F.col("band") == band) & F.col("head").isNotNull())
-        for epsg in known:
-            recs = g.filter(system == epsg).drop("error")
-            mine = p.select("point_index", F.col("x").alias("lon"), F.col("y").alias("lat"), *own)
-            placed = _projected(mine, epsg)
-            # the box in the file's system serves the pixel join
-            native = recs.withColumn("bbox_ll", F.col("bbox")).withColumn("bbox", _native_box())
-            tiles_needed = pts.candidates(placed, native, match, cell if epsg == 4326 else 10_000.0)
-            # every tile of the window, from its first to its last, within the raster
-            span = lambda at, side, length: F.explode(F.sequence(F.floor(F.greatest(F.col(at) - max_distance, F.lit(0)) / F.col(side)), F.floor(F.least(F.col(at) + max_distance, F.col(length) - 1) / F.col(side))))
-            need = tiles_needed.select("record", "href", "band_index", "head", "col", "width", "tile_w", span("row", "tile_h", "height").alias("tile_row"))
-            need = need.select("record", "href", "band_index", "head", "tile_row", span("col", "tile_w", "width").alias("tile_col")).distinct()
-            tiles = settled(spark, read_tiles(need, source), "tiles")
-            tally = tiles.agg(F.count_if(F.col("error").isNull()).alias("read"), F.count("error").alias("failed"), F.min("error").alias("error")).first()
-            read += tally.read
-            s = pts.sample(placed, native, tiles.filter("pixels IS NOT NULL").drop("error"), match, max_distance, neighbourhood, cell if epsg == 4326 else 10_000.0)
-            if tally.failed:
-                failed.append((tally.failed, "tiles", tally.error))
-            if tally.failed and errors:
-                at = tiles_needed.select(F.col("point_index").alias("p_"), F.col("record").alias("r_"), *[F.floor((F.col(v) + d) / F.col(t)).cast("int").alias(n) for v, t, d, n in (("row", "tile_h", 0, "i_"), ("col", "tile_w", 0, "j_"), ("row", "tile_h", -max_distance, "i0_"), ("row", "tile_h", max_distance, "i1_"), ("col", "tile_w", -max_distance, "j0_"), ("col", "tile_w", max_distance, "j1_"))])
-                bad = tiles.filter("error IS NOT NULL").select("record", "tile_row", "tile_col", "error")
-                hit = at.join(bad, (F.col("r_") == F.col("record")) & F.col("tile_row").between(F.col("i0_"), F.col("i1_")) & F.col("tile_col").between(F.col("j0_"), F.col("j1_")))
-                hit = hit.groupBy("p_", "r_").agg(F.min("error").alias("error"), F.max((F.col("tile_row") == F.col("i_")) & (F.col("tile_col") == F.col("j_"))).alias("centre_"))
-                hit = settled(spark, hit, "failed")
-                lacks = F.col("center_nodata") if max_distance and neighbourhood != "always" else F.lit(True)
-                here = (F.col("point_index") == F.col("p_")) & (F.col("record") == F.col("r_"))
-                s = s.join(hit.filter("NOT centre_").select("p_", "r_", "error"), here, "left").withColumn("error", F.when(lacks, F.col("error"))).drop("p_", "r_")
-                none = tiles_needed.join(hit.filter("centre_").select("p_", "r_", "error"), here).drop("p_", "r_").withColumn("value", F.lit(None).cast("double"))
-                add(pts.to_contract(none.withColumns({"x": F.col("lon"), "y": F.col("lat")}), band, 4326, epsg, [*own, "error"]))
-            elif errors:
-                s = s.withColumn("error", F.lit(None).cast("string"))
-            add(pts.to_contract(s.withColumns({"x": F.col("lon"), "y": F.col("lat")}), band, 4326, epsg, [*own, *(["error"] if errors else [])]))
-    if out is None:
-        add(pts.to_contract(pts.candidates(p.limit(0), grids.drop("error"), match).withColumns({"value": F.lit(0.0), "error": F.lit(None).cast("string")}), "", metadata=[*own, *(["error"] if errors else [])]))
-    if not lost.isEmpty():
-        one = lost.select("record", "datetime", "collection", "band", "bbox", "error")
-        boxed = pts.points_in_boxes(p, one, "x", "y", "bbox", cell)
-        nowhere = one.filter("NOT coalesce(bbox.xmin <= bbox.xmax AND bbox.ymin <= bbox.ymax, FALSE)")
-        rows = settled(spark, boxed.unionByName(nowhere, allowMissingColumns=True).withColumn("value", F.lit(None).cast("double")), "lost")
-        tally = rows.agg(F.count_distinct("record", "band").alias("n"), F.min("error").alias("error")).first()
-        if tally.n:
-            failed.append((tally.n, "files", tally.error))
-        if tally.n and errors:
-            for band in bands:
-                add(pts.to_contract(rows.filter(F.col("band") == band), band, metadata=[*own, "error"]))
+    src = source or default_source()
+    p = settled(spark, p.select("point_index", F.col("x").alias("x_"), F.col("y").alias("y_"), F.struct(*[F.col(f"`{k}`") for k in own]).alias("own_") if own else F.lit(None).cast("string").alias("own_")), "points")
+    b = band_files(c, bands, band_map)
+    boxed = F.coalesce(F.col("bbox.xmin") <= F.col("bbox.xmax"), F.lit(False)) & F.coalesce(F.col("bbox.ymin") <= F.col("bbox.ymax"), F.lit(False))
+    slim = ["record", "seq", "datetime", "collection", "band", "href", "band_index", "bbox"]
+    place = p.select("point_index", "x_", "y_")
+    chosen = settled(spark, pts.points_in_boxes(place, b.filter(boxed).select(*slim), "x_", "y_", "bbox", cell).drop("bbox"), "chosen")
+    # only chosen files, and those of records without a box, need their headers
+    loose = b.filter(~boxed)
+    near = b.join(chosen.select("href").distinct(), "href", "left_semi").unionByName(loose)
+    heads = with_heads(near.select("href", "head"), src)
+    loose = settled(spark, _own_boxes(loose.drop("head"), heads).select(*slim), "loose")
+    every = chosen.unionByName(pts.points_in_boxes(place, loose, "x_", "y_", "bbox", cell).drop("bbox")).join(heads.select("href", F.col("head").isNotNull().alias("known_")), "href")
+    if match == "latest":
+        rest = [k for k in every.columns if k not in ("point_index", "band")]
+        best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col("datetime"), F.lit("0001-01-01").cast("timestamp_ntz")), -F.col("seq")))
+        won = every.filter("known_").groupBy("point_index", "band").agg(best.alias("b_")).select("point_index", "band", "b_.*")
+        every = won.unionByName(every.filter("NOT known_"))
+    every = settled(spark, every, "pairs")
+    # The points of a file are cut by latitude into parts that a task can hold, so that parts share few tiles.
+    size = every.groupBy("href").agg(F.count("*").alias("n_"), F.min("y_").alias("lo_"), F.max("y_").alias("hi_")).withColumn("parts_", F.ceil(F.col("n_") / points_at_once).cast("int"))
+    size = settled(spark, size, "sizes")
+    total = size.agg(F.sum("n_"), F.count("*")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, int((total[0] or 0) // points_at_once), int((total[1] or 0) // 256))
+    spot = F.floor((F.col("y_") - F.col("lo_")) / F.greatest(F.col("hi_") - F.col("lo_"), F.lit(1e-12)) * F.col("parts_")).cast("int")
+    asked = every.join(size, "href").withColumn("part_", F.least(F.greatest(spot, F.lit(0)), F.col("parts_") - 1)).drop("n_", "lo_", "hi_", "parts_")
+    files = heads.join(size.select("href", "parts_"), "href").withColumn("part_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1))).drop("parts_")
+    bucket = F.pmod(F.xxhash64("href", "part_"), F.lit(buckets)).alias("bucket_")
+    shape = "point_index bigint, record string, band string, value double, window array<double>, epsg int, error string, kind int, tiles int, href string"
+    kinds = pa.schema([("point_index", pa.int64()), ("record", pa.string()), ("band", pa.string()), ("value", pa.float64()), ("window", pa.list_(pa.float64())), ("epsg", pa.int32()), ("error", pa.string()), ("kind", pa.int32()), ("tiles", pa.int32()), ("href", pa.string())])
+
+    def read(q: pa.Table, f: pa.Table) -> pa.Table:
+        """``kind`` 0: a sample or its error; 1: a file that gave no header; 2: tiles read of a file; 3: a tile that failed."""
+        out: list[pa.Table] = []
+        known = {(r["href"], r["part_"]): r for r in f.to_pylist()}
+        if not q.num_rows:
+            return kinds.empty_table()
+        q = q.sort_by([("href", "ascending"), ("part_", "ascending"), ("record", "ascending"), ("band", "ascending")])
+        names = [q.column(k).to_pylist() for k in ("href", "part_", "record", "band", "band_index")]
+        keys = list(zip(*names))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        heads_: dict[str, Header | str] = {}
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            href, part, record, band, k = keys[lo]
+            part_q = q.slice(lo, hi - lo)
+            ids, lon, lat = (part_q.column(x).combine_chunks() for x in ("point_index", "x_", "y_"))
+            file = known[href, part]
+
+            def rows(n: int, record=record, band=band, href=href, **cols) -> pa.Table:
+                fixed = {"record": record, "band": band, "href": href} | {x: v for x, v in cols.items() if not isinstance(v, (pa.Array, list))}
+                return pa.Table.from_arrays([cols[x] if isinstance(cols.get(x), pa.Array) else pa.array(cols[x], kinds.field(x).type) if isinstance(cols.get(x), list) else pa.array([fixed.get(x)] * n, kinds.field(x).type) for x in kinds.names], schema=kinds)
+
+            try:
+                if href not in heads_:
+                    if file["head"] is None:
+                        raise OSError(file["error"] or "no header")
+                    heads_ = {href: Header.of(json.loads(file["head"]))}
+                h = heads_[href]
+                epsg = h.epsg or 4326
+                if epsg not in (4326, 3857) and crs.utm_zone(epsg) is None:
+                    raise OSError(f"unsupported system EPSG:{epsg}")
+                got = point_read.sample(src, href, h, k, lon.to_numpy(), lat.to_numpy(), max_distance, neighbourhood)
+            except Exception as e:
+                why = str(e) if isinstance(e, OSError) and (file["head"] is None or "unsupported system" in str(e)) else f"{type(e).__name__}: {e}"[:200]
+                out.append(rows(hi - lo, point_index=ids, error=why, kind=0))
+                out.append(rows(1, error=why, kind=1))
+                continue
+            at = np.flatnonzero(got.hit | np.array([e is not None for e in got.error]))
+            value = pa.array(got.value[at], mask=~got.hit[at])
+            out.append(rows(len(at), point_index=ids.take(pa.array(at)), value=value, window=[None if got.window[i] is None else got.window[i].tolist() for i in at], epsg=epsg, error=[got.error[i] for i in at], kind=0))
+            out.append(rows(1, kind=2, tiles=got.read))
+            for t, why in got.failed.items():
+                out.append(rows(1, error=why, kind=3, tiles=t[0] * -(-h.width // h.tile_width) + t[1]))
+        return pa.concat_tables(out) if out else kinds.empty_table()
+
+    left = asked.select(bucket, "href", "part_", "record", "band", "band_index", "point_index", "x_", "y_").repartition(buckets, "bucket_")
+    right = files.select(bucket, "href", "part_", "head", "error").repartition(buckets, "bucket_")
+    sampled = settled(spark, left.groupBy("bucket_").cogroup(right.groupBy("bucket_")).applyInArrow(read, shape), "samples")
+
+    # Of files without a box of any kind that have no header there is one row without a point.
+    nowhere = loose.filter("bbox IS NULL").join(heads.select("href", F.coalesce("error", F.lit("no header")).alias("error")), "href", "left")
+    tally = sampled.filter("kind > 0").agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("tiles"))).alias("read"), F.count_distinct(F.when(F.col("kind") == 1, F.struct("record", "band"))).alias("files"), F.count_distinct(F.when(F.col("kind") == 3, F.struct("href", "record", "band", "tiles"))).alias("tiles"),
+        F.min(F.when(F.col("kind") == 1, F.col("error"))).alias("file_error"), F.min(F.when(F.col("kind") == 3, F.col("error"))).alias("tile_error"),
+    ).first()
+    none = nowhere.agg(F.count("*").alias("n"), F.min("error").alias("error")).first()
+    failed = [(n, what, e) for n, what, e in ((tally.tiles, "tiles", tally.tile_error), (tally.files + none.n, "files", tally.file_error or none.error)) if n]
     if failed:
         text = ", ".join(f"{n} {what} (e.g. {e})" for n, what, e in failed)
-        if not read:
+        if not tally.read:
             raise RuntimeError(f"no point could be read: {text}")
         warnings.warn(f"reads failed for points: {text}", RuntimeWarning, stacklevel=2)
-    return out
-
-
-def _native_box():
-    x1, y1 = F.col("tx") + F.col("width") * F.col("sx"), F.col("ty") + F.col("height") * F.col("sy")
-    return F.struct(F.least("tx", x1).alias("xmin"), F.least("ty", y1).alias("ymin"), F.greatest("tx", x1).alias("xmax"), F.greatest("ty", y1).alias("ymax"))
-
-
-def _projected(p: DataFrame, epsg: int) -> DataFrame:
-    """Adds x and y in a system; UTM needs the series, hence an Arrow pass."""
-    if epsg == 4326:
-        return p.withColumns({"x": F.col("lon"), "y": F.col("lat")})
-    if epsg == 3857:
-        x, y = crs.mercator_columns(F.col("lon"), F.col("lat"))
-        return p.withColumns({"x": x, "y": y})
-    names = p.columns
-
-    def run(batches):
-        for b in batches:
-            x, y = crs.transform(b.column(names.index("lon")).to_numpy(zero_copy_only=False), b.column(names.index("lat")).to_numpy(zero_copy_only=False), 4326, epsg)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x), pa.array(y)], names=[*names, "x", "y"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return p.mapInArrow(run, StructType([*p.schema, StructField("x", DoubleType()), StructField("y", DoubleType())]))
+    facts = every.select("point_index", "record", "band", "datetime", "collection").distinct()
+    rows = sampled.filter("kind = 0" if errors else "kind = 0 AND value IS NOT NULL").drop("kind", "tiles", "href")
+    j = rows.join(facts, ["point_index", "record", "band"]).join(p, "point_index")
+    if errors:
+        j = j.unionByName(nowhere.select("record", "band", "datetime", "collection", "error"), allowMissingColumns=True)
+    cols = [
+        F.col("point_index"), F.col("x_").alias("point_x"), F.col("y_").alias("point_y"), F.lit(4326).alias("point_crs"), F.col("record").alias("record_id"), "datetime", F.coalesce("collection", F.lit("")).alias("collection"),
+        "band", "value", F.col("epsg").alias("raster_crs"),
+    ]
+    extra = ["neighbourhood_values"] if neighbourhood != "off" else []
+    return j.withColumn("neighbourhood_values", F.col("window")).select(*cols, *extra, *[F.col("own_")[k].alias(k) for k in own], *(["error"] if errors else []))
 
 
 def area_frame(c: Collection, aois: DataFrame, bands: Sequence[str], *, geometry_epsg: int = 4326, band_map: dict[str, str] | None = None, source: ByteSource | None = None, cell: float = 1.0, **kw) -> DataFrame:
@@ -204,7 +231,7 @@ def area_frame(c: Collection, aois: DataFrame, bands: Sequence[str], *, geometry
         boxes = aois.withColumn("aoi", wkb_bbox(to("geometry")))
     else:
         boxes = aois.withColumn("aoi", wkb_bbox("geometry"))
-    r = resolve_bands(c.rows().select(F.col("id").alias("record"), "bbox", "assets"), list(bands), band_map or {}).drop("assets")
+    r = band_files(c, list(bands), band_map).select("record", "bbox", "band", "href", "band_index", "head")
     j = overlap_join(r, boxes.select("geometry_id", "geometry", "aoi"), "bbox", "aoi", cell).withColumn("geometry_epsg", F.lit(geometry_epsg))
     f = raster_read.read_frame(j, source, **kw)
     return f.join(aois.select("geometry_id", *own), "geometry_id", "left") if own else f

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenegrain.functions.crs import parse_epsg
-from scenegrain.sources.bytes import LocalBytes
+from scenegrain.sources.bytes import default_source
 
 # TIFF tag numbers and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 277, 284, 317
@@ -191,7 +191,7 @@ def parse(read) -> Header:
 
 def parse_headers(urls: DataFrame, column: str = "href", source=None) -> DataFrame:
     """Rows (href, header struct, error): files that can't be read have a null header and say why; one bad file spoils nothing."""
-    source = source or LocalBytes()
+    source = source or default_source()
 
     def run(batches):
         for b in batches:
