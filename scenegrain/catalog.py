@@ -8,11 +8,15 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from scenegrain.cloud import CloudConfig, configs
+from scenegrain.cloud import source as cloud_source
 from scenegrain.collection import Collection, list_collections
+from scenegrain.functions import geometry
 from scenegrain.functions import predicates as P
 from scenegrain.functions.text import create_name
 from scenegrain.ingest import enrich, normalize
@@ -52,6 +56,14 @@ class Descriptor:
             unknown = set(held) - set(SURFACES)
             if unknown:
                 raise ValueError(f"unknown surfaces {sorted(unknown)}; known: {SURFACES}")
+        if self.temporal_range and self.temporal_range[0] > self.temporal_range[1]:
+            raise ValueError(f"{self.id}: the temporal range ends before it starts")
+        if self.stac_api and not (self.stac_collection or self.static_catalog):
+            raise ValueError(f"{self.id}: a service needs the name of a collection")
+        if any(not isinstance(i, int) or i < 0 for i in self.band_index_map.values()):
+            raise ValueError(f"{self.id}: band indices are whole numbers from 0")
+        if len(set(self.roles.values())) < len(self.roles):
+            raise ValueError(f"{self.id}: one field has two roles")
         if not any((self.stac_api, self.record_table, self.index, self.collection)):
             if not self.band_map and not self.band_index_map:
                 raise ValueError(f"{self.id} names no source")
@@ -73,18 +85,22 @@ class Descriptor:
 
 
 class BandRegistry:
-    """Band names to asset keys, by collection; the first registration of a collection stays."""
+    """Band names to asset keys, by dataset id, so that two providers of one collection keep their own; the first registration by a descriptor stays."""
 
     _maps: dict[str, dict[str, str]] = {}
 
     @classmethod
-    def register(cls, collection: str, bands: dict[str, str], replace: bool = True) -> None:
-        if replace or collection not in cls._maps:
-            cls._maps[collection] = dict(bands)
+    def register(cls, dataset: str, bands: dict[str, str], replace: bool = True) -> None:
+        if replace or dataset not in cls._maps:
+            cls._maps[dataset] = dict(bands)
 
     @classmethod
-    def get(cls, collection: str) -> dict[str, str]:
-        return cls._maps.get(collection, {})
+    def get(cls, dataset: str) -> dict[str, str]:
+        """Of a dataset id; of a collection's name where all providers of it agree, else {}."""
+        if dataset in cls._maps:
+            return cls._maps[dataset]
+        found = [cls._maps[d.id] for d in Registry.all() if d.stac_collection == dataset and d.id in cls._maps]
+        return found[0] if found and all(m == found[0] for m in found) else {}
 
     @classmethod
     def known(cls) -> list[str]:
@@ -97,10 +113,10 @@ class Registry:
     @classmethod
     def register(cls, d: Descriptor) -> None:
         cls._all[d.id] = d
-        if d.stac_collection and d.band_map:
-            BandRegistry.register(d.stac_collection, d.band_map, replace=False)
+        if d.band_map:
+            BandRegistry.register(d.id, d.band_map, replace=False)
         if d.cloud:
-            configs.setdefault(d.stac_collection or d.id, CloudConfig(**d.cloud))
+            configs.setdefault(d.id, CloudConfig(**d.cloud))
 
     @classmethod
     def unregister(cls, id_: str) -> None:
@@ -240,8 +256,28 @@ def build_from_table(spark: SparkSession, table: DataFrame | str, name: str, *,
     return c
 
 
-def build_from_stac(spark: SparkSession, name: str, stac_collection: str, bbox, date_range, *, items_path: str | None = None, workspace: str | None = None, force: bool = False, fetch=None, headers: bool = True) -> Collection:
-    """From an item search. ``items_path``: items on disk, or a static catalog's root; ``fetch(api params) -> list of item dicts`` for a live service."""
+def footprint(json_text: Column) -> Column:
+    """WKB of GeoJSON text; null for none, or for what isn't polygonal."""
+
+    @F.arrow_udf(BinaryType())
+    def parse(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            try:
+                out.append(None if t is None else geometry.from_geojson(t))
+            except (ValueError, KeyError, TypeError):
+                out.append(None)
+        return pa.array(out, pa.binary())
+
+    return parse(json_text)
+
+
+def build_from_stac(spark: SparkSession, name: str, stac_collection: str, bbox, date_range, *, items_path: str | None = None, workspace: str | None = None, force: bool = False, fetch=None, headers: bool = True, api: str | None = None, band_map: dict[str, str] | None = None, band_index_map: dict[str, int] | None = None, source=None) -> Collection:
+    """From an item search. ``items_path``: items on disk, or a static catalog's root; ``api``: a live service, asked page by page; ``fetch(api params) -> list of item dicts`` for any other.
+
+    ``band_map``: bands to asset keys; every asset must be there. Without it the registered map of the collection, else the one that most assets fit.
+    ``band_index_map``: bands that are samples of their asset, which get assets of their own.
+    """
     P.check_bbox(bbox, strict=True)
     full = create_name(name, date_range, stac_collection)
     path = f"{workspace.rstrip('/')}/{full}_stac" if workspace else None
@@ -250,18 +286,30 @@ def build_from_stac(spark: SparkSession, name: str, stac_collection: str, bbox,
     if items_path:
         files = list(stac.crawl(items_path)) if items_path.endswith("catalog.json") else [items_path]
         rows = stac.read_items(spark, files[0]) if len(files) == 1 else stac.items(spark.read.text(files, wholetext=True))
-    elif fetch is not None:
+    elif fetch is not None or api is not None:
+        fetch = fetch or (lambda q: stac.search_service(api, q))
         found = stac.with_retries(lambda: fetch({"collections": [stac_collection], "bbox": list(bbox), "datetime": "/".join(date_range)}))
         rows = stac.items(spark.createDataFrame([(json.dumps(i),) for i in found], "value string"))
     else:
-        raise ValueError("a live search needs a fetch function")
+        raise ValueError("a live search needs a service or a fetch function")
     rows = stac.search(rows, bbox, date_range)
-    bands = BandRegistry.get(stac_collection)
-    keep = F.transform_values("assets", lambda k, v: F.struct(v["href"].alias("href"), F.lit(0).alias("band_index")))
-    df = rows.withColumn("assets", keep.cast(normalize.ASSETS)).withColumn("geometry", F.lit(None).cast("binary")).drop("geometry_json")
+    keys = {r.k for r in rows.select(F.explode(F.map_keys("assets")).alias("k")).distinct().collect()}  # the names of assets: a few
+    if band_map is not None:
+        if keys:
+            enrich.check_band_map(band_map, keys)
+        bands = band_map
+    else:
+        bands = BandRegistry.get(stac_collection) or enrich.infer_band_map(keys, {k: BandRegistry.get(k) for k in BandRegistry.known()})
+    asset = lambda v, i: F.struct(v["href"].alias("href"), F.lit(i).alias("band_index"))
+    assets = F.transform_values("assets", lambda k, v: asset(v, 0)).cast(normalize.ASSETS)
+    sampled = {b: i for b, i in (band_index_map or {}).items() if bands.get(b, b) in keys and b not in keys}
+    if sampled:
+        own = F.create_map(*[x for b, i in sampled.items() for x in (F.lit(b), asset(F.col("assets")[bands.get(b, b)], i))]).cast(normalize.ASSETS)
+        assets = F.map_concat(assets, F.map_filter(own, lambda k, v: v["href"].isNotNull()))
+    df = rows.withColumn("assets", assets).withColumn("geometry", footprint("geometry_json")).drop("geometry_json")
     df = normalize.normalise(df)
     if headers and bands:
-        df = enrich.enrich(df, sorted(set(bands.values())))
+        df = enrich.enrich(df, sorted({b if b in sampled else bands[b] for b in bands}), source=source)
     c = Collection(df, full, data_source=stac_collection, start_date=date_range[0], end_date=date_range[1])
     if path:
         c.export(path)
@@ -280,9 +328,13 @@ def build(spark: SparkSession, dataset: str, name: str = "", *, bbox=None, date_
         return c.subset(**extra) if extra else c
     if d.record_table and (kw.pop("prefer_table", True) or not d.stac_api):
         return build_from_table(spark, d.record_table, name or d.id.replace("/", "-"), workspace=workspace, bbox=bbox, date_range=date_range, column_map=d.column_map, href=d.roles.get("href"), band_index_map=d.band_index_map or None, **kw)
-    if bbox is None or date_range is None:
+    if d.stac_collection and (bbox is None or date_range is None):
         raise ValueError(f"{dataset} is searched, so it needs bbox and date_range")
-    return build_from_stac(spark, name or d.id.replace("/", "-"), d.stac_collection, bbox, date_range, workspace=workspace, **kw)
+    if not d.stac_collection:
+        raise ValueError(f"{dataset} has no surface with an address; give it one by registering a descriptor of the same id")
+    if "items_path" not in kw and "fetch" not in kw:
+        kw["api"] = d.stac_api
+    return build_from_stac(spark, name or d.id.replace("/", "-"), d.stac_collection, bbox, date_range, workspace=workspace, band_map=kw.pop("band_map", None) or d.band_map or None, band_index_map=d.band_index_map or None, source=kw.pop("source", None) or cloud_source(configs.get(d.id)), **kw)
 
 
 __all__ = ["BandRegistry", "Descriptor", "Registry", "build", "build_from_stac", "build_from_table", "list_collections", "load", "register_local"]

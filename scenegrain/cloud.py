@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from scenegrain.functions.text import rewrite_prefix
+from scenegrain.sources.bytes import ByteSource, Retrying, Routed
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,7 @@ class CloudConfig:
     prefixes: dict[str, str] = field(default_factory=dict)
 
 
-#: By collection; the first registration stays.
+#: By dataset id; the first registration stays.
 configs: dict[str, CloudConfig] = {}
 
 
@@ -42,3 +43,8 @@ def hadoop_conf(config: CloudConfig | None) -> dict[str, str]:
         else:
             out[f"{at}.aws.credentials.provider"] = "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"
     return out
+
+
+def source(config: CloudConfig | None) -> ByteSource:
+    """A reader's source with the settings of a dataset: its addresses rewritten, its buckets signed where requests are paid."""
+    return Retrying(Routed(config.prefixes, anonymous=not config.requester_pays) if config else Routed())

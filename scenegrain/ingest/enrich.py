@@ -52,10 +52,14 @@ def check_band_map(band_map: dict[str, str], asset_keys: set[str]) -> None:
         raise ValueError(f"bands without an asset: {absent}; assets: {sorted(asset_keys)}")
 
 
-def one_crs(records: DataFrame, key: str, epsg: str) -> DataFrame:
-    """Rows (key, epsg, conflict): the one code of each group, null where there are several or none."""
+def one_crs(records: DataFrame, key: str, epsg: str, strict: bool = False) -> DataFrame:
+    """Rows (key, epsg, conflict): the one code of each group, null where there are several or none; ``strict``: several or none are an error."""
     e = name(epsg)
     g = records.groupBy(key).agg(F.min(e).alias("lo"), F.max(e).alias("hi"))
+    if strict:
+        said = F.concat(F.lit("systems of "), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.when(F.col("lo").isNull(), F.lit(": none")).otherwise(F.lit(": several")))
+        kind = g.schema["lo"].dataType
+        g = g.withColumn("lo", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.raise_error(said).cast(kind)))
     return g.select(key, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("epsg"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("conflict"))
 
 
@@ -73,18 +77,19 @@ def with_headers(records: DataFrame, headers: DataFrame, bands: Sequence[str], i
     return records.join(wide, id_col, "left")
 
 
-def enrich(records: DataFrame, bands: Sequence[str], id_col: str = "id", partitions: int = 64) -> DataFrame:
+def enrich(records: DataFrame, bands: Sequence[str], id_col: str = "id", partitions: int | None = None, source=None) -> DataFrame:
     """Parse the headers of all addresses, distinct, in parallel, and join them on.
 
     Files that fail have null metadata; that all fail is an error. ``proj:epsg`` and ``crs`` are filled from the
     headers where they are missing; bands of one record in different systems are an error.
     """
     from scenegrain.functions.crs import crs_code_column
-    from scenegrain.session import settled
+    from scenegrain.session import settled, spread
     from scenegrain.tiff.header import parse_headers
 
-    urls = url_index(records, id_col, bands).select("href").distinct().repartition(partitions, "href")
-    heads = settled(records.sparkSession, parse_headers(urls), "headers")
+    urls = url_index(records, id_col, bands).select("href").distinct()
+    urls = urls.repartition(partitions, "href") if partitions else spread(urls, "href")
+    heads = settled(records.sparkSession, parse_headers(urls, source=source), "headers")
     n = heads.agg(F.count("*").alias("n"), F.count("header").alias("ok"), F.min("error").alias("e")).first()
     if n.n and not n.ok:
         raise RuntimeError(f"no header could be parsed, e.g. {n.e}")

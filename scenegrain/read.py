@@ -227,7 +227,7 @@ def area_frame(c: Collection, aois: DataFrame, bands: Sequence[str], *, geometry
     own = [k for k in aois.columns if k not in ("geometry_id", "geometry")]
     geometry.fail_on_collisions(own, [f.split(" ")[0] for f in raster_read.FRAME.split(", ")])
     if geometry_epsg != 4326:
-        to = F.udf(lambda b: geometry.transform(bytes(b), geometry_epsg, 4326) if b is not None else None, "binary")  # a few AOIs
+        to = F.arrow_udf(lambda g: pa.array([None if b is None else geometry.transform(b, geometry_epsg, 4326) for b in g.to_pylist()], pa.binary()), "binary")
         boxes = aois.withColumn("aoi", wkb_bbox(to("geometry")))
     else:
         boxes = aois.withColumn("aoi", wkb_bbox("geometry"))

@@ -102,7 +102,7 @@ class Routed:
     """Each address by the store that serves it: paths from disk, buckets and web stores by Arrow's file systems, other sites by HTTP ranges.
 
     Public S3 addresses (``https://bucket.s3...``) are read as objects, in the region the address names, else the one Arrow finds for
-    the bucket; ``requester_pays`` and ``anonymous`` go to the store.
+    the bucket. ``anonymous``: without signing requests.
     """
 
     def __init__(self, prefixes: dict[str, str] | None = None, anonymous: bool = True, timeout: float = 60.0):

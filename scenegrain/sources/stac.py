@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,3 +74,20 @@ def with_retries(call: Callable, attempts: int = 3, wait: Callable[[float], None
             if not temporary or k == attempts - 1:
                 raise
             wait(2.0**k)
+
+
+def search_service(api: str, query: dict, limit: int = 250, opener=None) -> list[dict]:
+    """All items of a search, page by page along the ``next`` links (POST or GET). The items of one search are the driver's; part large searches by time."""
+    opener = opener or urllib.request.urlopen
+    url, body, out = api.rstrip("/") + "/search", dict(query, limit=limit), []
+    while url:
+        data = None if body is None else json.dumps(body).encode()
+        with opener(urllib.request.Request(url, data=data, headers={"Content-Type": "application/json"}), timeout=60) as r:
+            page = json.loads(r.read())
+        out += page.get("features", [])
+        link = next((x for x in page.get("links", []) if x.get("rel") == "next"), None)
+        url = link and link["href"]
+        if link:
+            more = link.get("body")
+            body = ({**body, **more} if link.get("merge") else more) if str(link.get("method", "GET")).upper() == "POST" else None
+    return out
