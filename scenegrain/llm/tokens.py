@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import heapq
 import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -151,6 +153,16 @@ def vocabulary(rank_lines: bytes) -> Vocabulary:
     return Vocabulary(rank_lines)
 
 
+def bounded(batch: pa.RecordBatch, text: str, most: int = 1 << 22):
+    """The batch in slices of at most ``most`` bytes of text, or one text; a text has no more tokens than bytes, so the ids of a slice stay small too."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+    end, start = np.cumsum(size), 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(end, most + (end[start - 1] if start else 0), side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def encode(docs: DataFrame, text: str = "text", vocabulary_file: str | None = None, column: str = "ids", only_count: bool = False) -> DataFrame:
     """``docs`` without ``text``, with the list of token ids (or, with ``only_count``, their number as ``column``).
 
@@ -166,14 +178,15 @@ def encode(docs: DataFrame, text: str = "text", vocabulary_file: str | None = No
 
     def run(batches):
         v = vocabulary(shipped.value)
-        for b in batches:
-            got = v.encode_all(b.column(b.schema.get_field_index(text)).to_pylist())
-            size = np.fromiter(map(len, got), "i8", len(got))
-            if only_count:
-                new = pa.array(size)
-            else:
-                flat = np.fromiter((i for ids in got for i in ids), "i4", int(size.sum()))
-                new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype("i4")), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), new], names=[*rest, column])
+        for whole in batches:
+            for b in bounded(whole, text):
+                got = v.encode_all(b.column(b.schema.get_field_index(text)).to_pylist())
+                size = np.fromiter(map(len, got), "i8", len(got))
+                if only_count:
+                    new = pa.array(size)
+                else:
+                    flat = np.fromiter(itertools.chain.from_iterable(got), "i4", int(size.sum()))
+                    new = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype("i4")), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), new], names=[*rest, column])
 
     return docs.select(*[f"`{c}`" for c in rest], f"`{text}`").mapInArrow(run, schema)

@@ -50,3 +50,12 @@ def test_memo_is_only_a_memo(pair, monkeypatch):
     monkeypatch.setattr(T.Vocabulary, "MEMO", 3)
     texts = [f"word{i} unbelievable{i} §{i}" for i in range(2000)]
     assert v.encode_all(texts) == pair[1].encode_ordinary_batch(texts)
+
+
+def test_batches_of_long_texts_are_cut():
+    import pyarrow as pa
+
+    texts = ["a" * 5, None, "", "b" * 50, "c" * 4, "d" * 6, "é" * 5, None]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(8))], names=["text", "i"])
+    parts = [p.column(1).to_pylist() for p in T.bounded(b, "text", 10)]
+    assert parts == [[0, 1, 2], [3], [4, 5], [6, 7]] and [p.num_rows for p in T.bounded(b.slice(0, 0), "text")] == []
