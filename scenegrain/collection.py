@@ -145,6 +145,18 @@ class Collection:
         df = restrict(self.df, self.index)
         return df.select(*[P.name(c) for c in columns]) if columns else df
 
+    def index_rows(self, columns: Sequence[str] | None = None, where: Column | str | None = None, limit: int | None = None, order: Sequence[str] = ("id",)) -> DataFrame:
+        """The index alone, filtered, in order where it is limited; the wide table isn't read."""
+        if self.index is None:
+            raise ValueError("the collection has no index")
+        i = self.index.filter(F.expr(where) if isinstance(where, str) else where) if where is not None else self.index
+        i = i.orderBy(*[P.name(c) for c in order]).limit(limit) if limit is not None else i
+        return i.select(*[P.name(c) for c in columns]) if columns else i
+
+    def index_collection(self) -> Collection:
+        """The index as a collection of its own, for searches that need no more than it holds."""
+        return replace(self, df=self.index_rows(), index=None)
+
     # ---- look -----------------------------------------------------------------------------------
 
     def head(self, n: int = 5, columns: Sequence[str] | None = None, order: Sequence[str] = ("datetime", "id")) -> DataFrame:
@@ -205,6 +217,16 @@ class Collection:
             (F.count_distinct(P.name("proj:epsg")) if "proj:epsg" in self.df.columns else F.lit(None).cast("long")).alias("crs_count"),
         )
 
+    def compare_to_catalog(self, catalog_bands: Sequence[str], bbox: Sequence[float] | None = None, date_range: tuple[str, str] | None = None) -> DataFrame:
+        """One row: bands of the catalog that are missing here and bands beyond it, and the records outside its box and dates."""
+        b = F.col("bbox")
+        outside = F.lit(False) if bbox is None else (b.xmin < bbox[0]) | (b.ymin < bbox[1]) | (b.xmax > bbox[2]) | (b.ymax > bbox[3])
+        early, late = (None, None) if date_range is None else date_range
+        away = F.lit(False) if date_range is None else (F.col("datetime").cast("date") < F.lit(early).cast("date")) | (F.col("datetime").cast("date") > F.lit(late).cast("date"))
+        lists = {"missing_bands": sorted(set(catalog_bands) - set(self.bands)), "extra_bands": sorted(set(self.bands) - set(catalog_bands))}
+        arrays = [F.array(*map(F.lit, v)).cast("array<string>").alias(k) for k, v in lists.items()]
+        return self.rows().agg(F.count("*").alias("records"), F.count_if(outside).alias("outside_box"), F.count_if(away).alias("outside_dates")).select(*arrays, "records", "outside_box", "outside_dates")
+
     def missing_bands(self, catalog_bands: Sequence[str]) -> list[str]:
         return sorted(set(catalog_bands) - set(self.bands))
 

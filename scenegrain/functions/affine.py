@@ -55,3 +55,22 @@ def bounds_columns(sx: Column, tx: Column, sy: Column, ty: Column, width: Column
     """Map bounds of a raster of either orientation."""
     xa, ya = tx + width * sx, ty + height * sy
     return F.least(tx, xa), F.least(ty, ya), F.greatest(tx, xa), F.greatest(ty, ya)
+
+
+def target_shape_columns(bounds: tuple[Column, Column, Column, Column], res: tuple[float, float]) -> tuple[Column, Column]:
+    """Height and width of ``target_grid`` for columns of bounds."""
+    x0, y0, x1, y1 = bounds
+    n = lambda lo, hi, r: F.greatest(F.lit(1), F.ceil((hi - lo) / r).cast("long"))
+    return n(y0, y1, res[1]), n(x0, x1, res[0])
+
+
+def merge_shape_columns(bounds: tuple[Column, Column, Column, Column], res: tuple[float, float]) -> tuple[Column, Column]:
+    """``merge_shape`` for columns of bounds."""
+    x0, y0, x1, y1 = bounds
+    return F.rint((y1 - y0) / res[1]).cast("long"), F.rint((x1 - x0) / res[0]).cast("long")
+
+
+def patch_box_columns(x: Column, y: Column, size: float) -> tuple[Column, Column, Column, Column]:
+    """The square of a side around the nearest point of a grid of that step."""
+    cx, cy = F.rint(x / size) * size, F.rint(y / size) * size
+    return cx - size / 2, cy - size / 2, cx + size / 2, cy + size / 2

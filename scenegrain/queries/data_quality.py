@@ -63,8 +63,9 @@ UNION ALL SELECT file_id, field, 'retyped' FROM seq WHERE k > 1 AND path IS NOT
 _WORDS = {"miniswhite": 0, "minisblack": 1, "rgb": 2, "palette": 3, "mask": 4, "cmyk": 5, "separated": 5, "ycbcr": 6, "cielab": 8}
 P1_UNIFIED_SQL = f"""
 WITH keys(field, path, jpath) AS (VALUES {_VALUES}),
-lines AS (SELECT *, row_number() OVER () AS k, coalesce(json_valid(payload) AND json_type(payload) = 'OBJECT', FALSE) AS readable FROM header_lines),
-hits AS (SELECT k, field, json_extract_string(payload, jpath) AS t, row_number() OVER (PARTITION BY k, field ORDER BY length(path) - length(replace(path, '.', '')), path) AS r FROM lines, keys WHERE readable AND json_type(payload, jpath) IS NOT NULL),
+lines AS (SELECT *, row_number() OVER () AS k, coalesce(json_type(CASE WHEN json_valid(payload) THEN payload END) = 'OBJECT', FALSE) AS readable FROM header_lines),
+whole AS (SELECT k, CASE WHEN readable THEN payload END AS payload FROM lines),
+hits AS (SELECT k, field, json_extract_string(payload, jpath) AS t, row_number() OVER (PARTITION BY k, field ORDER BY length(path) - length(replace(path, '.', '')), path) AS r FROM whole, keys WHERE json_type(payload, jpath) IS NOT NULL),
 wide AS (
   SELECT k, trim(max(t) FILTER (field = 'nodata')) AS nodata, trim(max(t) FILTER (field = 'samples_per_pixel')) AS spp, trim(max(t) FILTER (field = 'photometric')) AS photo,
          regexp_replace(max(t) FILTER (field = 'extra_samples'), '[\\[\\]\\s"]', '', 'g') AS extra

@@ -12,7 +12,7 @@ from scenegrain.functions import affine, crs, predicates as P, text
 from scenegrain.ingest import normalize
 from scenegrain.operators.range_join import overlap_join, overlap_semi_join, points_in_boxes
 from scenegrain.operators.spatial import placed_points
-from scenegrain.sources import geoparquet, stac
+from scenegrain.sources import geoparquet, hub, stac
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -49,6 +49,14 @@ def _indexed(spark: SparkSession, d: str) -> Collection:
     return Collection(wide, name="records", index=r.select("id", "source_part", "bbox", "year", "utm_zone"))
 
 
+_HUB = "hf://datasets/own/archive/records.parquet"
+
+
+def _mounted(d: str):
+    """Addresses of the hub dataset as files of the folder."""
+    return lambda address: f"{d}/{address.rsplit('/', 1)[1]}"
+
+
 # ---- scans ------------------------------------------------------------------------------------------
 
 
@@ -65,7 +73,8 @@ def sc02_load(spark, d):
 @query("SELECT CAST(fid AS VARCHAR) AS id, CAST(utc AS VARCHAR) AS zone, y AS year FROM (SELECT fid, utm_zone AS utc, year AS y, row_number() OVER (ORDER BY fid, load_id, source_part, year, utm_zone) AS k FROM records WHERE year = 2022) WHERE k <= 50")
 def sc05_index_scan(spark, d):
     i = rename_roles(_records(spark, d).select("fid", "utm_zone", "year", "load_id", "source_part"), {"id": "fid", "zone": "utm_zone"})
-    return i.filter("year = 2022").orderBy("fid", "load_id", "source_part", "year", "utm_zone").limit(50).select("id", "zone", "year")
+    c = Collection(_records(spark, d), index=i)
+    return c.index_rows(["id", "zone", "year"], where="year = 2022", limit=50, order=["fid", "load_id", "source_part", "year", "utm_zone"])
 
 
 @query(f"SELECT id, source_part, collection FROM records r WHERE EXISTS (SELECT 1 FROM records i WHERE i.year = 2023 AND i.id = r.id AND i.source_part = r.source_part AND {OVER.replace('bbox', 'i.bbox')}) AND {OVER.replace('bbox', 'r.bbox')}")
@@ -75,8 +84,8 @@ def sc06_two_surface(spark, d):
 
 @query("SELECT id, bbox.xmin AS xmin, bbox.ymax AS ymax, year FROM records WHERE year IS NOT NULL")
 def sc07_index_as_collection(spark, d):
-    i = _indexed(spark, d).index.filter("year IS NOT NULL")
-    return i.select("id", "bbox.xmin", "bbox.ymax", "year")
+    c = _indexed(spark, d).index_collection().where("year IS NOT NULL")
+    return c.rows().select("id", "bbox.xmin", "bbox.ymax", "year")
 
 
 @query("SELECT id, crs FROM records")
@@ -92,18 +101,18 @@ def sc09_dataset_address(spark, d):
 
 @query(f"SELECT id, {CC} AS cloud FROM records WHERE ({CC} < 5 AND split IN ('train', 'val')) OR (bbox.xmin >= 100 AND year = 2024)")
 def sc11_pruned_scan(spark, d):
-    cond = P.dnf([[("eo:cloud_cover", "<", 5.0), ("split", "in", ("train", "val"))], [("bbox.xmin", ">=", 100.0), ("year", "==", 2024)]])
-    return _records(spark, d).filter(cond).select("id", P.name("eo:cloud_cover").alias("cloud"))
+    filters = [[("eo:cloud_cover", "<", 5.0), ("split", "in", ("train", "val"))], [("bbox.xmin", ">=", 100.0), ("year", "==", 2024)]]
+    return hub.read(spark, _HUB, filters=filters, mount=_mounted(d)).select("id", P.name("eo:cloud_cover").alias("cloud"))
 
 
-@query("SELECT fid, id FROM (SELECT DISTINCT fid, id FROM records) ORDER BY fid LIMIT 25")
+@query("SELECT fid, id FROM records ORDER BY fid NULLS FIRST, id NULLS FIRST LIMIT 25")
 def sc12_head(spark, d):
-    return _records(spark, d).select("fid", "id").distinct().orderBy("fid").limit(25)
+    return hub.head(spark, _HUB, 25, ["fid", "id"], columns=["fid", "id"], mount=_mounted(d))
 
 
 @query("SELECT id, tile_id FROM records WHERE tile_id IS NOT NULL AND month = 6")
 def sc13_projected_read(spark, d):
-    return _records(spark, d).select("id", "tile_id", "month").filter("tile_id IS NOT NULL AND month = 6").select("id", "tile_id")
+    return hub.read(spark, _HUB, filters=[[("month", "==", 6)]], columns=["id", "tile_id"], mount=_mounted(d)).filter("tile_id IS NOT NULL")
 
 
 _ITEMS = "SELECT DISTINCT id, collection, datetime, bbox, cc FROM (SELECT id, collection, date_trunc('second', datetime) AS datetime, bbox, CASE WHEN isnan(\"eo:cloud_cover\") THEN NULL ELSE \"eo:cloud_cover\" END AS cc FROM records WHERE id IS NOT NULL AND datetime IS NOT NULL AND bbox IS NOT NULL)"
@@ -237,9 +246,9 @@ def fl12_derived_bbox(spark, d):
     return narrow(_records(spark, d), boxes, (-60.0, 0.0, 60.0, 80.0)).select("id")
 
 
-@query("SELECT id, datetime, collection FROM (SELECT DISTINCT id, datetime, collection FROM records WHERE id IS NOT NULL) ORDER BY datetime NULLS FIRST, id, collection NULLS FIRST LIMIT 30")
+@query("SELECT id, datetime, collection FROM records WHERE id IS NOT NULL ORDER BY datetime NULLS FIRST, id, collection NULLS FIRST LIMIT 30")
 def fl13_head(spark, d):
-    return _records(spark, d).select("id", "datetime", "collection").filter("id IS NOT NULL").distinct().orderBy("datetime", "id", "collection").limit(30)
+    return _collection(spark, d).where("id IS NOT NULL").head(30, ["id", "datetime", "collection"], order=["datetime", "id", "collection"])
 
 
 @query("SELECT id, tile_id, tile_id AS scene FROM records")
@@ -309,12 +318,15 @@ def jn07_band_resolution(spark, d):
     return resolve_bands(r, ["red", "nir"], {"B04": "red", "B08": "nir"}).select("fid", F.when(F.col("band") == "red", "B04").otherwise("B08").alias("band"), "href")
 
 
-@query("SELECT href, count(*) AS n, min(fid) AS first FROM (SELECT fid, assets.B04.href AS href FROM records) WHERE href IS NOT NULL GROUP BY href")
+@query("SELECT fid, href, length(href) AS width FROM (SELECT fid, min(assets.B04.href) AS href FROM records WHERE fid IS NOT NULL GROUP BY fid)")
 def jn08_headers_back(spark, d):
-    from scenegrain.ingest.enrich import url_index
+    """Headers, one a file, joined back to every record that names it."""
+    from scenegrain.ingest.enrich import url_index, with_headers
 
-    u = url_index(normalize.assets_map(_records(spark, d)), "fid", ["B04"])
-    return u.groupBy("href").agg(F.count("*").alias("n"), F.min("record").alias("first"))
+    r = _records(spark, d).filter("fid IS NOT NULL").groupBy("fid").agg(F.min("assets.B04.href").alias("href"))
+    r = r.withColumn("assets", F.create_map(F.lit("B04"), F.struct("href", F.lit(0).alias("band_index"))).cast(normalize.ASSETS))
+    heads = url_index(r, "fid", ["B04"]).select("href").distinct().withColumn("header", F.struct(F.length("href").alias("image_width")))
+    return with_headers(r, heads, ["B04"], "fid").select("fid", "href", F.col("B04_metadata.image_width").alias("width"))
 
 
 @query(f"SELECT aoi, count(*) AS n, count(DISTINCT id) AS ids FROM records, ({_AOIS}) WHERE bbox.xmax >= x0 AND bbox.xmin <= x1 AND bbox.ymax >= y0 AND bbox.ymin <= y1 AND bbox.xmin <= bbox.xmax AND bbox.ymin <= bbox.ymax GROUP BY aoi")
@@ -431,9 +443,9 @@ def wn07_stride(spark, d):
     return stride(r, ["datetime", "fid"], 5).select("fid")
 
 
-@query("SELECT fid FROM (SELECT DISTINCT fid FROM records) ORDER BY fid LIMIT 1")
+@query("SELECT fid, id FROM records ORDER BY fid NULLS FIRST, id NULLS FIRST LIMIT 1")
 def wn09_first(spark, d):
-    return _records(spark, d).select("fid").distinct().orderBy("fid").limit(1)
+    return _collection(spark, d).head(1, ["fid", "id"], order=["fid", "id"])
 
 
 @query("SELECT id, source_part, fid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_part, fid) AS k FROM (SELECT DISTINCT id, source_part, fid FROM records WHERE id IS NOT NULL AND source_part IS NOT NULL)) WHERE k = 1 ORDER BY id LIMIT 500")
@@ -651,15 +663,15 @@ def gf16_affine(spark, d):
 @query("SELECT fid, greatest(1, CAST(ceil((bbox.ymax - bbox.ymin) / 0.01) AS BIGINT)) AS height, greatest(1, CAST(ceil((bbox.xmax - bbox.xmin) / 0.01) AS BIGINT)) AS width FROM records WHERE bbox IS NOT NULL")
 def gf17_target_grid(spark, d):
     b = F.col("bbox")
-    n = lambda lo, hi: F.greatest(F.lit(1), F.ceil((hi - lo) / 0.01).cast("long"))
-    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", n(b.ymin, b.ymax).alias("height"), n(b.xmin, b.xmax).alias("width"))
+    height, width = affine.target_shape_columns((b.xmin, b.ymin, b.xmax, b.ymax), (0.01, 0.01))
+    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", height.alias("height"), width.alias("width"))
 
 
 @query("SELECT fid, CAST(round_even(CAST((bbox.ymax - bbox.ymin) / 0.01 AS DOUBLE), 0) AS BIGINT) AS height, CAST(round_even(CAST((bbox.xmax - bbox.xmin) / 0.01 AS DOUBLE), 0) AS BIGINT) AS width FROM records WHERE bbox IS NOT NULL")
 def gf19_merge_grid(spark, d):
     b = F.col("bbox")
-    n = lambda lo, hi: F.rint((hi - lo) / 0.01).cast("long")
-    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", n(b.ymin, b.ymax).alias("height"), n(b.xmin, b.xmax).alias("width"))
+    height, width = affine.merge_shape_columns((b.xmin, b.ymin, b.xmax, b.ymax), (0.01, 0.01))
+    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", height.alias("height"), width.alias("width"))
 
 
 @query("SELECT fid, least(tx, tx + 100 * 0.5) AS xmin, least(ty, ty + 200 * sy) AS ymin, greatest(tx, tx + 100 * 0.5) AS xmax, greatest(ty, ty + 200 * sy) AS ymax FROM (SELECT fid, bbox.xmin AS tx, bbox.ymax AS ty, CASE WHEN fid % 2 = 0 THEN 0.5 ELSE -0.5 END AS sy FROM records WHERE bbox IS NOT NULL)")
@@ -673,8 +685,8 @@ def gf20_pixel_bounds(spark, d):
 @query("SELECT fid, round_even(CAST((bbox.xmin + bbox.xmax) / 2 / 0.25 AS DOUBLE), 0) * 0.25 - 0.125 AS xmin, round_even(CAST((bbox.ymin + bbox.ymax) / 2 / 0.25 AS DOUBLE), 0) * 0.25 + 0.125 AS ymax FROM records WHERE bbox IS NOT NULL")
 def gf22_patch_box(spark, d):
     b = F.col("bbox")
-    snap = lambda lo, hi: F.rint((lo + hi) / 2 / 0.25) * 0.25
-    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", (snap(b.xmin, b.xmax) - 0.125).alias("xmin"), (snap(b.ymin, b.ymax) + 0.125).alias("ymax"))
+    xmin, _, _, ymax = affine.patch_box_columns((b.xmin + b.xmax) / 2, (b.ymin + b.ymax) / 2, 0.25)
+    return _records(spark, d).filter("bbox IS NOT NULL").select("fid", xmin.alias("xmin"), ymax.alias("ymax"))
 
 
 def _with_box_wkb(df: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from scenegrain.queries import data_quality, pixels, records
+from scenegrain.queries import data_quality, files, pixels, records
 from tools_verify import canon
 
 DATA = "/root/testdata/sf0.001"
-CASES = [(n, m) for m in (records, pixels, data_quality) for n in m.oracle_sql()]
+CASES = [(n, m) for m in (records, pixels, data_quality, files) for n in m.oracle_sql()]
 
 
 @pytest.fixture(scope="module")
