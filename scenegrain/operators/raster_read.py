@@ -145,8 +145,8 @@ def reproject(data: np.ndarray, transform, source_epsg: int, target_epsg: int, g
     return np.where(inside, out, np.nan).astype(a.dtype), t
 
 
-def shapes(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Connected areas of a mask (edges touch): (pixels, row0, col0, row1, col1) each, by their first pixel."""
+def shapes(mask: np.ndarray, labels: bool = False) -> list[tuple[int, int, int, int, int]] | np.ndarray:
+    """Connected areas of a mask (edges touch): (pixels, row0, col0, row1, col1) each, by their first pixel; or the number of each pixel's area from 1."""
     label = np.zeros(mask.shape, int)
     out = []
     for r, c in zip(*np.nonzero(mask)):
@@ -163,7 +163,7 @@ def shapes(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
                     todo.append((a, b))
         rs, cs = [x for x, _ in cells], [x for _, x in cells]
         out.append((len(cells), min(rs), min(cs), max(rs), max(cs)))
-    return out
+    return label if labels else out
 
 
 FRAME = "record string, geometry_id long, band string, height int, width int, dtype string, data binary, valid binary, transform array<double>, fill double, error string"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from scenegrain.collection import Collection
 from scenegrain.functions import crs, geometry
 from scenegrain.ingest import enrich
 from scenegrain.ingest.normalize import ASSETS, box_wkb
+from scenegrain.operators import labelled
 from scenegrain.queries.pixels import _FALL, _SQUARE, _VALUE, AOIS, BASE, PIX, RECS, _aois, _archive, _points
 from scenegrain.session import scratch_path
 from scenegrain.tiff.header import parse_headers
@@ -141,6 +143,50 @@ def px03_window_read(spark, d):
     return f.select("record", "geometry_id", "height", "width", "fill")
 
 
+_INSIDE = f"""{RECS}, {PIX}, {AOIS}, ins AS (SELECT rec, dt, geometry_id, CAST(tx AS BIGINT) + col AS gx, CAST(ty AS BIGINT) - row AS gy, value FROM recs JOIN aois ON tx <= x1 AND tx + 16 >= x0 AND ty - 16 <= y1 AND ty >= y0 JOIN pix USING (rec)
+ WHERE value <> -9999 AND tx + col + 0.5 >= x0 AND tx + col + 0.5 < x1 AND ty - row - 0.5 >= y0 AND ty - row - 0.5 < y1)"""
+
+
+def _summed(g: DataFrame, *keys: str) -> DataFrame:
+    ok = F.filter("data", lambda x: ~F.isnan(x))
+    return g.select(*keys, F.size(ok).cast("long").alias("n"), F.aggregate(ok, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {_INSIDE} SELECT geometry_id, count(*) AS n, sum(v) AS total FROM (SELECT geometry_id, gx, gy, arg_min(value, CAST(rec AS VARCHAR)) AS v FROM ins GROUP BY ALL) GROUP BY ALL")
+def px06_merge_files(spark, d):
+    """All records of an area on one grid, the first valid value of each place."""
+    f = _archive(spark, d).area_frame(_boxes(spark), ["B1"], cell=8.0)
+    return _summed(labelled.on_one_grid(f), "geometry_id")
+
+
+@query(f"""WITH {_INSIDE}, met AS (SELECT geometry_id, count(DISTINCT dt) AS layers FROM recs JOIN aois ON tx < x1 AND tx + 16 > x0 AND ty - 16 < y1 AND ty > y0 GROUP BY ALL)
+SELECT geometry_id, layers, count(*) AS n, sum(v) AS total FROM (SELECT geometry_id, dt, gx, gy, arg_min(value, CAST(rec AS VARCHAR)) AS v FROM ins GROUP BY ALL) JOIN met USING (geometry_id) GROUP BY ALL""")
+def px13_stack_files(spark, d):
+    """One layer a moment."""
+    c = _archive(spark, d)
+    g = labelled.on_one_grid(c.area_frame(_boxes(spark), ["B1"], cell=8.0), c.df.select(F.col("id").alias("record"), "datetime"), stack=True)
+    return _summed(g.withColumn("layers", F.size("times").cast("long")), "geometry_id", "layers")
+
+
+@query(f"WITH {RECS}, {PIX} SELECT CAST(rec AS VARCHAR) AS record, CAST(count(*) FILTER (value > 100) AS DOUBLE) AS area FROM recs JOIN pix USING (rec) GROUP BY ALL HAVING count(*) FILTER (value > 100) > 0")
+def px17_polygons(spark, d):
+    """The ground of pixels above a threshold, as polygons along their edges: its area by the rings."""
+    whole = box_wkb(F.lit(-1e3), F.lit(-1e3), F.lit(1e3), F.lit(1e3))
+    f = _archive(spark, d).area_frame(spark.range(1).select(F.col("id").alias("geometry_id"), whole.alias("geometry")), ["B1"], cell=1e4, mode="full").filter("error IS NULL")
+
+    def trace(batches):
+        for b in batches:
+            out = []
+            for q in b.to_pylist():
+                v = labelled._window(q)
+                for rings in labelled.polygons_of(np.nan_to_num(v, nan=-1e9) > 100, q["transform"]):
+                    sizes = [abs(sum(a[0] * e[1] - e[0] * a[1] for a, e in zip(r[:-1], r[1:]))) / 2 for r in rings]
+                    out.append((q["record"], sizes[0] - sum(sizes[1:])))
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.string()), pa.array([a for _, a in out], pa.float64())], names=["record", "area"])
+
+    return f.select("record", "height", "width", "dtype", "data", "valid", "transform").mapInArrow(trace, "record string, area double").groupBy("record").agg(F.sum("area").alias("area"))
+
+
 # ---- geometry, collections --------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,11 +35,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs in this process (tests)."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="scenegrain-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -61,9 +64,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sweep() -> None:
-    """Remove the tables this process has written to the shared folder; DataFrames that read them are void after it."""
-    while _written:
+def sweep(keep: int = 0) -> None:
+    """Remove the tables this process has written to the shared folder, but the first ``keep``; DataFrames that read them are void after it."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +78,16 @@ def sweep() -> None:
 atexit.register(sweep)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables written to the shared folder within go when it is left; what is to stay must have been written or collected by then."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        sweep(held)
+
+
 def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the cut for tables that are read several times."""
     path = scratch_path(spark, name)

@@ -283,3 +283,31 @@ def test_arrow_export_names_the_geometry(three):
     t = three.to_arrow(["id", "geometry"])
     assert t.schema.field("geometry").metadata[b"ARROW:extension:name"] == b"geoarrow.wkb"
     assert pa.RecordBatchReader.from_stream(three).read_all().num_rows == 3
+
+
+def test_scratch_tables_go_when_left(spark):
+    from scenegrain import session
+
+    kept = session.settled(spark, spark.range(3).toDF("i"), "kept")
+    with session.scratch():
+        inner = session.settled(spark, spark.range(5).toDF("i"), "inner")
+        assert inner.count() == 5
+        at = inner.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 3 and not os.path.exists(at)
+
+
+def test_hash_split_is_crc32(spark, tmp_path):
+    import zlib
+
+    from scenegrain.queries import records
+
+    ids = [f"r{i}" for i in range(300)] + ["é", ""]
+    spark.createDataFrame([(k, i) for k, i in enumerate(ids)] + [(999, None)], "fid long, id string").write.parquet(str(tmp_path / "records.parquet"))
+    got = {r.fid: r.split for r in records.queries()["nm25_hash_split"](spark, str(tmp_path)).collect()}
+    want = {k: (lambda h: "train" if h < 80 else "val" if h < 90 else "test")(zlib.crc32(i.encode()) % 100) for k, i in enumerate(ids)}
+    assert got == want
+
+
+def test_compare_to_catalog(three):
+    r = three.compare_to_catalog(["red", "nir"], (0, 0, 2, 2), ("2024-01-01", "2024-02-01")).first()
+    assert r.missing_bands == ["nir", "red"] and r.records == 3 and r.outside_box == 2 and r.outside_dates >= 1
