@@ -204,3 +204,66 @@ def covered_cells(polygons: list[list[np.ndarray]], level: int, at_once: int = 1
             odd ^= (cross[:, :, None] & (at[:, :, None] < centre)).sum(axis=0) % 2 == 1
         out.update((int(cols[j]), int(rows[i])) for i, j in zip(*np.nonzero(free & odd)))
     return sorted(out)
+
+
+def _side(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """[edge, point]: to which side of an edge's line points lie; 0 on it."""
+    ax, ay, bx, by = (v[:, None] for v in e.T)
+    return np.sign((bx - ax) * (y[None, :] - ay) - (by - ay) * (x[None, :] - ax))
+
+
+def _meet(ea: np.ndarray, eb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[edge, edge]: whether two edges touch at all, and whether they cross in their insides."""
+    a0, a1 = _side(ea, eb[:, 0], eb[:, 1]), _side(ea, eb[:, 2], eb[:, 3])
+    b0, b1 = _side(eb, ea[:, 0], ea[:, 1]).T, _side(eb, ea[:, 2], ea[:, 3]).T
+    lo = lambda e, i: np.minimum(e[:, i], e[:, i + 2])
+    hi = lambda e, i: np.maximum(e[:, i], e[:, i + 2])
+    boxes = np.ones((len(ea), len(eb)), bool)
+    for i in (0, 1):
+        boxes &= (lo(ea, i)[:, None] <= hi(eb, i)[None, :]) & (lo(eb, i)[None, :] <= hi(ea, i)[:, None])
+    return boxes & (a0 * a1 <= 0) & (b0 * b1 <= 0), (a0 * a1 < 0) & (b0 * b1 < 0)
+
+
+def within(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether points lie in the region of the edges (even-odd)."""
+    ax, ay, bx, by = (v[:, None] for v in e.T)
+    cross = (ay > y[None, :]) != (by > y[None, :])
+    at = ax + (y[None, :] - ay) * (bx - ax) / np.where(by == ay, 1.0, by - ay)
+    return (cross & (at > x[None, :])).sum(axis=0) % 2 == 1
+
+
+def intersects(a: list[list[np.ndarray]], b: list[list[np.ndarray]], at_once: int = 1 << 21) -> bool:
+    """Whether two regions share a point, borders included."""
+    ea, eb = wkb.edges(a), wkb.edges(b)
+    step = max(1, at_once // max(len(eb), 1))
+    if any(_meet(ea[k : k + step], eb)[0].any() for k in range(0, len(ea), step)):
+        return True
+    # without a common point of their borders, a part of one lies in the other or they are apart
+    return bool(within(ea, *eb[:, :2].T).any() or within(eb, *ea[:, :2].T).any())
+
+
+def covers(a: list[list[np.ndarray]], b: list[list[np.ndarray]]) -> bool:
+    """Whether all of ``b`` lies in ``a``, borders included: no edges cross, and no piece of an edge of ``b``, nor a hole of ``a`` within ``b``, is outside."""
+    ea, eb = wkb.edges(a), wkb.edges(b)
+    touch, cross = _meet(ea, eb)
+    if cross.any():
+        return False
+    # each edge of b is cut where a's edges touch it; the middle of every piece must be in a, or on its border
+    xs, ys = [], []
+    for j, (x0, y0, x1, y1) in enumerate(eb):
+        d2 = (x1 - x0) ** 2 + (y1 - y0) ** 2
+        ends = ea[touch[:, j]][:, [0, 1, 2, 3]].reshape(-1, 2)
+        t = np.clip(((ends[:, 0] - x0) * (x1 - x0) + (ends[:, 1] - y0) * (y1 - y0)) / (d2 or 1.0), 0, 1)
+        t = np.unique(np.concatenate([[0.0, 1.0], t]))
+        m = (t[1:] + t[:-1]) / 2
+        xs.append(x0 + m * (x1 - x0)), ys.append(y0 + m * (y1 - y0))
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    ax, ay, bx, by = (v[:, None] for v in ea.T)
+    long = np.hypot(bx - ax, by - ay)
+    off = np.abs((bx - ax) * (y[None, :] - ay) - (by - ay) * (x[None, :] - ax)) / np.where(long == 0, 1.0, long)
+    along = ((x[None, :] - ax) * (bx - ax) + (y[None, :] - ay) * (by - ay)) / np.where(long == 0, 1.0, long**2)
+    on = ((off <= 1e-12) & (along >= 0) & (along <= 1)).any(axis=0)
+    if not (on | within(ea, x, y)).all():
+        return False
+    holes = [h for rings in a for h in rings[1:]]
+    return not any(within(eb, *(np.mean(h[:-1], axis=0)[:, None])).any() and within(eb, h[:-1, 0], h[:-1, 1]).any() for h in holes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,29 @@ def points_in_boxes(points: DataFrame, records: DataFrame, x: str, y: str, box:
     b = F.col(box)
     j = salted_join(p, _spread(records, b, cell), ["cx_", "cy_"])
     return j.filter((F.col(x) >= b["xmin"]) & (F.col(x) <= b["xmax"]) & (F.col(y) >= b["ymin"]) & (F.col(y) <= b["ymax"])).drop("cx_", "cy_")
+
+
+def footprint_join(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, left_box: str, right_box: str, cell: float = 1.0, how: str = "intersects") -> DataFrame:
+    """Pairs of rows whose footprints (WKB) share a point, or with ``how="covers"`` whose left one covers the right one; unreadable ones pair with nothing.
+
+    Boxes pair first, through the grid; then footprints are tested exactly, each distinct text of a batch parsed once.
+    """
+    from scenegrain.functions import polygons, wkb
+
+    test = {"intersects": polygons.intersects, "covers": polygons.covers}[how]
+
+    @F.arrow_udf("boolean")
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        memo: dict = {}
+        read = lambda g: memo[g] if g in memo else memo.setdefault(g, None if g is None else wkb.parse(g))
+        known: dict = {}
+        out = []
+        for pair in zip(a.to_pylist(), b.to_pylist()):
+            if pair not in known:
+                p, q = read(pair[0]), read(pair[1])
+                known[pair] = p is not None and q is not None and test(p, q)
+            out.append(known[pair])
+        return pa.array(out, pa.bool_())
+
+    j = overlap_join(left, right, left_box, right_box, cell)
+    return j.filter(exact(F.col(left_geometry), F.col(right_geometry)))

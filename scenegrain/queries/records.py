@@ -334,6 +334,34 @@ def jn09_spatial_join(spark, d):
     return overlap_join(_records(spark, d).select("id", "bbox"), _aois(spark), "bbox", "aoi_bbox", 2.0).groupBy("aoi").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
+def _triangle_aois(spark):
+    """The lower left half of each AOI's box, as a footprint."""
+    from scenegrain.functions import wkb
+
+    rows = [(r.aoi, wkb.polygon([(r.x0, r.y0), (r.x1, r.y0), (r.x0, r.y1), (r.x0, r.y0)])) for r in _aois(spark).select("aoi", "aoi_bbox.*").toDF("aoi", "x0", "y0", "x1", "y1").collect()]  # nine
+    return _aois(spark).join(spark.createDataFrame(rows, "aoi long, shape binary"), "aoi")
+
+
+@query(f"""WITH m AS (SELECT fid, aoi, (greatest(bbox.xmin, x0) - x0) / (x1 - x0) + (greatest(bbox.ymin, y0) - y0) / (y1 - y0) AS near FROM records, ({_AOIS})
+ WHERE bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax AND bbox.xmax >= x0 AND bbox.xmin <= x1 AND bbox.ymax >= y0 AND bbox.ymin <= y1) SELECT DISTINCT fid, aoi FROM m WHERE near <= 1""")
+def jn09_footprints(spark, d):
+    """Footprints (drawn from the boxes) that share ground with a triangle."""
+    from scenegrain.operators.range_join import footprint_join
+
+    r = _with_box_wkb(_records(spark, d).select("fid", "bbox"))
+    return footprint_join(r, _triangle_aois(spark), "geometry", "shape", "bbox", "aoi_bbox", 2.0).select("fid", "aoi").distinct()
+
+
+@query(f"""WITH m AS (SELECT fid, aoi, (bbox.xmax - x0) / (x1 - x0) + (bbox.ymax - y0) / (y1 - y0) AS far FROM records, ({_AOIS})
+ WHERE bbox.xmin < bbox.xmax AND bbox.ymin < bbox.ymax AND bbox.xmin >= x0 AND bbox.ymin >= y0) SELECT DISTINCT fid, aoi FROM m WHERE far <= 1""")
+def jn12_footprints(spark, d):
+    """Footprints that lie wholly in a triangle."""
+    from scenegrain.operators.range_join import footprint_join
+
+    r = _with_box_wkb(_records(spark, d).select("fid", "bbox"))
+    return footprint_join(_triangle_aois(spark), r, "shape", "geometry", "aoi_bbox", "bbox", 2.0, how="covers").select("fid", "aoi").distinct()
+
+
 @query(f"SELECT fid, bbox IS NOT NULL AND coalesce(bool_or(bbox.xmax >= x0 AND bbox.xmin <= x1 AND bbox.ymax >= y0 AND bbox.ymin <= y1 AND bbox.xmin <= bbox.xmax AND bbox.ymin <= bbox.ymax), FALSE) AS inside FROM (SELECT DISTINCT fid, bbox FROM records), ({_AOIS}) GROUP BY fid, bbox")
 def jn10_flag(spark, d):
     r = _records(spark, d).select("fid", "bbox").distinct()

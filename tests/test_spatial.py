@@ -116,3 +116,27 @@ def test_shared_thickness_is_of_the_thickest_piece():
     assert abs(polygons.shared_thickness(apart, apart) - 3e-4 / 2**0.5) < 1e-9
     far = [sq(0, 0, 3e-4), sq(0, 0.25, 3e-4)]
     assert abs(polygons.shared_thickness(far, far) - 3e-4 / 2**0.5) < 1e-9
+
+
+def test_intersects_and_covers_against_dense_points():
+    rng = random.Random(8)
+
+    def star(cx, cy, r, hole=False):
+        n = rng.randint(3, 9)
+        ring = [(cx + r * rng.uniform(0.4, 1) * math.cos(a), cy + r * rng.uniform(0.4, 1) * math.sin(a)) for a in sorted(rng.uniform(0, 6.28) for _ in range(n))]
+        inner = [[(cx + 0.1 * r * math.cos(a), cy + 0.1 * r * math.sin(a)) for a in (0, 2, 4, 0)]] if hole else []
+        return wkb.parse(wkb.polygon([*ring, ring[0]], *inner))
+
+    xs, ys = (v.ravel() for v in np.meshgrid(np.linspace(-2, 2, 161), np.linspace(-2, 2, 161)))
+    for _ in range(150):
+        a, b = star(0, 0, 1.5, rng.random() < 0.3), star(rng.uniform(-1.5, 1.5), rng.uniform(-1.5, 1.5), rng.uniform(0.1, 1))
+        ia, ib = (polygons.within(wkb.edges(p), xs, ys) for p in (a, b))
+        if (ia & ib).any():
+            assert polygons.intersects(a, b) and polygons.intersects(b, a)
+        if polygons.covers(a, b):
+            assert not (ib & ~ia).any()
+    box = lambda x0, y0, x1, y1, *h: wkb.parse(wkb.polygon([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], *h))
+    hole = [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]
+    assert polygons.intersects(box(0, 0, 1, 1), box(1, 1, 2, 2)) and not polygons.intersects(box(0, 0, 1, 1), box(1.1, 0, 2, 1)) and polygons.intersects(box(0, 0, 9, 9), box(3, 3, 4, 4))
+    assert polygons.covers(box(0, 0, 9, 9), box(0, 0, 9, 9)) and polygons.covers(box(0, 0, 9, 9), box(0, 3, 4, 4)) and not polygons.covers(box(3, 3, 4, 4), box(0, 0, 9, 9))
+    assert not polygons.covers(box(0, 0, 9, 9, hole), box(3, 3, 7, 7)) and polygons.covers(box(0, 0, 9, 9, hole), box(1, 1, 4, 4)) and not polygons.intersects(box(0, 0, 9, 9, hole), box(4.5, 4.5, 5, 5))
