@@ -97,25 +97,28 @@ def _codebook(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c.astype("f4")
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries."""
+def walk(d1: np.ndarray, d2: np.ndarray, counts: list[list[int]], enough: int) -> list[tuple[int, int]]:
+    """Centroid pairs by ascending summed distance, with a heap, until their cells hold ``enough`` entries. ``counts``: entries by pair."""
     o1, o2 = np.argsort(d1), np.argsort(d2)
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
-    ordered = counts[np.ix_(o1, o2)].tolist()
     o1, o2 = o1.tolist(), o2.tolist()
     heap, held, out = [(s1[0] + s2[0], 0, 0)], 0, []
     k1, k2 = len(s1), len(s2)
+    pop, push, swap = heapq.heappop, heapq.heappush, heapq.heapreplace
     while heap and held < enough:
-        _, i, j = heapq.heappop(heap)
-        n = ordered[i][j]
+        _, i, j = heap[0]
+        a, b = o1[i], o2[j]
+        n = counts[a][b]
         if n:
-            out.append((o1[i], o2[j]))
+            out.append((a, b))
             held += n
         # (i, j + 1) follows (i, j); (i + 1, 0) follows (i, 0): each pair enters the heap once
         if j + 1 < k2:
-            heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
+            swap(heap, (s1[i] + s2[j + 1], i, j + 1))
+        else:
+            pop(heap)
         if j == 0 and i + 1 < k1:
-            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+            push(heap, (s1[i + 1] + s2[0], i + 1, 0))
     return out
 
 
@@ -187,7 +190,7 @@ def nearest(units: DataFrame, k: int, ix: Index, min_similarity: float = -1.0, q
     for r in entries.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     counts = counts.reshape(kc, kc)
-    shipped = spark.sparkContext.broadcast((counts, sorted(entries.inputFiles())))
+    shipped = spark.sparkContext.broadcast((counts.tolist(), sorted(entries.inputFiles())))
 
     def written(files: list[str], cells: np.ndarray):
         """The entries past row groups without any of the cells."""

@@ -79,7 +79,7 @@ def test_empty_and_single(spark):
 def test_walk_takes_pairs_in_order_of_summed_distance():
     rng = np.random.default_rng(0)
     d1, d2, counts = rng.random(7), rng.random(9), rng.integers(0, 3, (7, 9))
-    cells = V.walk(d1, d2, counts, 10**9)
+    cells = V.walk(d1, d2, counts.tolist(), 10**9)
     assert set(cells) == {(int(i), int(j)) for i, j in zip(*np.nonzero(counts))} and len(cells) == len(set(cells))
     sums = [d1[i] + d2[j] for i, j in cells]
     assert sums == sorted(sums)
