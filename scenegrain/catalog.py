@@ -20,7 +20,7 @@ from scenegrain.functions import geometry
 from scenegrain.functions import predicates as P
 from scenegrain.functions.text import create_name
 from scenegrain.ingest import enrich, normalize
-from scenegrain.sources import hub, stac
+from scenegrain.sources import hub, stac, store
 
 SURFACES = ("record_table", "index", "collection")
 
@@ -238,7 +238,7 @@ def load(spark: SparkSession, path: str, name: str = "") -> Collection:
 def build_from_table(spark: SparkSession, table: DataFrame | str, name: str, *, workspace: str | None = None, force: bool = False, enrich_bands: Sequence[str] | None = None, bbox=None, date_range=None, **kw) -> Collection:
     """From a DataFrame or Parquet: filters first, then normalise, parse headers if wanted, persist. An existing result is opened unless ``force``."""
     path = f"{workspace.rstrip('/')}/{name}_records" if workspace else None
-    if path and not force and os.path.isdir(path):
+    if path and not force and store.exists(spark, path):
         return Collection.from_parquet(spark, path, name, validate=False)
     df = spark.read.parquet(table) if isinstance(table, str) else table
     if bbox is not None:
@@ -281,7 +281,7 @@ def build_from_stac(spark: SparkSession, name: str, stac_collection: str, bbox,
     P.check_bbox(bbox, strict=True)
     full = create_name(name, date_range, stac_collection)
     path = f"{workspace.rstrip('/')}/{full}_stac" if workspace else None
-    if path and not force and os.path.isdir(path):
+    if path and not force and store.exists(spark, path):
         return Collection.from_parquet(spark, path, full, validate=False)
     if items_path:
         files = list(stac.crawl(items_path)) if items_path.endswith("catalog.json") else [items_path]

@@ -13,16 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenegrain.functions import predicates as P
+from scenegrain.sources import store
 
 REQUIRED = ("id", "datetime", "geometry", "assets")
 SIDECAR = "_collection.json"
 BBOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def _local(path: str) -> str:
-    return re.sub(r"^file:(//)?", "", path)
-
-
 def _is_box(t: T.DataType) -> bool:
     return isinstance(t, T.StructType) and {"xmin", "ymin", "xmax", "ymax"} <= {f.name for f in t.fields}
 
@@ -59,11 +56,7 @@ class Collection:
         df = spark.read.parquet(path)
         if validate:
             check_contract(df)
-        meta = {}
-        side = os.path.join(_local(path), SIDECAR)
-        if os.path.exists(side):
-            with open(side) as f:
-                meta = json.load(f)
+        meta = json.loads(store.read_text(spark, f"{path.rstrip('/')}/{SIDECAR}") or "{}")
         index = rename_roles(spark.read.parquet(index_path), roles or {}) if index_path else None
         fallback = os.path.basename(path.rstrip("/"))
         return cls(df, name or meta.get("name") or fallback, meta.get("description", ""), data_source or meta.get("data_source", ""), meta.get("start_date"), meta.get("end_date"), index)
@@ -262,13 +255,10 @@ class Collection:
         # one shuffle by partition, so that a partition isn't scattered over as many files as there are tasks
         df = df.repartition(*parts) if parts else df
         df.write.mode("overwrite").partitionBy(*parts).option("compression", "zstd").option("maxRecordsPerFile", 50_000 * 20).parquet(path)
-        local = _local(path)
-        if os.path.isdir(local):
-            meta = {"name": self.name, "description": self.description, "data_source": self.data_source, "start_date": self.start_date, "end_date": self.end_date}
-            with open(os.path.join(local, SIDECAR), "w") as f:
-                json.dump(meta, f)
-            if geoparquet and "geometry" in df.columns:
-                stamp(df.sparkSession, path, geo_metadata(df))
+        meta = {"name": self.name, "description": self.description, "data_source": self.data_source, "start_date": self.start_date, "end_date": self.end_date}
+        store.write_text(df.sparkSession, f"{path.rstrip('/')}/{SIDECAR}", json.dumps(meta))
+        if geoparquet and "geometry" in df.columns:
+            stamp(df.sparkSession, path, geo_metadata(df))
 
 
 def rename_roles(index: DataFrame, roles: dict[str, str]) -> DataFrame:
@@ -282,15 +272,17 @@ def rename_roles(index: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 
 def list_collections(spark: SparkSession, workspace: str) -> DataFrame:
-    """Name, kind, rows and date range of the collections in a folder."""
-    rows = []
-    for entry in sorted(os.listdir(workspace)):
-        at = os.path.join(workspace, entry)
+    """Name, kind, source, date range and rows of the collections in a folder, read in one job."""
+    at = workspace.rstrip("/")
+    found, tables = [], None
+    for entry in store.folders(spark, at):
         kind = next((k for k in ("stac", "records") if entry.endswith(f"_{k}")), None)
-        if not kind or not os.path.isdir(at):
-            continue
-        side = os.path.join(at, SIDECAR)
-        meta = json.load(open(side)) if os.path.exists(side) else {}
-        a = spark.read.parquet(at).agg(F.min("datetime").cast("string"), F.max("datetime").cast("string"), F.count("*")).first()
-        rows.append((re.sub(rf"_{kind}$", "", entry), kind, meta.get("data_source"), a[0], a[1], a[2]))
-    return spark.createDataFrame(rows, "name string, kind string, data_source string, first string, last string, records long")
+        if kind:
+            meta = json.loads(store.read_text(spark, f"{at}/{entry}/{SIDECAR}") or "{}")
+            found.append((entry, re.sub(rf"_{kind}$", "", entry), kind, meta.get("data_source")))
+            t = spark.read.parquet(f"{at}/{entry}").agg(F.min("datetime").cast("string").alias("first"), F.max("datetime").cast("string").alias("last"), F.count("*").alias("records")).withColumn("entry", F.lit(entry))
+            tables = t if tables is None else tables.unionByName(t)
+    if tables is None:
+        return spark.createDataFrame([], "name string, kind string, data_source string, first string, last string, records long")
+    names = spark.createDataFrame(found, "entry string, name string, kind string, data_source string")
+    return names.join(tables, "entry").select("name", "kind", "data_source", "first", "last", "records").orderBy("name", "kind")

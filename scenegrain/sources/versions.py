@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from scenegrain.sources import store
 
 POINTER = "_current"
 
 
-def current(path: str) -> str | None:
-    at = os.path.join(path, POINTER)
-    if not os.path.exists(at):
-        return None
-    with open(at) as f:
-        return os.path.join(path, f.read().strip())
+def current(spark: SparkSession, path: str) -> str | None:
+    name = store.read_text(spark, f"{path.rstrip('/')}/{POINTER}")
+    return f"{path.rstrip('/')}/{name.strip()}" if name else None
 
 
 def publish(df: DataFrame, path: str) -> str:
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(os.path.join(path, name))
-    at = os.path.join(path, POINTER)
-    with open(f"{at}.new", "w") as f:
-        f.write(name)
-    os.replace(f"{at}.new", at)
-    return os.path.join(path, name)
+    at = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    store.write_text(df.sparkSession, f"{path.rstrip('/')}/{POINTER}", at.rsplit("/", 1)[1])
+    return at

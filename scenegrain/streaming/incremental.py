@@ -15,7 +15,7 @@ def upsert(spark: SparkSession, path: str, batch: DataFrame, order: str = "inges
     Rows of one id that are equally new are told apart by their content, so that a batch ingested again changes nothing. The version
     is written as a whole: gather small batches before.
     """
-    old = current(path)
+    old = current(spark, path)
     both = batch if old is None else spark.read.parquet(old).unionByName(batch, allowMissingColumns=True)
     w = Window.partitionBy("id").orderBy(F.desc_nulls_last(order), F.desc(F.to_json(F.struct(*[F.col(f"`{c}`") for c in both.columns]))))
     publish(both.withColumn("r_", F.row_number().over(w)).filter("r_ = 1").drop("r_"), path)

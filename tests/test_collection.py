@@ -254,10 +254,10 @@ def test_incremental_ingest(spark, three, tmp_path):
     inn, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     src.write.parquet(inn)
     ingest_stream(spark, inn, out, ck, src.schema).awaitTermination()
-    assert spark.read.parquet(current(out)).count() == 3
+    assert spark.read.parquet(current(spark, out)).count() == 3
     src.filter("id = 'scene-1'").selectExpr("id", "datetime", "geometry", "assets", "bbox", "77.0D as `eo:cloud_cover`", "split", "timestamp_ntz'2025-02-01' as ingested_at").write.mode("append").parquet(inn)
     ingest_stream(spark, inn, out, ck, src.schema).awaitTermination()
-    rows = spark.read.parquet(current(out)).collect()
+    rows = spark.read.parquet(current(spark, out)).collect()
     assert len(rows) == 3 and {r.id: r["eo:cloud_cover"] for r in rows}["scene-1"] == 77.0
 
 
@@ -311,3 +311,14 @@ def test_hash_split_is_crc32(spark, tmp_path):
 def test_compare_to_catalog(three):
     r = three.compare_to_catalog(["red", "nir"], (0, 0, 2, 2), ("2024-01-01", "2024-02-01")).first()
     assert r.missing_bands == ["nir", "red"] and r.records == 3 and r.outside_box == 2 and r.outside_dates >= 1
+
+
+def test_small_files_are_replaced_as_a_whole(spark, tmp_path):
+    from scenegrain.sources import store
+
+    at = f"file://{tmp_path}/a/b.txt"
+    assert store.read_text(spark, at) is None and not store.exists(spark, at)
+    store.write_text(spark, at, "one")
+    store.write_text(spark, at, "zwei ü")
+    assert store.read_text(spark, f"{tmp_path}/a/b.txt") == "zwei ü" and store.folders(spark, str(tmp_path)) == ["a"]
+    assert not (tmp_path / "a/b.txt.new").exists()
