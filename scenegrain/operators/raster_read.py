@@ -145,6 +145,20 @@ def reproject(data: np.ndarray, transform, source_epsg: int, target_epsg: int, g
     return np.where(inside, out, np.nan).astype(a.dtype), t
 
 
+def regridded(got: dict, source_epsg: int, target_epsg: int, res: float, method: str = "nearest") -> dict:
+    """A window of ``read_area`` on a grid of another system whose lines are multiples of ``res``; its invalid pixels stay invalid."""
+    sx, tx, sy, ty = got["transform"]
+    h, w = got["data"].shape
+    box = (min(tx, tx + w * sx), min(ty, ty + h * sy), max(tx, tx + w * sx), max(ty, ty + h * sy))
+    x0, y0, x1, y1 = box if source_epsg == target_epsg else crs.transform_bbox(box, source_epsg, target_epsg)
+    c0, r0, c1, r1 = math.floor(x0 / res + 1e-9), math.floor(y0 / res + 1e-9), math.ceil(x1 / res - 1e-9), math.ceil(y1 / res - 1e-9)
+    grid = ((res, c0 * res, -res, r1 * res), max(1, r1 - r0), max(1, c1 - c0))
+    a, t = reproject(np.where(got["valid"], got["data"], np.nan).astype("f8"), got["transform"], source_epsg, target_epsg, grid, method)
+    valid = ~np.isnan(a)
+    fill = got["fill"]
+    return {"data": np.where(valid, a, fill), "valid": valid, "transform": t, "fill": fill}
+
+
 def shapes(mask: np.ndarray, labels: bool = False) -> list[tuple[int, int, int, int, int]] | np.ndarray:
     """Connected areas of a mask (edges touch): (pixels, row0, col0, row1, col1) each, by their first pixel; or the number of each pixel's area from 1."""
     label = np.zeros(mask.shape, int)
@@ -169,11 +183,12 @@ def shapes(mask: np.ndarray, labels: bool = False) -> list[tuple[int, int, int,
 FRAME = "record string, geometry_id long, band string, height int, width int, dtype string, data binary, valid binary, transform array<double>, fill double, error string"
 
 
-def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions: int | None = None, transform_fn: Callable[[np.ndarray], np.ndarray] | None = None, **kw) -> DataFrame:
+def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions: int | None = None, transform_fn: Callable[[np.ndarray], np.ndarray] | None = None, to: tuple[int, float] | None = None, method: str = "nearest", **kw) -> DataFrame:
     """One row per request (record, geometry_id, band, href, band_index, geometry, geometry_epsg): the pixels as bytes with their dtype, or an ``error``.
 
     Requests for one file go to one task (of as many as the session shuffles to, unless ``partitions`` says otherwise), so its header is read
-    once, or not at all where the request has it (``head``, JSON); nothing raises inside a task.
+    once, or not at all where the request has it (``head``, JSON); nothing raises inside a task. ``to``: (EPSG code, resolution) of a grid, whose lines
+    are multiples of the resolution, that windows are brought onto by ``method``, so that those of different systems fit each other.
     """
     source = source or default_source()
     src = requests if "head" in requests.columns else requests.withColumn("head", F.lit(None).cast("string"))
@@ -207,6 +222,8 @@ def read_frame(requests: DataFrame, source: ByteSource | None = None, partitions
                     got = read_area(source, url, h, q["band_index"], p, **kw)
                     if got is None:
                         continue
+                    if to:
+                        got = regridded(got, h.epsg or 4326, *to, method)
                     d = transform_fn(got["data"]) if transform_fn else got["data"]
                     held += d.nbytes
                     rows.append(base | {"height": d.shape[0], "width": d.shape[1], "dtype": str(d.dtype), "data": d.tobytes(), "valid": np.packbits(got["valid"]).tobytes(), "transform": list(got["transform"]), "fill": got["fill"], "error": None})

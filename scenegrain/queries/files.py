@@ -136,6 +136,14 @@ def px01_full_read(spark, d):
     return f.select("record", "geometry_id", "height", "width").join(n, ["record", "geometry_id"])
 
 
+@query(f"WITH {RECS}, {PIX}, {AOIS} SELECT CAST(rec AS VARCHAR) AS record, geometry_id, 32 AS height, 32 AS width, 4 * count(*) FILTER (value <> -9999) AS n, 4 * sum(value) FILTER (value <> -9999) AS total FROM recs JOIN aois ON tx < x1 AND tx + 16 > x0 AND ty - 16 < y1 AND ty > y0 JOIN pix USING (rec) GROUP BY ALL")
+def px08_regridded(spark, d):
+    """Whole rasters brought onto a grid of half their pixel's side."""
+    f = _archive(spark, d).area_frame(_boxes(spark), ["B1"], cell=8.0, mode="full", to=(4326, 0.5)).filter("error IS NULL")
+    n = read.long_pixels(f).groupBy("record", "geometry_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return f.select("record", "geometry_id", "height", "width").join(n, ["record", "geometry_id"])
+
+
 @query(f"WITH {RECS}, {AOIS} SELECT CAST(rec AS VARCHAR) AS record, geometry_id, CAST(ceil(ty - y0) - floor(ty - y1) AS INT) AS height, CAST(ceil(x1 - tx) - floor(x0 - tx) AS INT) AS width, -9999.0 AS fill FROM recs JOIN aois ON tx < x1 AND tx + 16 > x0 AND ty - 16 < y1 AND ty > y0")
 def px03_window_read(spark, d):
     """The area's window of every raster that it meets, filled outside the raster."""

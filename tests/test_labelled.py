@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from scenegrain.collection import Collection
-from scenegrain.functions import geometry
+from scenegrain.functions import crs, geometry
 from scenegrain.operators import labelled as L
 from scenegrain.operators.raster_read import polygon_mask
 from scenegrain.tiff import write
@@ -41,6 +41,22 @@ def test_merges_on_one_grid(spark, scenes):
         L.on_one_grid(f, stack=True)
 
 
+def test_windows_of_two_systems_fit_on_one_grid(spark, tmp_path):
+    x, y = crs.transform([9.0, 9.4], [48.6, 48.9], 4326, 32632)
+    rows, step = [], 500.0
+    write.write(str(tmp_path / "u.tif"), np.full((60, 50), 7, "uint8"), tile=16, transform=(step, float(x[0]), -step, float(y[1])), epsg=32632)
+    write.write(str(tmp_path / "l.tif"), np.full((80, 80), 5, "uint8"), tile=16, transform=(0.005, 9.0, -0.005, 48.9))
+    for n in "ul":
+        rows.append((n, datetime(2024, 1, 1), None, {"red": (str(tmp_path / f"{n}.tif"), 0)}, (9.0, 48.6, 9.4, 48.9)))
+    aoi = spark.createDataFrame([(1, geometry.box(9.05, 48.65, 9.3, 48.85))], "geometry_id long, geometry binary")
+    f = Collection(spark.createDataFrame(rows, SCHEMA)).area_frame(aoi, ["red"], to=(3857, 1000.0))
+    got = L.labelled(L.on_one_grid(f, how="merge_override"), ["red"], 3857)[1]
+    ok = got["data"][0][~np.isnan(got["data"][0])]
+    assert set(ok.tolist()) <= {5.0, 7.0} and 7.0 in ok and len(ok) > 0.8 * got["data"][0].size and (got["coords"]["x"] - 500) % 1000 == pytest.approx(0)
+    x0, _ = crs.transform([9.05], [48.65], 4326, 3857)
+    assert abs(got["coords"]["x"][0] - x0[0]) < 2000
+
+
 def test_windows_must_fit():
     with pytest.raises(ValueError, match="resolution"):
         L.union_grid([(1, 0, -1, 0), (2, 0, -2, 0)], [(1, 1), (1, 1)])
