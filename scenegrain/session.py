@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
-        if not held.isDefined() and not sc.master.startswith("local["):
+        if not held.isDefined() and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="scenegrain-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
